@@ -1,18 +1,42 @@
 """Registered queries: one per inventory ID, each ``f(spark, sf_dir) -> DataFrame``
-over the driver's tables bound to the pupil schema."""
+over the driver's tables bound to the pupil schema (see
+:mod:`cohort_spark.sources.tables`). Keys are ``<id>_<short name>``.
+
+Ordered outputs (lists, exports) carry an explicit ``row_number`` so that an
+order-insensitive comparison still sees the order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import profile as P
+from ..functions import numeric as N
+from ..functions import rules as R
+from ..functions import text as X
 from ..operators import cohorts as C
+from ..operators import drift as D
+from ..operators import enrich as J
+from ..operators import longitudinal as L
+from ..operators import metrics as M
+from ..operators import normalize as NM
+from ..operators import reports as RP
+from ..operators.ranks import global_row_number
 from ..operators.scoring import score_rule
-from ..sources import tables as T
+from ..session import scratch_path
+from ..sources import io as IO
+from ..sources import tables as T_
 
 SCHOOL = "Instituição de ensino"
+DEFAULT_YEAR = 1996      # the default snapshot (first year)
+LIST_YEAR = 1997         # snapshot used by the list / search queries
+SEARCH_Q = "customer#00000012"
+LOOKUP_KEY = "123"
+SCHOOL_NAME = "NATION_7"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,11 +50,522 @@ def register(name: str):
 
 def scored_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bound years, rule-scored."""
-    return score_rule(T.pupil_year(spark, sf_dir))
+    return score_rule(T_.pupil_year(spark, sf_dir))
+
+
+def scored_year(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    return score_rule(T_.pupil_year(spark, sf_dir, (year,)))
+
+
+def _school(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed(SCHOOL, "escola")
+
+
+# ------------------------------------------------------------------ sources
+
+@register("s1_read_snapshot")
+def s1_read_snapshot(spark, sf_dir):
+    """Write the stacked snapshots partitioned by year, read one year back."""
+    path = scratch_path(spark, "snapshots")
+    IO.write_snapshots(T_.pupil_year(spark, sf_dir), path)
+    one = IO.read_snapshot(spark, path, LIST_YEAR)
+    return one.select("RA", "ano", "Nome", F.col("`INDE 22`").alias("inde"), F.col("`Pedra 22`").alias("pedra_22"))
+
+
+@register("s2_stack_years")
+def s2_stack_years(spark, sf_dir):
+    """Union by name of three snapshots; the first lacks the English mark."""
+    frames = {y: T_.snapshot(spark, sf_dir, y) for y in T_.YEARS}
+    frames[T_.YEARS[0]] = frames[T_.YEARS[0]].drop("Inglês")
+    st = IO.stack_years(frames)
+    return st.select("RA", "ano", F.col("`INDE 22`").alias("inde"), F.col("Inglês").alias("ingles"),
+                     F.col("Indicado").alias("indicado"))
+
+
+@register("s3_export_csv")
+def s3_export_csv(spark, sf_dir):
+    """High-risk export written as ;-separated CSV with BOM, read back, ordered."""
+    rows = C.export_frame(scored_year(spark, sf_dir, LIST_YEAR))
+    path = scratch_path(spark, "export")
+    IO.write_export_csv(rows, path)
+    schema = T.StructType([T.StructField("RA", T.StringType()), T.StructField("Aluno", T.StringType()),
+                           T.StructField("Turma", T.StringType()), T.StructField("Media", T.DoubleType()),
+                           T.StructField("Risco", T.StringType())])
+    back = IO.read_export_csv(spark, path, schema)
+    return C.export_order(back)
+
+
+@register("s4_predictions")
+def s4_predictions(spark, sf_dir):
+    """Prediction rows of the enriched requests (rule scorer)."""
+    base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
+    enriched = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="reference")
+    return RP.prediction_rows(score_rule(enriched))
+
+
+@register("s5_requests_json")
+def s5_requests_json(spark, sf_dir):
+    """Requests written as JSON lines and read back with an all-nullable schema."""
+    path = scratch_path(spark, "requests")
+    IO.write_requests(T_.requests(spark, sf_dir), path)
+    good, _bad = IO.read_requests(spark, path, {"RA": T.StringType(), "pos": T.LongType(),
+                                                "INDE 22": T.DoubleType(), "Indicado": T.StringType(),
+                                                "canal": T.StringType()})
+    return good.select("RA", "pos", F.col("`INDE 22`").alias("inde"), F.col("Indicado").alias("indicado"),
+                       "canal")
+
+
+@register("s8_ledger")
+def s8_ledger(spark, sf_dir):
+    """Intervention ledger rows for the parent-meeting list, CSV round trip."""
+    sc = scored_year(spark, sf_dir, 1998)
+    rows = C.parent_meeting_list(sc).select(
+        F.concat(F.lit("PEDE"), F.col("ano").cast("string")).alias("sheet"),
+        F.col("RA").alias("ra"), F.col("Nome").alias("nome"), F.col("Turma").alias("turma"),
+        F.make_date(F.col("ano"), F.lit(12), F.lit(31)).alias("data"),
+        F.when(N.nz(F.col("Matem") < P.PASS_MARK), F.lit("Matemática")).otherwise(F.lit("Português")).alias("disciplina"),
+        F.concat(F.lit("INDE "), X.decimal_comma(F.col("`INDE 22`"), 1)).alias("observacao"),
+    )
+    path = scratch_path(spark, "ledger")
+    IO.write_ledger(rows, path)
+    back = IO.read_ledger(spark, path)
+    return back.withColumn("data", F.date_format("data", "yyyy-MM-dd"))
+
+
+# ------------------------------------------------------------ normalisation
+
+@register("n1_standardize_columns")
+def n1_standardize_columns(spark, sf_dir):
+    cu = T_.read_table(spark, sf_dir, "customer")
+    na = T_.read_table(spark, sf_dir, "nation")
+    raw = cu.join(na, cu.c_nationkey == na.n_nationkey).select(
+        F.col("c_custkey").cast("string").alias(" RA "), F.col("c_name").alias("Nome Anonimizado"),
+        F.col("n_name").alias("Escola"), F.col("c_acctbal").alias("Mat"),
+        F.col("c_mktsegment").alias("Fase Ideal"), F.lower("c_mktsegment").alias("Fase ideal"),
+        F.col("c_nationkey").alias("Idade "))
+    return NM.standardize_columns(raw)
+
+
+@register("n2_coerce_numeric")
+def n2_coerce_numeric(spark, sf_dir):
+    rt = T_.raw_text(spark, sf_dir)
+    return rt.select("id", "txt", N.to_double(F.col("txt")).alias("num"))
+
+
+@register("n3_clean_numeric")
+def n3_clean_numeric(spark, sf_dir):
+    rt = T_.raw_text(spark, sf_dir)
+    v = rt.select("id", N.to_double(F.col("txt")).alias("num"))
+    return v.filter(N.is_finite(F.col("num")))
+
+
+@register("n4_binary_target")
+def n4_binary_target(spark, sf_dir):
+    rt = T_.raw_text(spark, sf_dir)
+    return rt.select("id", "flag", N.binary_target(F.col("flag")).alias("target"))
+
+
+@register("n5_truthy")
+def n5_truthy(spark, sf_dir):
+    rt = T_.raw_text(spark, sf_dir)
+    return rt.select("id", "flag", N.truthy(F.col("flag")).alias("truthy"))
+
+
+@register("n6_categorical_clean")
+def n6_categorical_clean(spark, sf_dir):
+    py = T_.pupil_year(spark, sf_dir)
+    return py.select("RA", "ano", N.categorical_clean(F.col("Indicado")).alias("indicado"),
+                     N.categorical_clean(F.col("`Rec Psicologia`")).alias("rec_psicologia"),
+                     N.categorical_clean(F.col("`Pedra 20`")).alias("pedra_20"))
+
+
+@register("n7_feature_choice")
+def n7_feature_choice(spark, sf_dir):
+    py = T_.pupil_year(spark, sf_dir)
+    return NM.feature_frame(py, keep=["RA", "ano"])
+
+
+@register("n8_align_schema")
+def n8_align_schema(spark, sf_dir):
+    cat, num = NM.split_features(T_.pupil_year(spark, sf_dir).columns)
+    return NM.align_columns(T_.requests(spark, sf_dir), cat + num, keep=["RA", "pos"])
+
+
+@register("n9_next_year")
+def n9_next_year(spark, sf_dir):
+    o = T_.read_table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("PEDE"), F.year("o_orderdate").cast("string")).alias("sheet"))
+    n = T_.read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("sheet"))
+    sheets = o.unionByName(n).distinct()
+    return sheets.select("sheet", NM.next_year(F.col("sheet")).alias("next_year"))
+
+
+@register("n10_first_per_key")
+def n10_first_per_key(spark, sf_dir):
+    rq = T_.requests(spark, sf_dir)
+    first = NM.first_per_key(rq, ["RA"], "pos")
+    return first.select("RA", "pos", "canal")
+
+
+# ------------------------------------------------------------------ scalars
+
+def _per_pupil(spark, sf_dir, *cols) -> DataFrame:
+    sc = scored_years(spark, sf_dir)
+    return sc.select("RA", "ano", *cols)
+
+
+@register("c1_subject_mean")
+def c1_subject_mean(spark, sf_dir):
+    return _per_pupil(spark, sf_dir, F.col("_media").alias("media"))
+
+
+@register("c2_mean_class")
+def c2_mean_class(spark, sf_dir):
+    return _per_pupil(spark, sf_dir, R.mean_class(F.col("_media")).alias("media_classe"))
+
+
+@register("c3_rule_score")
+def c3_rule_score(spark, sf_dir):
+    return _per_pupil(spark, sf_dir, F.bround("_risk_score", 9).alias("risk_score"))
+
+
+@register("c4_rule_label")
+def c4_rule_label(spark, sf_dir):
+    return _per_pupil(spark, sf_dir, F.col("_risk_label").alias("risk_label"))
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    return T_.scored(spark, sf_dir)
+
+
+@register("c5_proba_label")
+def c5_proba_label(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", R.proba_label(F.col("score")).alias("risk_label"),
+                    F.bround(R.proba_score(F.col("score")), 9).alias("risk_score"))
+
+
+@register("c6_future_label")
+def c6_future_label(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", R.future_label(F.col("score")).alias("future_label"))
+
+
+@register("c7_minmax_scale")
+def c7_minmax_scale(spark, sf_dir):
+    docs = T_.read_table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("raw"))
+    return docs.select("doc_id", F.bround(R.minmax_scaled(docs, "raw"), 12).alias("scaled"))
+
+
+@register("c8_same_year_target")
+def c8_same_year_target(spark, sf_dir):
+    py = T_.pupil_year(spark, sf_dir)
+    return py.select("RA", "ano", R.same_year_target(py).alias("target"))
+
+
+@register("c9_decimal_display")
+def c9_decimal_display(spark, sf_dir):
+    sc = scored_years(spark, sf_dir)
+    return sc.select("RA", "ano", X.decimal_comma(F.col("`INDE 22`"), 1).alias("inde_txt"),
+                     X.decimal_comma(F.col("_media"), 1).alias("media_txt"),
+                     X.decimal_comma(F.col("IEG"), 2).alias("ieg_txt"),
+                     X.decimal_comma(F.col("Inglês"), 1).alias("ingles_txt"))
+
+
+def _flag(name: str):
+    def q(spark, sf_dir):
+        return RP.flags(scored_years(spark, sf_dir)).select("ra", "ano", name)
+    return q
+
+
+for _id, _col in (("c10_latest_stone", "ultima_pedra"), ("c11_recovery_filled", "recuperacao"),
+                  ("c12_cohort_follow_up", "acomp_coorte"), ("c13_pupil_follow_up", "acomp_aluno"),
+                  ("c14_parent_meeting", "reuniao_pais")):
+    register(_id)(_flag(_col))
+
+
+@register("c15_recommendation")
+def c15_recommendation(spark, sf_dir):
+    return RP.texts(scored_years(spark, sf_dir)).select("ra", "ano", "recomendacao")
+
+
+@register("c16_diagnosis")
+def c16_diagnosis(spark, sf_dir):
+    return RP.texts(scored_years(spark, sf_dir)).select("ra", "ano", "diagnostico")
+
+
+@register("c17_pupil_profile")
+def c17_pupil_profile(spark, sf_dir):
+    return RP.pupil_profile(scored_years(spark, sf_dir))
+
+
+@register("c18_subject_status")
+def c18_subject_status(spark, sf_dir):
+    return RP.pupil_profile(scored_years(spark, sf_dir)).select(
+        "ra", "ano", "status_matem", "status_portug", "status_ingles")
+
+
+@register("c19_confidence")
+def c19_confidence(spark, sf_dir):
+    return RP.pupil_profile(scored_years(spark, sf_dir)).select("ra", "ano", "confianca")
+
+
+def _pupil_drift(spark, sf_dir) -> DataFrame:
+    ref = T_.snapshot(spark, sf_dir, T_.DRIFT_REF_YEAR)
+    cur = T_.snapshot(spark, sf_dir, T_.DRIFT_CUR_YEAR)
+    return D.psi_table(ref, cur, list(P.DRIFT_FEATURES))
+
+
+@register("c20_psi_status")
+def c20_psi_status(spark, sf_dir):
+    return _pupil_drift(spark, sf_dir).select("feature", "status")
+
+
+# ------------------------------------------------------------------ filters
+
+@register("p1_filter_school")
+def p1_filter_school(spark, sf_dir):
+    return C.filter_school(scored_years(spark, sf_dir), SCHOOL_NAME).select("RA", "ano", "_risk_label")
 
 
+@register("p2_search")
+def p2_search(spark, sf_dir):
+    return C.search(scored_years(spark, sf_dir), SEARCH_Q).select("RA", "ano", "Nome")
+
+
+@register("p3_filter_fallback")
+def p3_filter_fallback(spark, sf_dir):
+    sc = scored_years(spark, sf_dir)
+    unknown = C.filter_with_fallback(sc, "ATLANTIS").select("RA", "ano", F.lit("unknown").alias("case"))
+    known = C.filter_with_fallback(sc, SCHOOL_NAME).select("RA", "ano", F.lit("known").alias("case"))
+    return unknown.unionByName(known)
+
+
+@register("p4_search_pupils")
+def p4_search_pupils(spark, sf_dir):
+    out = C.search_pupils(T_.snapshot(spark, sf_dir, LIST_YEAR), SEARCH_Q, P.SEARCH_LIMIT)
+    return out
+
+
+@register("p5_search_scored")
+def p5_search_scored(spark, sf_dir):
+    return C.search_pupils(scored_year(spark, sf_dir, LIST_YEAR), SEARCH_Q, P.SEARCH_SCORED_LIMIT, scored=True)
+
+
+@register("p6_lookup")
+def p6_lookup(spark, sf_dir):
+    return C.lookup(scored_years(spark, sf_dir), LOOKUP_KEY).select(
+        "RA", "ano", F.bround("_risk_score", 9).alias("risk_score"), F.col("_risk_label").alias("risk_label"))
+
+
+@register("p7_high_risk")
+def p7_high_risk(spark, sf_dir):
+    return C.high_risk_rows(scored_years(spark, sf_dir)).select("RA", "ano", "_risk_label")
+
+
+def _ordered_list(rows: DataFrame) -> DataFrame:
+    lst = C.list_rows(rows)
+    return global_row_number(lst, [F.col("ano").asc(), F.col("risk_score").desc(), F.col("ra").asc()])
+
+
+@register("p8_follow_up_list")
+def p8_follow_up_list(spark, sf_dir):
+    return _ordered_list(C.follow_up_list(scored_years(spark, sf_dir)))
+
+
+@register("p9_parent_meeting_list")
+def p9_parent_meeting_list(spark, sf_dir):
+    return _ordered_list(C.parent_meeting_list(scored_years(spark, sf_dir)))
+
+
+@register("p10_temporal_split")
+def p10_temporal_split(spark, sf_dir):
+    train, test = C.temporal_split(T_.pupil_year(spark, sf_dir), T_.YEARS[-1])
+    return train.select("RA", "ano", F.lit("train").alias("split")).unionByName(
+        test.select("RA", "ano", F.lit("test").alias("split")))
+
+
+# -------------------------------------------------------------------- joins
+
+@register("j1_enrich_requests")
+def j1_enrich_requests(spark, sf_dir):
+    base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
+    out = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="reference")
+    return out.select("RA", "pos", F.col("`INDE 22`").alias("inde"), F.col("Indicado").alias("indicado"),
+                      "canal", "Nome")
+
+
+@register("j1_unknown_requests")
+def j1_unknown_requests(spark, sf_dir):
+    base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
+    return J.unknown_requests(base, T_.requests(spark, sf_dir)).select("RA", "pos")
+
+
+@register("j2_batch_lookup")
+def j2_batch_lookup(spark, sf_dir):
+    base = scored_year(spark, sf_dir, DEFAULT_YEAR)
+    out = J.batch_lookup(base, T_.requests(spark, sf_dir), pos="pos")
+    return out.select(F.col("RA").alias("ra"), "pos", F.bround("_risk_score", 9).alias("risk_score"),
+                      F.col("_risk_label").alias("risk_label"))
+
+
+@register("j3_semi_join")
+def j3_semi_join(spark, sf_dir):
+    base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
+    return J.semi_join(base, T_.requests(spark, sf_dir)).select("RA", "Nome")
+
+
+# ------------------------------------------------------------- aggregations
+
 @register("a1_risk_indicators")
 def a1_risk_indicators(spark, sf_dir):
     """Share of high-risk pupils per year and school (the flagship query)."""
-    sc = scored_years(spark, sf_dir).withColumnRenamed(SCHOOL, "escola")
-    return C.risk_indicators(sc, by=["ano", "escola"])
+    return C.risk_indicators(_school(scored_years(spark, sf_dir)), by=["ano", "escola"])
+
+
+@register("a2_overall_mean")
+def a2_overall_mean(spark, sf_dir):
+    return C.overall_mean(_school(scored_years(spark, sf_dir)), by=["ano", "escola"])
+
+
+@register("a3_below_pass")
+def a3_below_pass(spark, sf_dir):
+    return C.below_pass(_school(scored_years(spark, sf_dir)), by=["ano", "escola"])
+
+
+@register("a4_stone_trend")
+def a4_stone_trend(spark, sf_dir):
+    return C.stone_trend(T_.pupil_year(spark, sf_dir), by=["ano"])
+
+
+@register("a5_action_counts")
+def a5_action_counts(spark, sf_dir):
+    sc = scored_years(spark, sf_dir)
+    return C.action_counts(sc, by=["ano"], no_progress=L.no_progress(sc), next_phase=L.next_phase(sc))
+
+
+@register("a6_alert_count")
+def a6_alert_count(spark, sf_dir):
+    return C.alert_count(_school(scored_years(spark, sf_dir)), by=["ano", "escola"])
+
+
+@register("a7_schools")
+def a7_schools(spark, sf_dir):
+    return C.schools(T_.pupil_year(spark, sf_dir))
+
+
+def _train_frame(spark, sf_dir) -> DataFrame:
+    py = T_.pupil_year(spark, sf_dir)
+    return py.withColumn("y", R.same_year_target(py))
+
+
+@register("a8_class_weights")
+def a8_class_weights(spark, sf_dir):
+    train, _ = C.temporal_split(_train_frame(spark, sf_dir), T_.YEARS[-1])
+    return M.class_weights(train.select("RA", "ano", "y"), "y").withColumn("w", F.bround("w", 12))
+
+
+@register("a9_dataset_sizes")
+def a9_dataset_sizes(spark, sf_dir):
+    train, test = C.temporal_split(T_.pupil_year(spark, sf_dir), T_.YEARS[-1])
+    return M.dataset_sizes(train, test)
+
+
+def _line_sides(spark, sf_dir):
+    return (T_.feature_side(spark, sf_dir, T_.DRIFT_REF_YEAR), T_.feature_side(spark, sf_dir, T_.DRIFT_CUR_YEAR))
+
+
+@register("a10_histogram")
+def a10_histogram(spark, sf_dir):
+    ref, cur = _line_sides(spark, sf_dir)
+    h = D.histogram(ref, cur, list(T_.LINE_FEATURES), bins=10)
+    return h.withColumn("left_edge", F.bround("left_edge", 9))
+
+
+@register("a11_psi")
+def a11_psi(spark, sf_dir):
+    ref, cur = _line_sides(spark, sf_dir)
+    return D.psi_table(ref, cur, list(T_.LINE_FEATURES)).select("feature", "psi")
+
+
+@register("a12_drift")
+def a12_drift(spark, sf_dir):
+    ref, cur = _line_sides(spark, sf_dir)
+    return D.psi_table(ref, cur, list(T_.LINE_FEATURES))
+
+
+@register("a13_status_summary")
+def a13_status_summary(spark, sf_dir):
+    return D.status_summary(_pupil_drift(spark, sf_dir))
+
+
+@register("a14_threshold_metrics")
+def a14_threshold_metrics(spark, sf_dir):
+    m = M.threshold_metrics(_docs(spark, sf_dir))
+    return m.select("tp", "fp", "fn", "tn", *[F.bround(c, 12).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register("a15_roc_auc")
+def a15_roc_auc(spark, sf_dir):
+    return M.rank_metrics(_docs(spark, sf_dir)).select("roc_auc")
+
+
+@register("a16_avg_precision")
+def a16_avg_precision(spark, sf_dir):
+    return M.rank_metrics(_docs(spark, sf_dir)).select("pr_auc")
+
+
+@register("a17_evaluation")
+def a17_evaluation(spark, sf_dir):
+    ev = M.evaluation(_docs(spark, sf_dir))
+    return ev.select("n_pos", "n_neg", "roc_auc", "pr_auc",
+                     *[F.bround(c, 12).alias(c) for c in ("f1", "precision", "recall")])
+
+
+# ------------------------------------------------------------- longitudinal
+
+@register("l1_no_progress")
+def l1_no_progress(spark, sf_dir):
+    return L.no_progress(scored_years(spark, sf_dir))
+
+
+@register("l2_next_phase")
+def l2_next_phase(spark, sf_dir):
+    out = L.next_phase(scored_years(spark, sf_dir))
+    return out.select("RA", F.bround("first_inde", 9).alias("first_inde"),
+                      F.bround("last_inde", 9).alias("last_inde"), "last_label")
+
+
+@register("l3_evolution")
+def l3_evolution(spark, sf_dir):
+    return L.evolution(scored_years(spark, sf_dir), keys=T_.requests(spark, sf_dir))
+
+
+@register("l4_top_high_risk")
+def l4_top_high_risk(spark, sf_dir):
+    out = C.top_high_risk(scored_years(spark, sf_dir), P.TOP_HIGH_RISK, by=["ano"])
+    return out.select("ano", "row_number", "ra", "nome", "turma", "media", "media_classe", "risco",
+                      F.bround("risk_score", 9).alias("risk_score"))
+
+
+# ------------------------------------------------------------------- orders
+
+@register("o1_full_list")
+def o1_full_list(spark, sf_dir):
+    out = C.full_list(scored_year(spark, sf_dir, LIST_YEAR))
+    return out.select("row_number", "ra", "nome", "turma", "media", "media_classe", "risco",
+                      F.bround("risk_score", 9).alias("risk_score"))
+
+
+@register("o2_export_order")
+def o2_export_order(spark, sf_dir):
+    return C.export_order(C.export_frame(scored_year(spark, sf_dir, LIST_YEAR)))
+
+
+@register("o3_drift_order")
+def o3_drift_order(spark, sf_dir):
+    res = _pupil_drift(spark, sf_dir)
+    # one row per monitored feature: a global window over a bounded table
+    w = Window.orderBy(F.col("psi").desc_nulls_last(), F.col("feature"))
+    return res.select(F.row_number().over(w).alias("row_number"), "feature", "psi", "status",
+                      "ref_count", "cur_count")

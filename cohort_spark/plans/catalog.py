@@ -569,3 +569,118 @@ def o3_drift_order(spark, sf_dir):
     w = Window.orderBy(F.col("psi").desc_nulls_last(), F.col("feature"))
     return res.select(F.row_number().over(w).alias("row_number"), "feature", "psi", "status",
                       "ref_count", "cur_count")
+
+
+# -------------------------------------------------------------------- model
+
+_TRAINED: dict[tuple, str] = {}
+TEST_YEAR = T_.YEARS[-1]
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Stacked snapshots with the same-year target (C8) as ``y``."""
+    py = T_.pupil_year(spark, sf_dir)
+    return py.withColumn("y", R.same_year_target(py))
+
+
+def trained_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Train once per session and data folder (M8), return the artefact folder."""
+    from .model import train_job
+    key = (id(spark.sparkContext), sf_dir)
+    if key not in _TRAINED:
+        out = scratch_path(spark, "model")
+        train_job(spark, _labelled(spark, sf_dir).drop("RA", "Nome"), TEST_YEAR, out)
+        _TRAINED[key] = out
+    return _TRAINED[key]
+
+
+@register("m5_stratified_split")
+def m5_stratified_split(spark, sf_dir):
+    from .model import stratified_split
+    df = _labelled(spark, sf_dir).select("RA", "ano", "y")
+    return stratified_split(df, "y").select("RA", "ano", "y", "is_test")
+
+
+@register("m3_feature_matrix")
+def m3_feature_matrix(spark, sf_dir):
+    """M1–M3: the fitted preprocessing (all stages but the trees) applied to
+    every pupil-year: vector size and non-zeros per row."""
+    from pyspark.ml import Pipeline as _Pipeline
+
+    from .model import build_pipeline, prepare
+    df = _labelled(spark, sf_dir)
+    cat, num = NM.split_features([c for c in df.columns if c not in ("y", "RA", "Nome", "ano")])
+    prepared = prepare(df, cat, num, keep=["RA", "ano", "y"])
+    stages = build_pipeline(cat, num).getStages()[:-1]
+    fitted = _Pipeline(stages=stages).fit(prepared.filter(F.col("ano") < TEST_YEAR))
+    out = fitted.transform(prepared)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return out.select("RA", "ano", F.size(arr).alias("n_features"),
+                      F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+
+
+@register("m4_train_evaluate")
+def m4_train_evaluate(spark, sf_dir):
+    """M4 + A14–A17: boosted trees fitted on the years before the test year,
+    metrics on the test year (the run table written by the job)."""
+    from ..sources.io import read_metadata
+    meta = read_metadata(spark, f"{trained_dir(spark, sf_dir)}/metadata")
+    return meta.select(F.explode("metrics").alias("metric", "value"))
+
+
+@register("m6_model_scores")
+def m6_model_scores(spark, sf_dir):
+    from .model import load_bundle, score_with_model
+    bundle, _ = load_bundle(spark, trained_dir(spark, sf_dir))
+    sc = score_with_model(T_.pupil_year(spark, sf_dir, (TEST_YEAR,)), bundle)
+    return sc.select("RA", "ano", F.bround("_risk_score", 9).alias("risk_score"),
+                     F.col("_risk_label").alias("risk_label"), "_future_label")
+
+
+@register("m7_scorer_choice")
+def m7_scorer_choice(spark, sf_dir):
+    """M7: a missing or broken bundle selects the rule scorer (used_model false)."""
+    from ..operators.scoring import score
+    from .model import load_bundle
+    bundle, meta = load_bundle(spark, scratch_path(spark, "no-model"))
+    sc, used = score(T_.snapshot(spark, sf_dir, DEFAULT_YEAR), bundle)
+    return RP.prediction_rows(sc, model_version=meta.get("model_version"), used_model=used)
+
+
+@register("m8_train_job")
+def m8_train_job(spark, sf_dir):
+    """M8: the whole job (temporal split, fit, evaluate, save) — run once per
+    session by ``trained_dir`` — and its run table read back."""
+    from ..sources.io import read_metadata
+    meta = read_metadata(spark, f"{trained_dir(spark, sf_dir)}/metadata")
+    m = F.col("metrics")
+    return meta.select("model_name", "model_version", "trained_at",
+                       *[m[k].alias(k) for k in ("n_train", "n_test", "n_pos", "n_neg", "roc_auc", "pr_auc",
+                                                 "f1", "precision", "recall")])
+
+
+@register("m9_model_info")
+def m9_model_info(spark, sf_dir):
+    from .model import model_info
+    return model_info(spark, trained_dir(spark, sf_dir))
+
+
+@register("s6_metadata")
+def s6_metadata(spark, sf_dir):
+    """Run table written and read back (features, thresholds, metrics)."""
+    from ..sources.io import read_metadata
+    meta = read_metadata(spark, f"{trained_dir(spark, sf_dir)}/metadata")
+    return meta.select("model_name", "model_version", F.size("feature_columns").alias("n_features"),
+                       F.col("risk_thresholds")["muito_alto_gte"].alias("muito_alto_gte"),
+                       F.col("metrics")["roc_auc"].alias("roc_auc"))
+
+
+@register("s7_model_roundtrip")
+def s7_model_roundtrip(spark, sf_dir):
+    """The saved pipeline loads back and scores like the fitted one."""
+    from .model import load_bundle, probabilities
+    bundle, _ = load_bundle(spark, trained_dir(spark, sf_dir))
+    model, cat, num = bundle
+    pr = probabilities(model, T_.pupil_year(spark, sf_dir, (TEST_YEAR,)), cat, num, keep=["RA", "ano"])
+    return pr.select("RA", "ano", F.bround("_proba", 9).alias("proba"))

@@ -600,3 +600,21 @@ SQL["o2_export_order"] = views() + export_sql(1997)
 SQL["o3_drift_order"] = views(PUPIL_PSI) + """
 SELECT row_number() OVER (ORDER BY psi DESC NULLS LAST, feature) AS row_number, feature, psi, status, ref_count, cur_count
 FROM drift"""
+
+# ---- model
+SQL["m5_stratified_split"] = views().rstrip() + f"""
+, lab AS (SELECT "RA", ano, {_Y} AS y,
+    ((CAST("RA" AS BIGINT) % 1000003) * 999983 + ano) % 1000003 AS h FROM py),
+rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, CAST("RA" AS BIGINT), ano) - 1 AS r FROM lab),
+per AS (SELECT y, count(*) AS nc FROM lab GROUP BY y),
+tot AS (SELECT sum(nc) AS n, CAST(ceil(CAST(sum(nc) AS DOUBLE) * 0.2{D}) AS BIGINT) AS n_test FROM per),
+p2 AS (SELECT per.y, floor(CAST(tot.n_test AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(tot.n AS DOUBLE)) AS fl,
+         CAST(tot.n_test AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(tot.n AS DOUBLE)
+         - floor(CAST(tot.n_test AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(tot.n AS DOUBLE)) AS fr, tot.n_test FROM per, tot),
+al AS (SELECT y, fl + CASE WHEN row_number() OVER (ORDER BY fr DESC, y)
+                             <= n_test - (SELECT sum(fl) FROM p2) THEN 1 ELSE 0 END AS alloc FROM p2)
+SELECT rk."RA", rk.ano, rk.y, rk.r < al.alloc AS is_test FROM rk JOIN al ON rk.y = al.y"""
+SQL["m7_scorer_choice"] = views() + f"""
+SELECT trim("RA") AS ra, _risk_label AS risk_label, round_even(_risk_score, 9) AS risk_score,
+  'risco_futuro' AS risk_type, CAST(NULL AS VARCHAR) AS model_version, false AS used_model
+FROM sc WHERE ano = 1996"""

@@ -684,3 +684,33 @@ def s7_model_roundtrip(spark, sf_dir):
     model, cat, num = bundle
     pr = probabilities(model, T_.pupil_year(spark, sf_dir, (TEST_YEAR,)), cat, num, keep=["RA", "ano"])
     return pr.select("RA", "ano", F.bround("_proba", 9).alias("proba"))
+
+
+# ---------------------------------------------------------------- streaming
+
+REQUEST_SCHEMA = T.StructType([T.StructField("RA", T.StringType()), T.StructField("pos", T.LongType()),
+                               T.StructField("INDE 22", T.DoubleType()), T.StructField("Indicado", T.StringType()),
+                               T.StructField("canal", T.StringType())])
+
+
+@register("t1_stream_scoring")
+def t1_stream_scoring(spark, sf_dir):
+    """Request files scored by a Structured Streaming job (availableNow)."""
+    from ..streaming import run_scoring
+    src, sink, ck = (scratch_path(spark, n) for n in ("t1-in", "t1-out", "t1-ck"))
+    IO.write_requests(T_.requests(spark, sf_dir), src)
+    run_scoring(spark, src, REQUEST_SCHEMA, T_.snapshot(spark, sf_dir, DEFAULT_YEAR), sink, ck)
+    return spark.read.parquet(sink)
+
+
+@register("t2_stream_drift")
+def t2_stream_drift(spark, sf_dir):
+    """Lineitem rows streamed by ship date; PSI per closed 90-day window
+    against the fixed 1996 reference edges."""
+    from ..streaming import run_drift_monitor
+    src, sink, ck = (scratch_path(spark, n) for n in ("t2-in", "t2-out", "t2-ck"))
+    li = T_.read_table(spark, sf_dir, "lineitem").select("l_shipdate", *T_.LINE_FEATURES)
+    li.write.mode("overwrite").parquet(src)
+    ref = T_.feature_side(spark, sf_dir, T_.DRIFT_REF_YEAR)
+    run_drift_monitor(spark, src, li.schema, ref, list(T_.LINE_FEATURES), "l_shipdate", sink, ck)
+    return spark.read.parquet(sink)

@@ -16,7 +16,7 @@ from ..functions import numeric as N
 from ..functions import rules as R
 from ..functions import text as X
 from ..profile import DEFAULT, Profile
-from .ranks import global_row_number
+from .ranks import global_row_number, scalars
 
 
 def _agg(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
@@ -84,10 +84,11 @@ def stone_trend(df: DataFrame, by: list[str] | None = None, prof: Profile = DEFA
     return wide.select(*[R.c(b) for b in by], F.expr(f"stack({k}, {args}) as (label, media, risco)"))
 
 
-def action_counts(scored: DataFrame, by: list[str] | None = None, no_progress: DataFrame | None = None,
-                  next_phase: DataFrame | None = None, prof: Profile = DEFAULT) -> DataFrame:
+def action_counts(scored: DataFrame, by: list[str] | None = None, progress: DataFrame | None = None,
+                  prof: Profile = DEFAULT) -> DataFrame:
     """A5: reinforcement, follow-up and parent-meeting counts, plus the
-    longitudinal counts (L1, L2) as scalar subqueries when given."""
+    longitudinal counts (L1, L2) of ``progress`` — the one-row frame of
+    ``longitudinal.progress_counts`` — read as one scalar subquery."""
     by = by or []
     lab = F.col(prof.label)
     has_rec = any(s in scored.columns for s in prof.recovery)
@@ -99,10 +100,9 @@ def action_counts(scored: DataFrame, by: list[str] | None = None, no_progress: D
         F.count_if(R.cohort_follow_up(scored, prof)).alias("acompanhamento"),
         F.count_if(R.parent_meeting(scored, lab, prof)).alias("reuniao_pais"),
     )
-    if no_progress is not None:
-        out = out.withColumn("sem_progresso", no_progress.select(F.count(F.lit(1))).scalar())
-    if next_phase is not None:
-        out = out.withColumn("proxima_fase", next_phase.select(F.count(F.lit(1))).scalar())
+    if progress is not None:
+        sc = scalars(progress)
+        out = out.select("*", *[sc[c].alias(c) for c in progress.columns])
     return out
 
 

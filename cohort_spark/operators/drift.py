@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .. import profile as P
 from ..functions import numeric as N
 from ..functions import rules as R
+from ..session import cut_lineage
 from .ranks import running_totals
 
 
@@ -37,6 +38,17 @@ def long_values(df: DataFrame, features: list[str], side: str, finite: bool = Tr
     return out.filter(N.is_finite(F.col("value"))) if finite else out.filter(F.col("value").isNotNull())
 
 
+def weighted_values(ref: DataFrame, cur: DataFrame, feats: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``(side, feature, value, w)`` of the non-null values (±inf
+    included), frozen once with a reliable checkpoint: every later step
+    (quantiles, bins, counts) reads this table instead of rescanning the
+    sides. A hot value is combined map-side before the shuffle. Returns
+    (all non-null, finite only)."""
+    nonnull = long_values(ref, feats, "ref", finite=False).unionByName(long_values(cur, feats, "cur", finite=False))
+    weighted_all = cut_lineage(nonnull.groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("w")))
+    return weighted_all, weighted_all.filter(N.is_finite(F.col("value")))
+
+
 def _lerp(a: Column, b: Column, t: Column) -> Column:
     """numpy's linear interpolation (two formulas around t = 0.5)."""
     d = b - a
@@ -82,8 +94,7 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P
     ``feature, psi, status, ref_count, cur_count`` (PSI null when a side has
     no finite value, 0.0 with fewer than three distinct edges)."""
     feats = [f for f in features if f in ref.columns and f in cur.columns]
-    finite = long_values(ref, feats, "ref").unionByName(long_values(cur, feats, "cur"))
-    weighted = finite.groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("w"))
+    weighted_all, weighted = weighted_values(ref, cur, feats)
     edges = quantile_edges(weighted.filter(F.col("side") == "ref").select("feature", "value", "w"), bins)
     # one row per feature, at most bins + 1 doubles each
     e = F.broadcast(edges.select("feature", "edges", F.size("edges").alias("m")))
@@ -107,15 +118,14 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P
         F.max(F.when(F.col("side") == "cur", F.col("s"))).alias("cc"))
     psi = wide.groupBy("feature", "m").agg(
         F.sum((F.col("cc") - F.col("r")) * F.log(F.col("cc") / F.col("r"))).alias("psi_sum"))
-    # non-null counts per side (inf counted here, not in the PSI)
-    nonnull = long_values(ref, feats, "ref", finite=False).unionByName(long_values(cur, feats, "cur", finite=False))
-    cnt = nonnull.groupBy("feature").agg(
-        F.count_if(F.col("side") == "ref").alias("ref_count"),
-        F.count_if(F.col("side") == "cur").alias("cur_count"))
-    fin = finite.groupBy("feature").agg(
-        F.count_if(F.col("side") == "ref").alias("ref_finite"),
-        F.count_if(F.col("side") == "cur").alias("cur_finite"))
-    allf = cnt.join(fin, "feature", "left").join(psi, "feature", "left")
+    # non-null counts per side (inf counted here, not in the PSI) and finite counts
+    fin_flag = N.is_finite(F.col("value"))
+    cnt = weighted_all.groupBy("feature").agg(
+        F.sum(F.when(F.col("side") == "ref", F.col("w")).otherwise(0)).alias("ref_count"),
+        F.sum(F.when(F.col("side") == "cur", F.col("w")).otherwise(0)).alias("cur_count"),
+        F.sum(F.when((F.col("side") == "ref") & fin_flag, F.col("w")).otherwise(0)).alias("ref_finite"),
+        F.sum(F.when((F.col("side") == "cur") & fin_flag, F.col("w")).otherwise(0)).alias("cur_finite"))
+    allf = cnt.join(psi, "feature", "left")
     value = (F.when(F.coalesce(F.col("ref_finite"), F.lit(0)) == 0, F.lit(None).cast("double"))
              .when(F.coalesce(F.col("cur_finite"), F.lit(0)) == 0, F.lit(None).cast("double"))
              .when(F.col("m") < 3, F.lit(0.0))
@@ -143,8 +153,7 @@ def histogram(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = 1
     max (last bin closed; a constant feature spans value ± 0.5), with the
     bin edges laid out as numpy's ``linspace`` does."""
     feats = [f for f in features if f in ref.columns and f in cur.columns]
-    vals = long_values(ref, feats, "ref").unionByName(long_values(cur, feats, "cur"))
-    weighted = vals.groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("w"))
+    _all, weighted = weighted_values(ref, cur, feats)
     stats = weighted.groupBy("side", "feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
     lo = F.when(F.col("mx") > F.col("mn"), F.col("mn")).otherwise(F.col("mn") - 0.5)
     hi = F.when(F.col("mx") > F.col("mn"), F.col("mx")).otherwise(F.col("mx") + 0.5)

@@ -26,13 +26,14 @@ def _filled(col, dtype: T.DataType):
 
 
 def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", prof: Profile = DEFAULT) -> DataFrame:
-    """Stored rows of the requested keys, LEFT JOIN the requests on the
+    """Stored rows of the requested keys joined with the requests on the
     trimmed key; for shared columns a filled request value wins; request-only
     columns are kept; a key repeated in the requests repeats the row.
 
-    ``unmatched``: ``'keep'`` keeps requests whose key is unknown (as they
-    came), ``'drop'`` drops them, ``'reference'`` drops them only when some
-    key matched (the all-or-nothing behaviour of the source app)."""
+    One ``requests LEFT JOIN base`` (a stream-static join when the requests
+    stream). ``unmatched``: ``'keep'`` keeps requests whose key is unknown,
+    as they came; ``'drop'`` drops them; ``'reference'`` drops them only when
+    some key matched (the all-or-nothing behaviour of the source app)."""
     key = prof.key
     b = base.withColumn(key, F.trim(R.c(key).cast("string")))
     r = req.withColumn(key, F.trim(R.c(key).cast("string"))).filter(R.c(key).isNotNull() & (R.c(key) != ""))
@@ -41,27 +42,27 @@ def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", pr
     shared = [c for c in r.columns if c in btypes and c != key]
     only_req = [c for c in r.columns if c not in btypes]
     rr = r.select(R.c(key), *[R.c(c).alias(f"{c}__in") for c in shared + only_req])
-    matched = b.join(rr, key, "inner")
+    bb = b.select(*[R.c(c) for c in b.columns], F.lit(True).alias("_matched"))
+    joined = rr.join(bb, key, "left")
+    hit = F.col("_matched").isNotNull()
     cols = []
     for c in b.columns:
-        if c in shared:
-            vin = F.col(f"`{c}__in`")
-            cols.append(F.when(_filled(vin, rtypes[c]), vin.cast(btypes[c])).otherwise(R.c(c)).alias(c))
+        if c == key:
+            cols.append(R.c(key))
+        elif c in shared:
+            vin = F.col(f"`{c}__in`").cast(btypes[c])
+            win = _filled(F.col(f"`{c}__in`"), rtypes[c])
+            cols.append(F.when(~hit, vin).when(win, vin).otherwise(R.c(c)).alias(c))
         else:
             cols.append(R.c(c))
     cols += [F.col(f"`{c}__in`").alias(c) for c in only_req]
-    out = matched.select(*cols, F.lit(True).alias("_matched"))
+    out = joined.select(*cols, hit.alias("_hit"))
     if unmatched == "drop":
-        return out.drop("_matched")
-    unknown = r.join(b.select(key).distinct(), key, "left_anti")
-    ucols = [(R.c(c).cast(btypes[c]) if c in rtypes else F.lit(None).cast(btypes[c])).alias(c) if c in btypes
-             else R.c(c) for c in b.columns + only_req]
-    rest = unknown.select(*ucols, F.lit(False).alias("_matched"))
-    both = out.unionByName(rest)
-    if unmatched == "reference":
-        n_matched = out.select(F.count(F.lit(1))).scalar()
-        both = both.filter(F.col("_matched") | (n_matched == 0))
-    return both.drop("_matched")
+        out = out.filter(F.col("_hit"))
+    elif unmatched == "reference":
+        n_matched = out.filter(F.col("_hit")).select(F.count(F.lit(1))).scalar()
+        out = out.filter(F.col("_hit") | (n_matched == 0))
+    return out.drop("_hit")
 
 
 def unknown_requests(base: DataFrame, req: DataFrame, prof: Profile = DEFAULT) -> DataFrame:

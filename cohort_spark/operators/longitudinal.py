@@ -64,6 +64,14 @@ def next_phase(stacked: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
     return steps.filter(_next_phase(steps)).select("RA", "first_inde", "last_inde", "last_label")
 
 
+def progress_counts(stacked: DataFrame, min_steps: int = P.NO_PROGRESS_MIN_STEPS,
+                    prof: Profile = DEFAULT) -> DataFrame:
+    """One row: the number of keys kept by L1 and by L2 (one lag job)."""
+    steps = progress_steps(stacked, prof)
+    return steps.agg(F.count_if(F.col("steps_without") >= min_steps).alias("sem_progresso"),
+                     F.count_if(_next_phase(steps)).alias("proxima_fase"))
+
+
 def evolution(stacked: DataFrame, keys: DataFrame | None = None, prof: Profile = DEFAULT) -> DataFrame:
     """L3: per key, ``sem_progresso`` (no step ever rose, also with a single
     year), ``proxima_fase`` (as L2) and a message. With ``keys`` (a frame with

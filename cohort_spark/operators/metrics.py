@@ -11,15 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import profile as P
-from .ranks import running_totals
+from .ranks import running_totals, scalars
 
 
 def class_weights(df: DataFrame, label: str = "y", name: str = "w") -> DataFrame:
     """Balanced weights n/(2·pos) and n/(2·neg); all 1 if a class is empty.
-    The three counts are scalar subqueries of one aggregate."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    n = stats.select("n").scalar()
-    pos = stats.select("pos").scalar()
+    The counts come from one aggregate, read as one scalar subquery."""
+    sc = scalars(df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")))
+    n, pos = sc["n"], sc["pos"]
     neg = n - pos
     w = (F.when((pos == 0) | (neg == 0), F.lit(1.0))
          .when(F.col(label) == 1, n.cast("double") / (F.lit(2.0) * pos.cast("double")))
@@ -84,10 +83,10 @@ def rank_metrics(scored: DataFrame, label: str = "y", score: str = "score") -> D
 def evaluation(scored: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
     """A14–A17 in one row: metrics null unless both classes are present."""
     r = rank_metrics(scored, label, score)
-    m = threshold_metrics(scored, label, score)
+    m = scalars(threshold_metrics(scored, label, score))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    # the threshold metrics are one-row scalar subqueries (no join)
+    # the threshold metrics are one scalar subquery (no join)
     return r.select(
         "n_pos", "n_neg", "roc_auc", "pr_auc",
-        *[F.when(ok, m.select(x).scalar()).alias(x) for x in ("f1", "precision", "recall")],
+        *[F.when(ok, m[x]).alias(x) for x in ("f1", "precision", "recall")],
     )

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def scalars(one_row: DataFrame) -> dict[str, Column]:
+    """Columns of a one-row aggregate as scalar values in another plan.
+
+    All fields travel in one struct-valued scalar subquery; every use refers
+    to the same subquery, which Spark runs once (no join, no cross join)."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return {c: packed.getField(c) for c in one_row.columns}
+
+
 def _parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
@@ -48,7 +57,9 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
     ``groupBy(group, order)``). Adds ``{prefix}{v}_before`` columns.
 
     The groups may be skewed: a hot group spans several range partitions,
-    each summed by its own task."""
+    each summed by its own task. The partition id is frozen by the
+    checkpoint: range bounds come from a sample seeded per execution, so two
+    runs of the same exchange may place a row differently."""
     n = _parts(df, partitions)
     okey = F.col(order).desc() if descending else F.col(order).asc()
     gcols = [F.col(g) for g in group]

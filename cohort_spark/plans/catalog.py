@@ -441,7 +441,7 @@ def a4_stone_trend(spark, sf_dir):
 @register("a5_action_counts")
 def a5_action_counts(spark, sf_dir):
     sc = scored_years(spark, sf_dir)
-    return C.action_counts(sc, by=["ano"], no_progress=L.no_progress(sc), next_phase=L.next_phase(sc))
+    return C.action_counts(sc, by=["ano"], progress=L.progress_counts(sc))
 
 
 @register("a6_alert_count")

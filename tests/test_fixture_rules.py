@@ -36,7 +36,7 @@ def test_indicators(spark):
 def test_actions_and_alerts(spark):
     sc = score_rule(snapshot(spark))
     st = score_rule(stacked(spark))
-    a = C.action_counts(sc, no_progress=L.no_progress(st), next_phase=L.next_phase(st)).first()
+    a = C.action_counts(sc, progress=L.progress_counts(st)).first()
     assert (a.plano_reforco, a.acompanhamento, a.reuniao_pais, a.sem_progresso, a.proxima_fase) == (1, 1, 1, 2, 0)
     assert C.alert_count(sc).first().alertas == 2
 

@@ -55,11 +55,12 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def quantile_edges(weighted_ref: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
-    """Exact quantile edges per feature of ``(feature, value, w)`` rows with
-    distinct values: ``(feature, edges array<double>)``, sorted and unique."""
-    cum = running_totals(weighted_ref, ["feature"], "value", ["w"])
-    n = weighted_ref.groupBy("feature").agg(F.sum("w").alias("n"))
+def quantile_values(weighted: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
+    """Exact quantiles at k/bins (k = 0..bins) per feature of ``(feature,
+    value, w)`` rows with distinct values, interpolated like numpy's
+    ``linear`` method: ``(feature, k, q)``."""
+    cum = running_totals(weighted, ["feature"], "value", ["w"])
+    n = weighted.groupBy("feature").agg(F.sum("w").alias("n"))
     k = F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("k")
     targets = n.select("feature", "n", k).select(
         "feature", "k",
@@ -84,8 +85,23 @@ def quantile_edges(weighted_ref: DataFrame, bins: int = P.PSI_BINS) -> DataFrame
         F.max(F.when(F.col("which") == 1, F.col("value"))).alias("b"),
     )
     q = pair.join(targets.select("feature", "k", "t"), ["feature", "k"])
-    return q.groupBy("feature").agg(
-        F.array_sort(F.array_distinct(F.collect_list(_lerp(F.col("a"), F.col("b"), F.col("t"))))).alias("edges"))
+    return q.select("feature", "k", _lerp(F.col("a"), F.col("b"), F.col("t")).alias("q"))
+
+
+def quantile_edges(weighted_ref: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
+    """Exact quantile edges per feature: ``(feature, edges array<double>)``,
+    sorted and unique (at most ``bins + 1`` values)."""
+    q = quantile_values(weighted_ref, bins)
+    return q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Exact median (mean of the two middle values) of the finite values of
+    each column, all columns in one job: ``(feature, median)``; a column
+    without finite values has no row."""
+    vals = long_values(df, columns, "x")
+    weighted = vals.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
+    return quantile_values(weighted, 2).filter(F.col("k") == 1).select("feature", F.col("q").alias("median"))
 
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P.PSI_BINS,

@@ -32,8 +32,8 @@ def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", pr
 
     One ``requests LEFT JOIN base`` (a stream-static join when the requests
     stream). ``unmatched``: ``'keep'`` keeps requests whose key is unknown,
-    as they came; ``'drop'`` drops them; ``'reference'`` drops them only when
-    some key matched (the all-or-nothing behaviour of the source app)."""
+    as they came; ``'drop'`` drops them; ``'all_or_nothing'`` drops them only when
+    some key matched, else keeps every request unchanged."""
     key = prof.key
     b = base.withColumn(key, F.trim(R.c(key).cast("string")))
     r = req.withColumn(key, F.trim(R.c(key).cast("string"))).filter(R.c(key).isNotNull() & (R.c(key) != ""))
@@ -59,7 +59,7 @@ def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", pr
     out = joined.select(*cols, hit.alias("_hit"))
     if unmatched == "drop":
         out = out.filter(F.col("_hit"))
-    elif unmatched == "reference":
+    elif unmatched == "all_or_nothing":
         n_matched = out.filter(F.col("_hit")).select(F.count(F.lit(1))).scalar()
         out = out.filter(F.col("_hit") | (n_matched == 0))
     return out.drop("_hit")

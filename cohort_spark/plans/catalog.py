@@ -99,7 +99,7 @@ def s3_export_csv(spark, sf_dir):
 def s4_predictions(spark, sf_dir):
     """Prediction rows of the enriched requests (rule scorer)."""
     base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
-    enriched = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="reference")
+    enriched = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="all_or_nothing")
     return RP.prediction_rows(score_rule(enriched))
 
 
@@ -390,7 +390,7 @@ def p10_temporal_split(spark, sf_dir):
 @register("j1_enrich_requests")
 def j1_enrich_requests(spark, sf_dir):
     base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
-    out = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="reference")
+    out = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="all_or_nothing")
     return out.select("RA", "pos", F.col("`INDE 22`").alias("inde"), F.col("Indicado").alias("indicado"),
                       "canal", "Nome")
 
@@ -571,6 +571,17 @@ def o3_drift_order(spark, sf_dir):
                       "ref_count", "cur_count")
 
 
+@register("o4_union_by_name")
+def o4_union_by_name(spark, sf_dir):
+    """O4 / S2 with scoring per snapshot: the first year has no INDE column,
+    so its rule score falls back to the subject mean (C3 branch)."""
+    first = score_rule(T_.snapshot(spark, sf_dir, T_.YEARS[0]).drop("INDE 22"))
+    rest = {y: score_rule(T_.snapshot(spark, sf_dir, y)) for y in T_.YEARS[1:]}
+    st = IO.stack_years({T_.YEARS[0]: first, **rest})
+    return st.select("RA", "ano", F.bround("_risk_score", 9).alias("risk_score"),
+                     F.col("_risk_label").alias("risk_label"), F.col("`INDE 22`").alias("inde"))
+
+
 # -------------------------------------------------------------------- model
 
 _TRAINED: dict[tuple, str] = {}
@@ -601,20 +612,48 @@ def m5_stratified_split(spark, sf_dir):
     return stratified_split(df, "y").select("RA", "ano", "y", "is_test")
 
 
+def _train_features(spark, sf_dir):
+    from .model import prepare
+    df = _labelled(spark, sf_dir)
+    cat, num = NM.split_features([c for c in df.columns if c not in ("y", "RA", "Nome", "ano")])
+    return prepare(df, cat, num, keep=["RA", "ano", "y"]), cat, num
+
+
+@register("m1_category_modes")
+def m1_category_modes(spark, sf_dir):
+    """M1: most frequent value and category count per categorical feature on
+    the training years (one job)."""
+    from .model import category_modes
+    prepared, cat, _ = _train_features(spark, sf_dir)
+    return category_modes(prepared.filter(F.col("ano") < TEST_YEAR), cat)
+
+
+@register("m2_numeric_medians")
+def m2_numeric_medians(spark, sf_dir):
+    """M2: exact median per numeric feature on the training years (one job),
+    the values the fitted pipeline imputes."""
+    from ..operators.drift import exact_medians
+    from .model import _safe
+    prepared, _, num = _train_features(spark, sf_dir)
+    back = {_safe(c): c for c in num}
+    names = F.create_map(*[x for k, v in back.items() for x in (F.lit(k), F.lit(v))])
+    med = exact_medians(prepared.filter(F.col("ano") < TEST_YEAR), list(back))
+    return med.select(names[F.col("feature")].alias("feature"), F.bround("median", 9).alias("median"))
+
+
 @register("m3_feature_matrix")
 def m3_feature_matrix(spark, sf_dir):
     """M1–M3: the fitted preprocessing (all stages but the trees) applied to
     every pupil-year: vector size and non-zeros per row."""
     from pyspark.ml import Pipeline as _Pipeline
+    from pyspark.ml.functions import vector_to_array
 
-    from .model import build_pipeline, prepare
-    df = _labelled(spark, sf_dir)
-    cat, num = NM.split_features([c for c in df.columns if c not in ("y", "RA", "Nome", "ano")])
-    prepared = prepare(df, cat, num, keep=["RA", "ano", "y"])
-    stages = build_pipeline(cat, num).getStages()[:-1]
-    fitted = _Pipeline(stages=stages).fit(prepared.filter(F.col("ano") < TEST_YEAR))
+    from .model import build_pipeline, numeric_medians
+    prepared, cat, num = _train_features(spark, sf_dir)
+    train = prepared.filter(F.col("ano") < TEST_YEAR)
+    stages = build_pipeline(cat, num, medians=numeric_medians(train, num)).getStages()[:-1]
+    fitted = _Pipeline(stages=stages).fit(train)
     out = fitted.transform(prepared)
-    from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("features")
     return out.select("RA", "ano", F.size(arr).alias("n_features"),
                       F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))

@@ -11,7 +11,8 @@ from datetime import datetime, timezone
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,24 +56,47 @@ def prepare(df: DataFrame, cat: list[str], num: list[str], keep: list[str] | Non
     return df.select(*[R.c(k) for k in (keep or []) if k in df.columns], *feature_columns(df, cat, num))
 
 
+def category_modes(df: DataFrame, cat: list[str]) -> DataFrame:
+    """M1: per categorical column, the most frequent value (ties: smallest)
+    and the number of categories, in one job: ``(feature, mode, n_categories)``.
+    Value counts are combined map-side; the result has one row per column."""
+    safe = [_safe(c) for c in cat]
+    args = ", ".join(f"'{c}', `{s}`" for c, s in zip(cat, safe))
+    long = df.select(F.expr(f"stack({len(cat)}, {args}) as (feature, value)")).filter(F.col("value").isNotNull())
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("feature").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
+        F.count(F.lit(1)).alias("n_categories"))
+
+
 def most_frequent_fill(df: DataFrame, cat: list[str]) -> dict[str, str]:
-    """M1 imputation values: the most frequent value per categorical column
-    (ties: smallest value). One aggregate per column over distinct counts;
-    only the winners (one value per column) reach the driver."""
-    out = {}
-    for c in cat:
-        s = _safe(c)
-        counts = df.filter(F.col(s).isNotNull()).groupBy(s).count()
-        best = counts.agg(F.min_by(F.col(s), F.struct(-F.col("count"), F.col(s))).alias("v")).first()
-        if best is not None and best["v"] is not None:
-            out[s] = best["v"]
-    return out
+    """M1 imputation values keyed by safe column name (one row per column
+    reaches the driver)."""
+    if not cat:
+        return {}
+    return {_safe(r["feature"]): r["mode"] for r in category_modes(df, cat).collect()}
+
+
+def numeric_medians(df: DataFrame, num: list[str]) -> dict[str, float]:
+    """M2 imputation values: exact medians of the safe numeric columns (one
+    distributed job; one value per column reaches the driver)."""
+    if not num:
+        return {}
+    from ..operators.drift import exact_medians
+    med = exact_medians(df, [_safe(c) for c in num])
+    return {r["feature"]: r["median"] for r in med.collect()}
 
 
 def build_pipeline(cat: list[str], num: list[str], label: str = "y", weight: str | None = "w",
-                   params: dict | None = None) -> Pipeline:
+                   params: dict | None = None, medians: dict[str, float] | None = None) -> Pipeline:
     """M1–M4: index + one-hot (unknown -> zero vector), median impute +
-    standard scale, assemble, boosted trees."""
+    standard scale, assemble, boosted trees.
+
+    With ``medians`` (exact, from :func:`numeric_medians`) the imputation is a
+    ``SQLTransformer`` stage holding those values, so the fitted model carries
+    them to serving; a column without any value is left out, as an all-empty
+    feature carries no information. Without, Spark's ``Imputer`` (approximate
+    median) is used."""
     p = dict(P.GBT_PARAMS)
     p.update(params or {})
     cs = [_safe(c) for c in cat]
@@ -83,9 +107,15 @@ def build_pipeline(cat: list[str], num: list[str], label: str = "y", weight: str
                                     stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cs], outputCols=[f"{c}_ohe" for c in cs],
                                     dropLast=True, handleInvalid="keep"))
-    if ns:
+    if medians is not None:
+        ns = [c for c in ns if medians.get(c) is not None]
+        if ns:
+            fills = ", ".join(f"coalesce(`{c}`, CAST('{float(medians[c])!r}' AS DOUBLE)) AS `{c}_imp`" for c in ns)
+            stages.append(SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"))
+    elif ns:
         stages.append(Imputer(inputCols=ns, outputCols=[f"{c}_imp" for c in ns], strategy="median",
                               relativeError=1e-4))
+    if ns:
         stages.append(VectorAssembler(inputCols=[f"{c}_imp" for c in ns], outputCol="_num", handleInvalid="keep"))
         stages.append(StandardScaler(inputCol="_num", outputCol="_num_scaled", withMean=True, withStd=True))
     stages.append(VectorAssembler(inputCols=[f"{c}_ohe" for c in cs] + (["_num_scaled"] if ns else []),
@@ -130,8 +160,9 @@ def train(df_train: DataFrame, label: str = "y", params: dict | None = None, kee
     fill = most_frequent_fill(prepared, cat)
     if fill:
         prepared = prepared.fillna(fill)
+    medians = numeric_medians(prepared, num)
     weighted = M.class_weights(prepared, label, "w")
-    model = build_pipeline(cat, num, label, "w", params).fit(weighted)
+    model = build_pipeline(cat, num, label, "w", params, medians=medians).fit(weighted)
     return model, cat, num
 
 

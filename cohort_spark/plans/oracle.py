@@ -618,3 +618,19 @@ SQL["m7_scorer_choice"] = views() + f"""
 SELECT trim("RA") AS ra, _risk_label AS risk_label, round_even(_risk_score, 9) AS risk_score,
   'risco_futuro' AS risk_type, CAST(NULL AS VARCHAR) AS model_version, false AS used_model
 FROM sc WHERE ano = 1996"""
+
+_BLANK_CAT = "CASE WHEN {x} IS NULL OR CAST({x} AS VARCHAR) IN ('nan', '') THEN '<blank>' ELSE CAST({x} AS VARCHAR) END"
+SQL["m1_category_modes"] = views() + "SELECT feature, mode, n_categories FROM (SELECT feature, value AS mode, " + \
+    "row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS rk, count(*) OVER (PARTITION BY feature) " + \
+    "AS n_categories FROM (SELECT feature, value, count(*) AS n FROM (" + " UNION ALL ".join(
+        f"SELECT {q(c)} AS feature, " + _BLANK_CAT.format(x=f'"{c}"') + " AS value FROM py WHERE ano < 1998"
+        for c in _CAT) + ") l GROUP BY 1, 2) c) r WHERE rk = 1"
+SQL["m2_numeric_medians"] = views() + " UNION ALL ".join(
+    f"SELECT {q(c)} AS feature, round_even(quantile_cont(\"{c}\", 0.5), 9) AS median FROM py "
+    f"WHERE ano < 1998 AND \"{c}\" IS NOT NULL AND NOT isnan(\"{c}\") AND abs(\"{c}\") < 'inf'{D} "
+    f"HAVING count(*) > 0" for c in _NUM)
+SQL["o4_union_by_name"] = views() + f"""
+SELECT "RA", ano, round_even(least(greatest(1.0{D} - _inde2 / 10.0{D}, 0.0{D}), 1.0{D}), 9) AS risk_score,
+  {rule_label_sql('_inde2')} AS risk_label, CASE WHEN ano = 1996 THEN NULL ELSE "INDE 22" END AS inde
+FROM (SELECT *, CASE WHEN ano = 1996 THEN least(greatest(coalesce(_media, 6.0{D}), 0.0{D}), 10.0{D})
+                ELSE _inde END AS _inde2 FROM sc) x"""

@@ -210,9 +210,11 @@ def temporal_split(df: DataFrame, test_year: int, prof: Profile = DEFAULT) -> tu
     return df.filter(y < test_year), df.filter(y == test_year)
 
 
-def list_rows(scored: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
-    """Pupil list projection: key, name, class, mean display, class, label."""
+def list_rows(scored: DataFrame, prof: Profile = DEFAULT, extra: list[str] | None = None) -> DataFrame:
+    """Pupil list projection: key, name, class, mean display, class, label
+    (plus the year and any ``extra`` columns, e.g. grouping keys)."""
     mean = F.col(prof.mean)
+    extra = [c for c in (extra or []) if c != prof.year]
     return scored.select(
         F.trim(R.c(prof.key).cast("string")).alias("ra"),
         F.trim(R.c(prof.name).cast("string")).alias("nome"),
@@ -222,6 +224,7 @@ def list_rows(scored: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
         F.col(prof.label).alias("risco"),
         F.col(prof.score).alias("risk_score"),
         *([R.c(prof.year)] if prof.year in scored.columns else []),
+        *[R.c(c) for c in extra],
     )
 
 
@@ -233,7 +236,7 @@ def top_high_risk(scored: DataFrame, k: int = P.TOP_HIGH_RISK, by: list[str] | N
     window-group limit before the shuffle, so a hot group ships at most ``k``
     rows per input partition."""
     by = by or []
-    rows = list_rows(high_risk_rows(scored, prof), prof)
+    rows = list_rows(high_risk_rows(scored, prof), prof, extra=by)
     order = [F.col("risk_score").desc(), F.col("ra").asc()]
     if not by:
         w = Window.partitionBy(F.lit(0)).orderBy(*order)

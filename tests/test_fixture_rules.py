@@ -75,3 +75,21 @@ def test_top_and_lists(spark):
     assert [(r.ra, r.row_number, r.media) for r in top] == [("111", 1, "5,7")]
     assert [r.ra for r in C.follow_up_list(sc).collect()] == []
     assert [r.RA for r in C.parent_meeting_list(sc).collect()] == ["111"]
+
+
+def test_dashboard_job(spark):
+    from cohort_spark.plans.dashboard import write_dashboard
+    from cohort_spark.session import scratch_path
+    out = scratch_path(spark, "dash")
+    names = write_dashboard(stacked(spark), 2022, out, school="Escola X")
+    got = {n: spark.read.parquet(f"{out}/{n}").collect() for n in names}
+    ind = got["indicadores"][0]
+    assert (ind.n_high, ind.pct_high, ind.total) == (1, 50, 2)
+    assert got["media_geral"][0].media_geral_display == "6,2"
+    a = got["acoes"][0]
+    assert (a.plano_reforco, a.acompanhamento, a.reuniao_pais, a.sem_progresso, a.proxima_fase) == (1, 1, 1, 2, 0)
+    assert got["alertas"][0].alertas == 2 and [r.escola for r in got["escolas"]] == ["Escola X"]
+    # an unknown school falls back to every school
+    out2 = scratch_path(spark, "dash2")
+    write_dashboard(stacked(spark), 2022, out2, school="Escola Z")
+    assert spark.read.parquet(f"{out2}/indicadores").first().total == 2

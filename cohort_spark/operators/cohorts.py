@@ -260,7 +260,7 @@ def export_frame(scored: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
         F.trim(R.c(prof.key).cast("string")).alias("RA"),
         F.trim(R.c(prof.name).cast("string")).alias("Aluno"),
         F.trim(R.c(prof.klass).cast("string")).alias("Turma"),
-        F.bround(F.col(prof.mean), 1).alias("Media"),
+        F.bround(F.col(prof.mean), 1).alias("Média"),
         F.col(prof.label).alias("Risco"),
     )
     return rows
@@ -268,4 +268,4 @@ def export_frame(scored: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
 
 def export_order(rows: DataFrame) -> DataFrame:
     """O2 with visible positions."""
-    return global_row_number(rows, [F.col("Risco").asc(), F.col("Media").asc_nulls_last(), F.col("RA").asc()])
+    return global_row_number(rows, [F.col("Risco").asc(), F.col("Média").asc_nulls_last(), F.col("RA").asc()])

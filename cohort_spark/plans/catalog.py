@@ -89,7 +89,7 @@ def s3_export_csv(spark, sf_dir):
     path = scratch_path(spark, "export")
     IO.write_export_csv(rows, path)
     schema = T.StructType([T.StructField("RA", T.StringType()), T.StructField("Aluno", T.StringType()),
-                           T.StructField("Turma", T.StringType()), T.StructField("Media", T.DoubleType()),
+                           T.StructField("Turma", T.StringType()), T.StructField("Média", T.DoubleType()),
                            T.StructField("Risco", T.StringType())])
     back = IO.read_export_csv(spark, path, schema)
     return C.export_order(back)

@@ -340,9 +340,9 @@ def profile_sql() -> str:
 
 
 def export_sql(year: int) -> str:
-    return (f'SELECT row_number() OVER (ORDER BY "Risco", "Media" NULLS LAST, "RA") AS row_number, * FROM ('
+    return (f'SELECT row_number() OVER (ORDER BY "Risco", "Média" NULLS LAST, "RA") AS row_number, * FROM ('
             f'SELECT trim("RA") AS "RA", trim("Nome") AS "Aluno", trim("Turma") AS "Turma", '
-            f'round_even(_media, 1) AS "Media", _risk_label AS "Risco" FROM sc WHERE ano = {year} AND {HIGH}) ex')
+            f'round_even(_media, 1) AS "Média", _risk_label AS "Risco" FROM sc WHERE ano = {year} AND {HIGH}) ex')
 
 
 def ordered_list_sql(where: str) -> str:

@@ -208,10 +208,9 @@ nn AS (SELECT * FROM lv WHERE value IS NOT NULL),
 fin AS (SELECT * FROM lv WHERE {fin}),
 rr AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS r
        FROM fin WHERE side = 'ref'),
-tg0 AS (SELECT x.feature, x.n, kk.k,
-          CAST(x.n - 1 AS DOUBLE) * (CAST(kk.k AS DOUBLE) * {1.0 / bins!r}{D}) AS h
-        FROM (SELECT feature, count(*) AS n FROM fin WHERE side = 'ref' GROUP BY feature) x
-        CROSS JOIN (SELECT range AS k FROM range(0, {bins + 1})) kk),
+tg0 AS (SELECT feature, n, k, CAST(n - 1 AS DOUBLE) * (CAST(k AS DOUBLE) * {1.0 / bins!r}{D}) AS h
+        FROM (SELECT feature, n, unnest(range(0, {bins + 1})) AS k
+              FROM (SELECT feature, count(*) AS n FROM fin WHERE side = 'ref' GROUP BY feature) x) xk),
 tg AS (SELECT feature, k, h - floor(h) AS t, CAST(floor(h) AS BIGINT) AS lo,
          least(CAST(floor(h) AS BIGINT) + 1, n - 1) AS hi FROM tg0),
 qq AS (SELECT tg.feature, tg.k, tg.t, a.value AS a, b.value AS b FROM tg
@@ -225,10 +224,8 @@ bn AS (SELECT f.side, f.feature,
               ELSE len(list_filter(ed.edges, lambda e: e <= f.value)) END AS bin, len(ed.edges) AS m
        FROM fin f JOIN ed ON f.feature = ed.feature),
 cnt AS (SELECT side, feature, bin, count(*) AS c FROM bn WHERE bin >= 1 AND bin <= m - 1 GROUP BY 1, 2, 3),
-grid AS (SELECT ed.feature, len(ed.edges) AS m, g.bin, sd.side FROM ed
-         CROSS JOIN (SELECT range AS bin FROM range(1, {bins + 2})) g
-         CROSS JOIN (SELECT 'ref' AS side UNION ALL SELECT 'cur') sd
-         WHERE g.bin <= greatest(len(ed.edges) - 1, 1)),
+grid AS (SELECT feature, m, bin, unnest(['ref', 'cur']) AS side
+         FROM (SELECT feature, len(edges) AS m, unnest(range(1, greatest(len(edges) - 1, 1) + 1)) AS bin FROM ed) g),
 fl AS (SELECT grid.*, coalesce(cnt.c, 0) AS c FROM grid LEFT JOIN cnt
        ON grid.side = cnt.side AND grid.feature = cnt.feature AND grid.bin = cnt.bin),
 tt AS (SELECT side, feature, sum(c) AS tot FROM fl GROUP BY 1, 2),
@@ -435,7 +432,9 @@ SELECT doc_id, CASE WHEN score >= 0.70{D} THEN 'Alta Defasagem' WHEN score >= 0.
 SQL["c7_minmax_scale"] = """
 WITH d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS raw FROM documents),
 mm AS (SELECT min(raw) AS mn, max(raw) AS mx FROM d)
-SELECT doc_id, round_even(CASE WHEN mx > mn THEN (raw - mn) / (mx - mn) ELSE 0.0::DOUBLE END, 12) AS scaled FROM d, mm"""
+SELECT doc_id, round_even(CASE WHEN (SELECT mx FROM mm) > (SELECT mn FROM mm)
+  THEN (raw - (SELECT mn FROM mm)) / ((SELECT mx FROM mm) - (SELECT mn FROM mm)) ELSE 0.0::DOUBLE END, 12) AS scaled
+FROM d"""
 SQL["c8_same_year_target"] = views() + (
     f'SELECT "RA", ano, CAST(({nz(chr(34) + "INDE 22" + chr(34) + " < 4.0" + D)} OR {nz("IPS < 0.4" + D)} '
     f'OR {nz(chr(34) + "Pedra 22" + chr(34) + " <= 1.0" + D)}) AS INTEGER) AS target FROM py')
@@ -526,8 +525,8 @@ SQL["a8_class_weights"] = views() + f"""
 SELECT "RA", ano, y, round_even(CASE WHEN pos = 0 OR n - pos = 0 THEN 1.0{D}
     WHEN y = 1 THEN CAST(n AS DOUBLE) / (2.0{D} * CAST(pos AS DOUBLE))
     ELSE CAST(n AS DOUBLE) / (2.0{D} * CAST(n - pos AS DOUBLE)) END, 12) AS w
-FROM (SELECT "RA", ano, {_Y} AS y FROM py WHERE ano < 1998) t,
-     (SELECT count(*) AS n, count(*) FILTER (WHERE {_Y} = 1) AS pos FROM py WHERE ano < 1998) s"""
+FROM (SELECT "RA", ano, {_Y} AS y, (SELECT count(*) FROM py WHERE ano < 1998) AS n,
+        (SELECT count(*) FILTER (WHERE {_Y} = 1) FROM py WHERE ano < 1998) AS pos FROM py WHERE ano < 1998) t"""
 SQL["a9_dataset_sizes"] = views() + ("SELECT count(*) FILTER (WHERE ano < 1998) AS n_train, "
                                      "count(*) FILTER (WHERE ano = 1998) AS n_test FROM py")
 _HIST_BIN = " + ".join(f"CASE WHEN f.value >= {k}.0{D} * h.step + h.lo THEN 1 ELSE 0 END" for k in range(1, 10))
@@ -541,10 +540,10 @@ hs AS (SELECT side, feature, CASE WHEN mx > mn THEN mn ELSE mn - 0.5{D} END AS l
 h AS (SELECT *, (hi - lo) / 10.0{D} AS step FROM hs),
 hb AS (SELECT f.side, f.feature, {_HIST_BIN} AS bin FROM fin f JOIN h ON f.side = h.side AND f.feature = h.feature),
 hc AS (SELECT side, feature, bin, count(*) AS c FROM hb GROUP BY 1, 2, 3)
-SELECT h.side, h.feature, g.bin, round_even(CAST(g.bin AS DOUBLE) * h.step + h.lo, 9) AS left_edge,
+SELECT g.side, g.feature, g.bin, round_even(CAST(g.bin AS DOUBLE) * g.step + g.lo, 9) AS left_edge,
   coalesce(hc.c, 0) AS count
-FROM h CROSS JOIN (SELECT range AS bin FROM range(0, 10)) g
-LEFT JOIN hc ON hc.side = h.side AND hc.feature = h.feature AND hc.bin = g.bin"""
+FROM (SELECT *, unnest(range(0, 10)) AS bin FROM h) g
+LEFT JOIN hc ON hc.side = g.side AND hc.feature = g.feature AND hc.bin = g.bin"""
 SQL["a11_psi"] = "WITH " + LINE_PSI.strip() + "\nSELECT feature, psi FROM drift"
 SQL["a12_drift"] = "WITH " + LINE_PSI.strip() + "\nSELECT * FROM drift"
 SQL["a13_status_summary"] = views(PUPIL_PSI) + " UNION ALL ".join(
@@ -573,33 +572,13 @@ rm AS (SELECT CASE WHEN "P" > 0 AND "N" > 0 THEN round_even(u / (CAST("P" AS DOU
          "P" AS n_pos, "N" AS n_neg FROM rk)"""
 SQL["a15_roc_auc"] = f"WITH {DOCS.strip()},{_RANK}\nSELECT roc_auc FROM rm"
 SQL["a16_avg_precision"] = f"WITH {DOCS.strip()},{_RANK}\nSELECT pr_auc FROM rm"
-SQL["a17_evaluation"] = f"""WITH {DOCS.strip()},{_RANK}
+SQL["a17_evaluation"] = f"""WITH {DOCS.strip()},{_RANK},
+pm AS (SELECT {_PRF} FROM {_CM} c0)
 SELECT n_pos, n_neg, roc_auc, pr_auc,
-  CASE WHEN n_pos > 0 AND n_neg > 0 THEN f1 END AS f1, CASE WHEN n_pos > 0 AND n_neg > 0 THEN precision END AS precision,
-  CASE WHEN n_pos > 0 AND n_neg > 0 THEN recall END AS recall
-FROM rm, (SELECT {_PRF} FROM {_CM} c0) m"""
-
-# ---- longitudinal
-SQL["l1_no_progress"] = views(LONG) + "SELECT * FROM l1"
-SQL["l2_next_phase"] = views(LONG) + ('SELECT "RA", round_even(first_inde, 9) AS first_inde, '
-                                      'round_even(last_inde, 9) AS last_inde, last_label FROM l2')
-SQL["l3_evolution"] = views(LONG) + """
-SELECT k."RA", coalesce(ps.steps_with = 0, false) AS sem_progresso,
-  coalesce(ps.last_inde > ps.first_inde AND coalesce(ps.last_label IN ('Regular', 'Médio'), false), false) AS proxima_fase,
-  CASE WHEN ps."RA" IS NULL THEN 'Histórico insuficiente.' ELSE '' END AS mensagem
-FROM (SELECT DISTINCT trim(CAST(user_id AS VARCHAR)) AS "RA" FROM events) k LEFT JOIN ps ON k."RA" = ps."RA\""""
-SQL["l4_top_high_risk"] = views() + f"""
-SELECT * FROM (SELECT ano, row_number() OVER (PARTITION BY ano ORDER BY _risk_score DESC, trim("RA")) AS row_number,
-  {list_cols_sql()}, round_even(_risk_score, 9) AS risk_score FROM sc WHERE {HIGH}) x WHERE row_number <= 15"""
-
-# ---- orders
-SQL["o1_full_list"] = views() + f"""
-SELECT row_number() OVER (ORDER BY _risk_score DESC, trim("RA")) AS row_number, {list_cols_sql()},
-  round_even(_risk_score, 9) AS risk_score FROM sc WHERE ano = 1997"""
-SQL["o2_export_order"] = views() + export_sql(1997)
-SQL["o3_drift_order"] = views(PUPIL_PSI) + """
-SELECT row_number() OVER (ORDER BY psi DESC NULLS LAST, feature) AS row_number, feature, psi, status, ref_count, cur_count
-FROM drift"""
+  CASE WHEN n_pos > 0 AND n_neg > 0 THEN (SELECT f1 FROM pm) END AS f1,
+  CASE WHEN n_pos > 0 AND n_neg > 0 THEN (SELECT precision FROM pm) END AS precision,
+  CASE WHEN n_pos > 0 AND n_neg > 0 THEN (SELECT recall FROM pm) END AS recall
+FROM rm"""
 
 # ---- model
 SQL["m5_stratified_split"] = views().rstrip() + f"""
@@ -608,9 +587,9 @@ SQL["m5_stratified_split"] = views().rstrip() + f"""
 rk AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, CAST("RA" AS BIGINT), ano) - 1 AS r FROM lab),
 per AS (SELECT y, count(*) AS nc FROM lab GROUP BY y),
 tot AS (SELECT sum(nc) AS n, CAST(ceil(CAST(sum(nc) AS DOUBLE) * 0.2{D}) AS BIGINT) AS n_test FROM per),
-p2 AS (SELECT per.y, floor(CAST(tot.n_test AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(tot.n AS DOUBLE)) AS fl,
-         CAST(tot.n_test AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(tot.n AS DOUBLE)
-         - floor(CAST(tot.n_test AS DOUBLE) * CAST(nc AS DOUBLE) / CAST(tot.n AS DOUBLE)) AS fr, tot.n_test FROM per, tot),
+p1 AS (SELECT y, CAST((SELECT n_test FROM tot) AS DOUBLE) * CAST(nc AS DOUBLE)
+         / CAST((SELECT n FROM tot) AS DOUBLE) AS cont, (SELECT n_test FROM tot) AS n_test FROM per),
+p2 AS (SELECT y, floor(cont) AS fl, cont - floor(cont) AS fr, n_test FROM p1),
 al AS (SELECT y, fl + CASE WHEN row_number() OVER (ORDER BY fr DESC, y)
                              <= n_test - (SELECT sum(fl) FROM p2) THEN 1 ELSE 0 END AS alloc FROM p2)
 SELECT rk."RA", rk.ano, rk.y, rk.r < al.alloc AS is_test FROM rk JOIN al ON rk.y = al.y"""

@@ -133,6 +133,21 @@ def same_year_target(df: DataFrame, prof: Profile = DEFAULT) -> Column:
     return out.cast("int")
 
 
+def next_year_target(stacked: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
+    """C8 with ``horizon=1``: the target of year t is the same-year rule
+    evaluated on the key's row of year t + 1 (null when that row is absent).
+    A self equi-join on (key, year + 1); both sides shuffle on the key."""
+    nxt = stacked.select(R_key(prof).alias("_k"), (c(prof.year) - 1).alias("_y"),
+                         same_year_target(stacked, prof).alias("target_next"))
+    cur = stacked.withColumn("_k", R_key(prof)).withColumn("_y", c(prof.year))
+    return cur.join(nxt, ["_k", "_y"], "left").drop("_k", "_y")
+
+
+def R_key(prof: Profile) -> Column:
+    """The trimmed key as text."""
+    return F.trim(c(prof.key).cast("string"))
+
+
 def latest_stone(df: DataFrame, prof: Profile = DEFAULT) -> Column:
     """Latest non-null of Pedra 22, 21, 20 as text, else '-'."""
     present = [c(s).cast("string") for s in reversed(prof.stones) if has(df, s)]

@@ -263,6 +263,13 @@ def c8_same_year_target(spark, sf_dir):
     return py.select("RA", "ano", R.same_year_target(py).alias("target"))
 
 
+@register("c8_next_year_target")
+def c8_next_year_target(spark, sf_dir):
+    """C8, horizon 1: the same-year rule read on the following year's row."""
+    out = R.next_year_target(T_.pupil_year(spark, sf_dir))
+    return out.select("RA", "ano", "target_next")
+
+
 @register("c9_decimal_display")
 def c9_decimal_display(spark, sf_dir):
     sc = scored_years(spark, sf_dir)

@@ -613,3 +613,7 @@ SELECT "RA", ano, round_even(least(greatest(1.0{D} - _inde2 / 10.0{D}, 0.0{D}),
   {rule_label_sql('_inde2')} AS risk_label, CASE WHEN ano = 1996 THEN NULL ELSE "INDE 22" END AS inde
 FROM (SELECT *, CASE WHEN ano = 1996 THEN least(greatest(coalesce(_media, 6.0{D}), 0.0{D}), 10.0{D})
                 ELSE _inde END AS _inde2 FROM sc) x"""
+SQL["c8_next_year_target"] = views() + f"""
+SELECT a."RA", a.ano, b.target_next FROM py a
+LEFT JOIN (SELECT trim("RA") AS k, ano - 1 AS y, {_Y} AS target_next FROM py) b
+  ON trim(a."RA") = b.k AND a.ano = b.y"""

@@ -113,9 +113,11 @@ def read_requests(spark: SparkSession, path: str, columns: dict[str, T.DataType]
     schema = request_schema(columns)
     raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    # cache-free split: the corrupt column is only used as a filter
+    # The reject frame keeps every field: whether a line is corrupt depends on
+    # the fields parsed, so consume it whole (write or collect it); Spark
+    # refuses a scan that would read the corrupt-record column alone.
     good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = raw.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    bad = raw.filter(F.col("_corrupt_record").isNotNull())
     return good, bad
 
 

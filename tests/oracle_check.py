@@ -32,8 +32,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v, places: int):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", object()):
         return None
+    try:
+        if __import__("pandas").isna(v) is True:
+            return None
+    except (TypeError, ValueError):
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None

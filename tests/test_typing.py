@@ -41,3 +41,26 @@ def test_next_year_and_first_per_key(spark):
 def test_feature_choice():
     cat, num = NM.split_features(["RA", "Nome", "Turma", "INDE 22", "Indicado", "Rec Av1", "ano", "IEG"])
     assert cat == ["Indicado", "Turma"] and num == ["IEG", "INDE 22"]
+
+
+def test_requests_reject_frame(spark):
+    from pyspark.sql import types as T
+
+    from cohort_spark.session import scratch_path
+    from cohort_spark.sources.io import read_requests
+    path = scratch_path(spark, "req-json")
+    import os
+    os.makedirs(path.replace("file:", ""), exist_ok=True)
+    with open(os.path.join(path.replace("file:", ""), "part.json"), "w") as fh:
+        fh.write('{"RA": "111", "INDE 22": 5.0}\n{"RA": "222"}\n[1, 2]\n{not json\n')
+    good, bad = read_requests(spark, path, {"RA": T.StringType(), "INDE 22": T.DoubleType()})
+    assert sorted(r.RA for r in good.collect()) == ["111", "222"]
+    assert len(bad.collect()) == 2
+
+
+def test_regex_search(spark):
+    from cohort_spark.operators.cohorts import search
+    df = spark.createDataFrame([("Ana", "T1"), ("Bruno", "T2"), (None, "X")], "Nome string, Turma string")
+    assert [r.Nome for r in search(df, "^an").collect()] == []          # literal by default
+    assert [r.Nome for r in search(df, "^an", regex=True).collect()] == ["Ana"]
+    assert [r.Nome for r in search(df, "t2").collect()] == ["Bruno"]

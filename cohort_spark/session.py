@@ -62,3 +62,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def is_local_path(path: str) -> bool:
     return path.startswith("file:") or os.path.isabs(path)
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized to the input: enough shuffle partitions that the largest
+    stage (the orders aggregation, about the size of its projected input)
+    lands near ``target_partition_bytes`` per task, so tasks fit in executor
+    memory without spilling; AQE then coalesces small partitions and splits
+    skewed ones at run time."""
+    shuffle = max(200, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 256 << 20)),
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    for k, v in conf.items():
+        spark.conf.set(k, v)

@@ -64,13 +64,15 @@ def is_local_path(path: str) -> bool:
     return path.startswith("file:") or os.path.isabs(path)
 
 
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Settings sized to the input: enough shuffle partitions that the largest
-    stage (the orders aggregation, about the size of its projected input)
-    lands near ``target_partition_bytes`` per task, so tasks fit in executor
-    memory without spilling; AQE then coalesces small partitions and splits
-    skewed ones at run time."""
-    shuffle = max(200, -(-int(input_bytes) // int(target_partition_bytes)))
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                 max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized to ``input_bytes``, the size of the largest table that is
+    shuffled (the orders table for the pupil binding): enough shuffle
+    partitions that each task of that stage handles about
+    ``target_partition_bytes`` and fits in executor memory without spilling,
+    capped so the map x reduce block count stays manageable; AQE then
+    coalesces small partitions and splits skewed ones at run time."""
+    shuffle = min(max_partitions, max(200, -(-int(input_bytes) // int(target_partition_bytes))))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

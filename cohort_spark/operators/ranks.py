@@ -25,10 +25,11 @@ def scalars(one_row: DataFrame) -> dict[str, Column]:
     return {c: packed.getField(c) for c in one_row.columns}
 
 
-def _parts(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _range(df: DataFrame, keys: list[Column], partitions: int | None) -> DataFrame:
+    """Range-partition on ``keys``. Without an explicit count AQE coalesces
+    adjacent ranges (order is kept), so a small table does not spread over
+    thousands of near-empty partitions; ids are frozen afterwards."""
+    return df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number",
@@ -36,8 +37,7 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     """1-based position of each row in a total order, computed in parallel.
 
     ``order`` must be a total order (add a key as the last tie-break)."""
-    n = _parts(df, partitions)
-    ranged = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = cut_lineage(_range(df, order, partitions).sortWithinPartitions(*order)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -60,10 +60,9 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
     each summed by its own task. The partition id is frozen by the
     checkpoint: range bounds come from a sample seeded per execution, so two
     runs of the same exchange may place a row differently."""
-    n = _parts(df, partitions)
     okey = F.col(order).desc() if descending else F.col(order).asc()
     gcols = [F.col(g) for g in group]
-    ranged = cut_lineage(df.repartitionByRange(n, *gcols, okey).withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(_range(df, [*gcols, okey], partitions).withColumn("_pid", F.spark_partition_id()))
     keys = group + ["_pid"]
     part_tot = ranged.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     wp = (Window.partitionBy(*gcols) if group else Window.partitionBy(F.lit(0))).orderBy("_pid") \

@@ -68,3 +68,14 @@ def test_histogram_matches_numpy(spark):
         want, _ = np.histogram(arr, bins=10)
         got = h[h.side == side].sort_values("bin")["count"].tolist()
         assert got == want.tolist()
+
+
+def test_psi_on_lineitem_matches_numpy(spark):
+    from cohort_spark.sources import tables as T_
+    sf = "/root/testdata/sf0.01"
+    ref = T_.feature_side(spark, sf, T_.DRIFT_REF_YEAR)
+    cur = T_.feature_side(spark, sf, T_.DRIFT_CUR_YEAR)
+    got = {r.feature: r.psi for r in D.psi_table(ref, cur, list(T_.LINE_FEATURES)).collect()}
+    rp, cp = ref.toPandas(), cur.toPandas()
+    for f in T_.LINE_FEATURES:
+        assert abs(got[f] - numpy_psi(rp[f].tolist(), cp[f].tolist())) < 1e-9

@@ -64,3 +64,17 @@ def test_regex_search(spark):
     assert [r.Nome for r in search(df, "^an").collect()] == []          # literal by default
     assert [r.Nome for r in search(df, "^an", regex=True).collect()] == ["Ana"]
     assert [r.Nome for r in search(df, "t2").collect()] == ["Bruno"]
+
+
+def test_decimal_comma_matches_python_formatting(spark):
+    import random
+
+    from cohort_spark.functions.text import decimal_comma
+    rnd = random.Random(9)
+    vals = [rnd.uniform(-10, 10) for _ in range(300)] + [0.125, 6.25, 6.35, 6.45, 2.675, -0.04, 0.005, 1e-9]
+    vals += [k / 8 for k in range(-40, 41)]                 # exact binary ties
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for places in (1, 2):
+        got = [r.t for r in df.select(decimal_comma(F.col("x"), places).alias("t")).collect()]
+        want = [f"{v:.{places}f}".replace(".", ",") for v in vals]
+        assert got == want

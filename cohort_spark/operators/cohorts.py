@@ -107,11 +107,15 @@ def action_counts(scored: DataFrame, by: list[str] | None = None, progress: Data
 
 
 def alert_count(scored: DataFrame, by: list[str] | None = None, prof: Profile = DEFAULT) -> DataFrame:
-    """High-risk count plus truthy-Indicado count (a pupil can count twice)."""
+    """High-risk count plus truthy-Indicado count (a pupil can count
+    twice), and the list pages' variants: ``Muito Alto`` count (follow-up
+    list) and high-risk count (parent-meeting list)."""
     by = by or []
     lab = F.col(prof.label)
     return _agg(scored, by,
-                (F.count_if(R.high_risk(lab)) + F.count_if(R.indicated(scored, prof))).alias("alertas"))
+                (F.count_if(R.high_risk(lab)) + F.count_if(R.indicated(scored, prof))).alias("alertas"),
+                F.count_if(N.nz(lab == "Muito Alto")).alias("alertas_acompanhamento"),
+                F.count_if(R.high_risk(lab)).alias("alertas_reuniao"))
 
 
 def schools(df: DataFrame, prof: Profile = DEFAULT) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import profile as P
 from ..operators import cohorts as C
 from ..operators import longitudinal as L
-from ..operators.scoring import score_rule
+from ..operators.scoring import score
 from ..profile import DEFAULT, Profile
 
 
@@ -36,10 +36,11 @@ def dashboard_frames(scored: DataFrame, year: int, school: str | None = None, q:
 
 
 def write_dashboard(stacked: DataFrame, year: int, out_dir: str, school: str | None = None, q: str | None = None,
-                    prof: Profile = DEFAULT) -> list[str]:
-    """Score once, persist, write every output under ``out_dir``; returns the
-    table names written."""
-    scored = score_rule(stacked, prof).persist(StorageLevel.MEMORY_AND_DISK)
+                    bundle=None, prof: Profile = DEFAULT) -> list[str]:
+    """Score once (model ``bundle`` when usable, else the rule — M7),
+    persist, write every output under ``out_dir``; returns the table names."""
+    scored, _used = score(stacked, bundle, prof)
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         frames = dashboard_frames(scored, year, school, q, prof)
         for name, df in frames.items():

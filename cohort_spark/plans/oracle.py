@@ -516,7 +516,9 @@ SELECT ano, count(*) FILTER (WHERE {HIGH} AND NOT {REC_FILLED}) AS plano_reforco
   (SELECT count(*) FROM l1) AS sem_progresso, (SELECT count(*) FROM l2) AS proxima_fase
 FROM sc GROUP BY ano"""
 SQL["a6_alert_count"] = views() + (f"SELECT {_BY}, count(*) FILTER (WHERE {HIGH}) + "
-                                   f"count(*) FILTER (WHERE {truthy_sql('Indicado')}) AS alertas FROM sc GROUP BY 1, 2")
+                                   f"count(*) FILTER (WHERE {truthy_sql('Indicado')}) AS alertas, "
+                                   f"count(*) FILTER (WHERE _risk_label = 'Muito Alto') AS alertas_acompanhamento, "
+                                   f"count(*) FILTER (WHERE {HIGH}) AS alertas_reuniao FROM sc GROUP BY 1, 2")
 SQL["a7_schools"] = views() + """
 SELECT DISTINCT trim("Instituição de ensino") AS escola FROM py
 WHERE trim("Instituição de ensino") IS NOT NULL AND trim("Instituição de ensino") <> ''"""

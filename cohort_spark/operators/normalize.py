@@ -78,6 +78,12 @@ def next_year(sheet):
         F.lit(P.NEXT_YEAR_FALLBACK))
 
 
+def base_year(sheet):
+    """Digits of a snapshot name, or 'base' when it has none."""
+    digits = F.regexp_replace(sheet.cast("string"), r"[^0-9]", "")
+    return F.when(F.length(digits) > 0, digits).otherwise(F.lit("base"))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one first in ``order`` (the ingest position).
 

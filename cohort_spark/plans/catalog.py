@@ -197,7 +197,8 @@ def n9_next_year(spark, sf_dir):
         F.concat(F.lit("PEDE"), F.year("o_orderdate").cast("string")).alias("sheet"))
     n = T_.read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("sheet"))
     sheets = o.unionByName(n).distinct()
-    return sheets.select("sheet", NM.next_year(F.col("sheet")).alias("next_year"))
+    return sheets.select("sheet", NM.base_year(F.col("sheet")).alias("base_year"),
+                         NM.next_year(F.col("sheet")).alias("next_year"))
 
 
 @register("n10_first_per_key")

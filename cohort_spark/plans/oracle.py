@@ -410,7 +410,9 @@ SQL["n8_align_schema"] = views(REQ) + (
     'CAST(NULL AS VARCHAR) AS "Turma", '
     + ", ".join(("inde_in" if c == "INDE 22" else "CAST(NULL AS DOUBLE)") + f' AS "{c}"' for c in _NUM) + " FROM req")
 SQL["n9_next_year"] = """
-SELECT sheet, CASE WHEN length(regexp_replace(sheet, '[^0-9]', '', 'g')) = 4
+SELECT sheet, CASE WHEN length(regexp_replace(sheet, '[^0-9]', '', 'g')) > 0
+    THEN regexp_replace(sheet, '[^0-9]', '', 'g') ELSE 'base' END AS base_year,
+  CASE WHEN length(regexp_replace(sheet, '[^0-9]', '', 'g')) = 4
   THEN CAST(CAST(regexp_replace(sheet, '[^0-9]', '', 'g') AS INTEGER) + 1 AS VARCHAR) ELSE 'próximo ano' END AS next_year
 FROM (SELECT 'PEDE' || CAST(year(o_orderdate) AS VARCHAR) AS sheet FROM orders
       UNION SELECT n_name FROM nation) s"""

@@ -104,14 +104,32 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return quantile_values(weighted, 2).filter(F.col("k") == 1).select("feature", F.col("q").alias("median"))
 
 
+def approx_quantile_edges(values: DataFrame, bins: int = P.PSI_BINS, accuracy: int = 10000) -> DataFrame:
+    """Approximate edges: ``percentile_approx`` per feature (a mergeable
+    sketch, combined map-side; rank error about 1/accuracy). Edges are data
+    values, not interpolated."""
+    probs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
+    q = values.groupBy("feature").agg(F.percentile_approx("value", probs, accuracy).alias("q"))
+    return q.select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
+
+
 def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P.PSI_BINS,
-              eps: float = P.PSI_EPS) -> DataFrame:
+              eps: float = P.PSI_EPS, approx_accuracy: int | None = None) -> DataFrame:
     """A11 + A12: one row per feature present on both sides:
     ``feature, psi, status, ref_count, cur_count`` (PSI null when a side has
-    no finite value, 0.0 with fewer than three distinct edges)."""
+    no finite value, 0.0 with fewer than three distinct edges).
+
+    Edges are exact by default; ``approx_accuracy`` switches to sketch-based
+    edges for features where exact edges are not required."""
     feats = [f for f in features if f in ref.columns and f in cur.columns]
     weighted_all, weighted = weighted_values(ref, cur, feats)
-    edges = quantile_edges(weighted.filter(F.col("side") == "ref").select("feature", "value", "w"), bins)
+    ref_w = weighted.filter(F.col("side") == "ref").select("feature", "value", "w")
+    if approx_accuracy:
+        # the sketch reads the reference values themselves (partial sketches
+        # per task, merged per feature)
+        edges = approx_quantile_edges(long_values(ref, feats, "ref"), bins, approx_accuracy)
+    else:
+        edges = quantile_edges(ref_w, bins)
     # one row per feature, at most bins + 1 doubles each
     e = F.broadcast(edges.select("feature", "edges", F.size("edges").alias("m")))
     binned = weighted.join(e, "feature").select(

@@ -79,3 +79,14 @@ def test_psi_on_lineitem_matches_numpy(spark):
     rp, cp = ref.toPandas(), cur.toPandas()
     for f in T_.LINE_FEATURES:
         assert abs(got[f] - numpy_psi(rp[f].tolist(), cp[f].tolist())) < 1e-9
+
+
+def test_approx_edges_close_to_exact(spark):
+    rng = np.random.default_rng(3)
+    ref, cur = rng.normal(0, 1, 4000), rng.normal(0.3, 1, 3000)
+    rdf = spark.createDataFrame(pd.DataFrame({"f": ref}))
+    cdf = spark.createDataFrame(pd.DataFrame({"f": cur}))
+    exact = D.psi_table(rdf, cdf, ["f"]).first().psi
+    approx = D.psi_table(rdf, cdf, ["f"], approx_accuracy=100000).first().psi
+    assert abs(exact - numpy_psi(ref, cur)) < 1e-9
+    assert abs(approx - exact) < 0.01

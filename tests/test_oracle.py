@@ -14,3 +14,13 @@ def test_matches_duckdb(spark, name):
     rep = compare(spark, SMALL, [name], verbose=False)[name]
     assert "error" not in rep, rep.get("error")
     assert rep["cols_match"] and rep["rows_match"] and rep["values_match"], rep
+
+
+ROWS_ONLY = {"m3_feature_matrix", "m4_train_evaluate", "m6_model_scores", "m8_train_job", "m9_model_info",
+             "s6_metadata", "s7_model_roundtrip", "t1_stream_scoring", "t2_stream_drift"}
+
+
+def test_every_query_has_sql_or_is_rows_only():
+    from cohort_spark.plans.catalog import QUERIES
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(SQL) <= set(QUERIES)

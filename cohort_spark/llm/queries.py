@@ -53,3 +53,30 @@ FROM n JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) m USIN
 def op8(spark, sf_dir):
     from .minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=80)
+
+
+# --- op9: repeated passages by seed and extend -------------------------------
+
+PLAIN_WORDS = r"[x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
+
+OP9_SQL = f"""
+WITH w AS (SELECT doc_id, {PLAIN_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 35)) AS p FROM r),
+t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT t.doc_id, count(*) FILTER (WHERE c.p IS NOT NULL) AS gone, string_agg(t.x, ' ' ORDER BY t.p) FILTER (WHERE c.p IS NULL) AS kept
+      FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.p = c.p GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", OP9_SQL)
+def op9(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

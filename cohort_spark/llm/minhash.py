@@ -11,10 +11,13 @@ a link only if its full shingle sets satisfy
 Skew. Documents with equal sets are one class from the start (grouped on a
 128-bit hash of the set), so exact copies never meet each other. Within a
 band bucket, classes are first compared with two leaders only (the smallest
-class and the one that shares the most bucket members); pairs that these
-leave in different components are then compared in full, so no link between
-components is missed however large the bucket, and a bucket whose members are
-all alike costs as many pairs as it has members, not their square.
+class and the one that shares the most bucket members). Classes of buckets
+that these leave in different components are then joined on the rarest
+shingles of their sets (the prefix that two sets of this similarity must
+share, at positions that leave room for the overlap they need), and the pairs found across components are confirmed too. So no link
+between components of a bucket is missed; a bucket whose members are all
+alike costs as many pairs as it has members, not their square, and texts that
+only share a common passage do not meet, because its shingles are frequent.
 
 Defined cases: a null or wordless text has the empty set, is linked with
 nothing and is its own component; a text with fewer words than a shingle has
@@ -148,6 +151,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return map_arrow(both.select("a", "b", "ma", "mb"), run, "a binary, b binary")
 
 
+#: Shingle counts are kept for so many hash buckets: what is sent to the tasks has this size whatever the input.
+BUCKETS = 1 << 18
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> A.U64(64 - 18)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many set members fall in each hash bucket, over all ``sets``."""
+    def run(batch):
+        n = np.zeros(BUCKETS, np.int64)
+        members = [np.frombuffer(m.as_buffer(), "<u8") for m in batch.column("members")]
+        n += np.bincount(_bucket(np.concatenate(members)), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+    out = np.zeros(BUCKETS, np.int64)
+    got = map_arrow(sets.select("members"), run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(node, size, c, token, room): the rarest members of each set, as many as
+    a set of this similarity must share one of; room: members from there on."""
+    counts = _frequencies(sets)
+
+    def run(batch):
+        tokens, n = [], np.zeros(batch.num_rows, np.int64)
+        for r, m in enumerate(batch.column("members")):
+            h = np.frombuffer(m.as_buffer(), "<u8")
+            n[r] = len(h) - -(-threshold * len(h) // 100) + 1
+            tokens.append(h[np.lexsort((h, counts[_bucket(h)]))[: n[r]]])
+        rows = pa.array(np.repeat(np.arange(batch.num_rows), n))
+        room = np.repeat(np.cumsum(n) - n + batch.column("size").to_numpy(), n) - np.arange(n.sum())
+        yield pa.record_batch([*(batch.column(c).take(rows) for c in ("node", "size", "c")), pa.array(A.signed(np.concatenate(tokens))), pa.array(room)],
+                              names=["node", "size", "c", "token", "room"])
+    return map_arrow(sets.select("node", "size", "c", "members"), run, "node binary, size bigint, c binary, token bigint, room bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = written(sign(docs, shingle, bands, rows), "minhash")
@@ -176,28 +219,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, band
     star = written(star, "star")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def sets_of(pairs):
-        """Full sets of the classes in ``pairs``, from one document of each."""
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    def ends(pairs):
+        return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def sets_of(wanted):
+        """Full sets of the classes ``wanted``, from one document of each."""
         ids = wanted.join(classes.select("node", "first_id"), "node")
         rows_ = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"])).select("node", "text")
         # repeated rows of one id: keep the row whose set is the class's own
         own = _full_sets(rows_, shingle)
         return own.groupBy("node").agg(F.max(F.struct(F.length("members").alias("l"), "members")).alias("m")).select("node", "m.members")
 
-    links = written(_confirm(star, sets_of(star), threshold), "links")
+    links = written(_confirm(star, sets_of(ends(star)), threshold), "links")
     label = written(components(links), "labels")
     # buckets whose classes are still in different components: compare across them
     named = slots.join(label, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("c"))
     open_ = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    left = written(named.join(open_, "band"), "open")
-    x = left.select("band", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("c").alias("cx"))
-    y = left.select("band", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("c").alias("cy"))
-    rest = (x.join(y, (x["band"] == y["band"]) & (x["cx"] < y["cy"])).where(near)
-            .select(*pair("x", "y")).distinct().join(star, ["a", "b"], "left_anti"))
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
-        more = _confirm(rest, sets_of(rest), threshold)
+    left = written(named.join(open_, "band").select("node", "size", "c").distinct(), "open")
+    rest = None
+    if not left.isEmpty():
+        open_sets = written(sets_of(left.select("node")).join(left, "node"), "sets")
+        tokens = written(_prefixes(open_sets, threshold), "tokens")
+        mixed = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+        tokens = written(tokens.join(mixed, "token"), "mixed")
+        x = tokens.select("token", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("room").alias("x_room"), F.col("c").alias("cx"))
+        y = tokens.select("token", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("room").alias("y_room"), F.col("c").alias("cy"))
+        room = F.expr(f"{100 + int(threshold)} * least(x_room, y_room) >= {int(threshold)} * (x_size + y_size)")
+        rest = (x.join(y, (x["token"] == y["token"]) & (x["cx"] < y["cy"]) & near & room)
+                .select(*pair("x", "y")).distinct().join(star, ["a", "b"], "left_anti"))
+        rest = written(rest, "rest")
+    if rest is not None and not rest.isEmpty():
+        more = _confirm(rest, open_sets.select("node", "members"), threshold)
         links = written(links.unionAll(more), "links")
         label = written(components(links), "labels")
     named = classes.join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))

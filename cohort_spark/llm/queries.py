@@ -80,3 +80,27 @@ def op9(spark, sf_dir):
     from .substring_dedup import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"), length=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# --- op4: word-piece counts ---------------------------------------------------
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    from .token_count import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+# --- op5: benchmark decontamination -------------------------------------------
+
+@query("op5_decontamination")
+def op5(spark, sf_dir):
+    from .decontaminate import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- op10: packing --------------------------------------------------------------
+
+@query("op10_packing")
+def op10(spark, sf_dir):
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"))

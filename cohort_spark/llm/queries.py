@@ -104,3 +104,71 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     from .packing import pack
     return pack(table(spark, sf_dir, "documents"))
+
+
+# --- op2: line dedup --------------------------------------------------------------
+
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+w AS (SELECT doc_id, p, line, [x FOR x IN string_split_regex(lower(line), '[ \t\x0B\f\r]+') IF x <> ''] AS ws FROM l),
+s AS (SELECT doc_id, p, line, ws, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)])) END AS ss FROM w),
+g AS (SELECT *, min((doc_id, p)) OVER (PARTITION BY ss) AS f FROM s WHERE len(ss) > 0),
+c AS (SELECT doc_id, p, ss, len(ss) AS n, row_number() OVER (ORDER BY doc_id, p) AS id FROM g WHERE f = (doc_id, p)),
+t AS (SELECT id, n, unnest(ss) AS sh FROM c),
+df AS (SELECT sh, count(*) AS df FROM t GROUP BY sh),
+r AS (SELECT t.id, t.n, t.sh, row_number() OVER (PARTITION BY t.id ORDER BY df.df, t.sh) AS rk FROM t JOIN df USING (sh)),
+x AS (SELECT id, n, sh FROM r WHERE rk <= n - ceil(n * 80 / 100.0) + 1),
+a AS (SELECT DISTINCT u.id AS i, v.id AS j FROM x u JOIN x v ON u.sh = v.sh AND u.id < v.id AND 100 * least(u.n, v.n) >= 80 * greatest(u.n, v.n)),
+k AS (SELECT a.i, a.j, count(*) AS o FROM a JOIN t u ON u.id = a.i JOIN t v ON v.id = a.j AND v.sh = u.sh GROUP BY ALL),
+gone AS (SELECT DISTINCT k.j AS id FROM k JOIN c u ON u.id = k.i JOIN c v ON v.id = k.j WHERE 100 * k.o >= 80 * (u.n + v.n - k.o)),
+keep AS (SELECT doc_id, p FROM c WHERE id NOT IN (SELECT id FROM gone))
+SELECT w.doc_id, CAST(count(*) FILTER (WHERE len(w.ws) > 0) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE len(w.ws) > 0 AND keep.p IS NULL) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(w.line, chr(10) ORDER BY w.p) FILTER (WHERE len(w.ws) = 0 OR keep.p IS NOT NULL), '')) AS text_sha256
+FROM w LEFT JOIN keep ON keep.doc_id = w.doc_id AND keep.p = w.p GROUP BY w.doc_id
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+# --- op3: language identification ------------------------------------------------
+
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    from pyspark.sql import functions as F
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .lang_id import identify
+    out = identify(table(spark, sf_dir, "documents"), F.coalesce(remainder(4) != 2, F.lit(True)))
+    return out.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+# --- op6: approximate nearest neighbours -------------------------------------------
+
+@query("op6_nearest_neighbours")
+def op6(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+# --- op7: main text of pages ---------------------------------------------------------
+
+@query("op7_html_extraction")
+def op7(spark, sf_dir):
+    from .html_extract import extract
+    return extract(table(spark, sf_dir, "pages"))

@@ -11,11 +11,14 @@ windows are the maximal repeats of at least ``length`` words; their words are
 removed in every place. Decisions are taken on the input alone.
 
 Skew. Occurrences of an anchor never meet in pairs: equal units are counted
-as one class, and the windows of the classes are counted by a plain
-aggregate, which Spark combines before the shuffle; a passage that a third of
-all documents share costs one row per task and window. Anchors that occur
-once are left out early by a bit map of fixed size made from the repeated
-ones; it may let others pass, which the counts then settle.
+as one class by a plain aggregate, which Spark combines before the shuffle. An
+anchor all of whose occurrences are one class is settled by that count alone.
+Only units of anchors with several classes (the ends of repeats) have their
+windows written out, one row for each class and window, and these are counted
+in the same way; so a passage that a third of all documents share costs one
+row per task and class. Units that occur very often are looked up, not joined.
+The anchors with several classes reach the tasks as a
+bit map of fixed size; it may let others pass, which the counts then settle.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Windows, units and anchors are
 compared by 64-bit hashes of their word hashes.
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .frames import map_arrow, written
 
-#: Bits of the map of repeated anchors: 8 MB, whatever the input.
+#: Bits of the map of anchors with several classes: 8 MB, whatever the input.
 MAP_BITS = 1 << 26
 _POS = A.U64((1 << 28) - 1)
 
@@ -88,55 +91,50 @@ def _chunked(batch: pa.RecordBatch):
         yield i, piece, h, starts, ends, first
 
 
-def _anchors(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(anchor, n): anchors of each chunk of texts with their numbers."""
+def _units_of(texts: DataFrame, length: int, seed: int) -> DataFrame:
+    """Every unit: where it begins, its hash, its anchor and how many windows it has."""
     def run(batch):
-        for _, _, h, _, _, first in _chunked(batch):
-            _, anchor, _, _, _ = _units(h, first, length, seed)
-            if len(anchor):
-                a, n = np.unique(anchor, return_counts=True)
-                yield pa.record_batch([pa.array(A.signed(a)), pa.array(n)], names=["anchor", "n"])
-    return map_arrow(texts.select("text"), run, "anchor bigint, n bigint")
+        ids, rid = batch.column("doc_id"), batch.column("rid")
+        for i, _, h, _, _, first in _chunked(batch):
+            text, anchor, begin, count, runs = _units(h, first, length, seed)
+            if not len(begin):
+                continue
+            rows = pa.array(text + i)
+            yield pa.record_batch([
+                ids.take(rows), rid.take(rows), pa.array(begin - first[text]),
+                pa.array(A.signed(runs.of(begin, begin + count + length - 1))), pa.array(A.signed(anchor)), pa.array(count.astype(np.int32)),
+            ], names=["doc_id", "rid", "start", "unit", "anchor", "size"])
+    return map_arrow(texts.select("doc_id", "rid", "text"), run, "doc_id bigint, rid bigint, start bigint, unit bigint, anchor bigint, size int")
 
 
-def _repeated_map(anchors: DataFrame) -> np.ndarray:
-    """Bit map of the anchors that occur more than once."""
-    twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+def _bit_map(anchors: DataFrame) -> np.ndarray:
+    """Bit map of the anchors, eight to a byte."""
     place = F.expr(f"anchor & {MAP_BITS - 1}L")
-    got = (twice.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({'anchor & 63L'} as int))")).alias("bits"))
-           .toArrow())  # at most MAP_BITS / 64 rows
-    out = np.zeros(MAP_BITS // 64, np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little") if len(got) else np.zeros(0, np.uint8)
-
+    got = (anchors.groupBy(F.shiftright(place, 6).alias("word"))
+           .agg(F.bit_or(F.expr("shiftleft(1L, cast(anchor & 63L as int))")).alias("bits")).toArrow())  # at most MAP_BITS / 64 rows
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.astype("<i8").view(np.uint8)
 
-_UNITS = "doc_id bigint, rid bigint, start bigint, unit bigint, windows array<bigint>"
-
-
-def _seed_units(texts: DataFrame, length: int, seed: int, repeated: np.ndarray) -> DataFrame:
-    """Units around anchors that the map holds, with the hashes of their windows."""
-    packed = np.packbits(repeated, bitorder="little")
 
+def _windows_of(texts: DataFrame, length: int, seed: int, chosen: np.ndarray) -> DataFrame:
+    """Units whose anchors the bit map holds, with the hashes of their windows."""
     def run(batch):
-        ids, rid = batch.column("doc_id"), batch.column("rid")
-        for i, _, h, _, _, first in _chunked(batch):
-            text, anchor, begin, count, runs = _units(h, first, length, seed)
+        for _, _, h, _, _, first in _chunked(batch):
+            _, anchor, begin, count, runs = _units(h, first, length, seed)
             place = anchor & A.U64(MAP_BITS - 1)
-            keep = (packed[(place >> A.U64(3)).astype(np.int64)] >> (place & A.U64(7)).astype(np.uint8)) & 1 if len(packed) else np.zeros(len(anchor), np.uint8)
-            at = np.flatnonzero(keep)
+            at = np.flatnonzero((chosen[(place >> A.U64(3)).astype(np.int64)] >> (place & A.U64(7)).astype(np.uint8)) & 1)
             if not len(at):
                 continue
-            text, begin, count = text[at], begin[at], count[at]
-            unit = runs.of(begin, begin + count + length - 1)
+            begin, count = begin[at], count[at]
             off = np.zeros(len(at) + 1, np.int64)
             np.cumsum(count, out=off[1:])
             window = np.arange(off[-1]) - np.repeat(off[:-1], count) + np.repeat(begin, count)
-            rows = pa.array(text + i)
             yield pa.record_batch([
-                ids.take(rows), rid.take(rows), pa.array(begin - first[text]), pa.array(A.signed(unit)),
+                pa.array(A.signed(runs.of(begin, begin + count + length - 1))),
                 pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(A.signed(runs.of(window, window + length)))),
-            ], names=["doc_id", "rid", "start", "unit", "windows"])
-    return map_arrow(texts.select("doc_id", "rid", "text"), run, _UNITS)
+            ], names=["unit", "windows"])
+    return map_arrow(texts.select("text"), run, "unit bigint, windows array<bigint>")
 
 
 def _cut(joined: DataFrame, length: int) -> DataFrame:
@@ -183,14 +181,28 @@ def remove_repeats(docs: DataFrame, length: int = 35, seed: int = 6) -> DataFram
         raise ValueError("1 <= seed <= length <= seed + 62 is asked for")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
-    repeated = _repeated_map(_anchors(texts, length, seed))
-    units = written(_seed_units(texts, length, seed, repeated), "units")
-    classes = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows"))
-    each = classes.select("unit", "n", F.posexplode("windows").alias("k", "window"))
+    units = written(_units_of(texts, length, seed), "units")
+    classes = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"), F.first("size").alias("size"))
+    anchors = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.first("unit").alias("unit"), F.first("size").alias("size"))
+                      .where("classes > 1 or n > 1"), "anchors")
+    # one class, several times: all its windows are repeats
+    whole = anchors.where("classes = 1").select("unit", "n", F.expr("shiftleft(1L, size) - 1").alias("mask"))
+    # several classes: count their windows
+    shared = _windows_of(texts, length, seed, _bit_map(anchors.where("classes > 1").select("anchor")))
+    shared = written(shared.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.first("windows").alias("windows")), "shared")
+    each = shared.select("unit", "n", F.posexplode("windows").alias("k", "window"))
     twice = each.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    masks = (each.join(twice, "window").groupBy("unit").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")))
-    marks = (units.select("doc_id", "rid", "start", "unit").join(masks, "unit")
-             .groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+    masks = each.join(twice, "window").select("unit", "n", F.expr("shiftleft(1L, k)").alias("mask")).unionAll(whole)
+    masks = written(masks.groupBy("unit").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n")), "masks")
+    # units that occur very often (runs of one word, copies of one text) would
+    # be hot keys: those with over a thousandth of all rows, a thousand at most,
+    # are looked up in every task, the others joined
+    often = max(1000, units.count() // 1000)
+    hot = F.broadcast(masks.where(F.col("n") > often).select("unit", F.col("mask").alias("hot")))
+    place = units.select("doc_id", "rid", "start", "unit").join(hot, "unit", "left")
+    found = (place.where("hot is not null").select("doc_id", "rid", "start", F.col("hot").alias("mask"))
+             .unionAll(place.where("hot is null").join(masks.where(F.col("n") <= often), "unit").select("doc_id", "rid", "start", "mask")))
+    marks = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     m = marks.select(F.col("doc_id").alias("m_id"), F.col("rid").alias("m_rid"), "marks")
     joined = texts.join(m, (texts["rid"] == m["m_rid"]) & texts["doc_id"].eqNullSafe(m["m_id"]), "left")
     return _cut(joined.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "marks"), length)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .frames import map_arrow, written
 
+#: Words of each of a worker's two tables, and the longest kept there.
 KEPT_WORDS, KEPT_BYTES = 400_000, 64
 
 
@@ -44,28 +45,73 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, word by word."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, word by word.
+
+    The vocabulary's tokens never cross white space, nor the step from letters
+    to a mark of ``_MARKS``, so a word's ids are those of its letters and of the
+    marks behind them. Words of letters alone are encoded many at a time in one
+    line; the ids that end a word give the cuts, and should their number differ
+    from that of the words, each is encoded by itself."""
+
+    _MARKS = b".,;:!?"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # two tables: a full one is kept as the old one until the next is full
         self.kept: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode(self, words: list[bytes], out: dict[bytes, bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if w.decode().isalpha() else other).append(w)
+        for i in range(0, len(plain), 4096):
+            part = plain[i: i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cut) != len(part):
+                self._one_by_one(part, out)
+                continue
+            data = ids.tobytes()
+            for w, a, b in zip(part, [0, *cut], cut):
+                out[w] = data[a:b]
+        for i in range(0, len(other), 4096):
+            self._one_by_one(other[i: i + 4096], out)
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of ``words``: from the table, or encoded now."""
-        new = list(words.difference(self.kept))
+        """A table with the ids of ``words``."""
+        new = words.difference(self.kept)
         if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = list(words)
-        out = self.kept
-        if len(new) > KEPT_WORDS or any(len(w) > KEPT_BYTES for w in new):
-            out = dict(self.kept)
-        for i in range(0, len(new), 4096):
-            part = new[i: i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                out[w] = np.array(e.ids, "<u4").tobytes()
-        return out
+            self.old, self.kept, new = self.kept, {}, words
+        kept, old, todo, split = self.kept, self.old, [], []
+        for w in new:
+            ids = old.get(w)
+            if ids is not None:
+                kept[w] = ids
+                continue
+            stem = w.rstrip(self._MARKS)
+            if not stem or len(stem) == len(w) or not stem.decode().isalpha():
+                todo.append(w)
+            else:
+                split.append((w, stem, w[len(stem):]))
+        parts = {p for _, a, b in split for p in (a, b)}
+        found = {p: ids for p in parts if (ids := kept.get(p) or old.get(p)) is not None}
+        self._encode([*todo, *(p for p in parts if p not in found and p not in kept)], found)
+        for w, a, b in split:
+            found[w] = found[a] + found[b]
+        if len(new) > KEPT_WORDS or any(len(w) > KEPT_BYTES for w in found):
+            return {**kept, **found}  # too much to keep
+        kept.update(found)
+        return kept
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]

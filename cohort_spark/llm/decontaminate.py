@@ -35,7 +35,7 @@ BROADCAST_WORDS = 1 << 20
 MAP_BITS = 1 << 24
 
 _TILE = pa.struct([("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("length", pa.int64())])
-_OUT = "doc_id bigint, item_id bigint, n_item_words bigint, n_covered bigint, coverage double, tiles array<struct<item_pos:bigint,doc_pos:bigint,length:bigint>>"
+_OUT = "doc_id bigint, item_id bigint, n_item_words bigint, n_covered bigint, coverage double, tiles array<struct<item_pos:bigint,doc_pos:bigint,length:bigint>>, text_hash bigint"
 
 
 def tile(n_item: int, n_doc: int, i: np.ndarray, j: np.ndarray, m: int) -> list[tuple[int, int, int]]:
@@ -104,19 +104,20 @@ def _may_hold(bit_map: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def _report(rows: list, threshold: float) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 5
+    cols = list(zip(*rows)) if rows else [[]] * 6
     return pa.record_batch([
         pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()),
         pa.array([c / n for n, c in zip(cols[2], cols[3])], pa.float64()),
         pa.array([[{"item_pos": a, "doc_pos": b, "length": n} for a, b, n in t] for t in cols[4]], pa.list_(_TILE)),
-    ], names=["doc_id", "item_id", "n_item_words", "n_covered", "coverage", "tiles"])
+        pa.array(cols[5], pa.int64()),
+    ], names=["doc_id", "item_id", "n_item_words", "n_covered", "coverage", "tiles", "text_hash"])
 
 
-def _judge(doc_id, item_id, n_item: int, n_doc: int, i, j, m: int, coverage: float, out: list) -> None:
+def _judge(doc_id, text_hash, item_id, n_item: int, n_doc: int, i, j, m: int, coverage: float, out: list) -> None:
     tiles = tile(n_item, n_doc, i, j, m)
     covered = sum(t[2] for t in tiles)
     if covered >= coverage * n_item:
-        out.append((doc_id, item_id, n_item, covered, sorted(tiles)))
+        out.append((doc_id, item_id, n_item, covered, sorted(tiles), text_hash))
 
 
 def _by_broadcast(texts: DataFrame, items: DataFrame, m: int, coverage: float) -> DataFrame:
@@ -146,7 +147,7 @@ def _by_broadcast(texts: DataFrame, items: DataFrame, m: int, coverage: float) -
             cut = np.append(np.flatnonzero(new), len(text))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 t, i = int(text[a]), int(item[a])
-                _judge(ids[r + t].as_py(), bench.ids[i], int(bench.first[i + 1] - bench.first[i]), int(first[t + 1] - first[t]),
+                _judge(ids[r + t].as_py(), batch.column("text_hash")[r + t].as_py(), bench.ids[i], int(bench.first[i + 1] - bench.first[i]), int(first[t + 1] - first[t]),
                        bench.at[k[a:b]] - bench.first[i], at[a:b] - first[t], m, coverage, out)
         if out:
             yield _report(out, coverage)
@@ -174,13 +175,12 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, m: int, coverage: float) ->
         seed, text, _ = _seeds(h, first, m)
         at = np.flatnonzero(_may_hold(bit_map, seed))
         rows = pa.array(text[at])
-        yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("rid").take(rows), pa.array(A.signed(seed[at]))],
-                              names=["doc_id", "rid", "seed"])
-    texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = map_arrow(texts, doc_seeds, "doc_id bigint, rid bigint, seed bigint").distinct()
-    pairs = found.join(seeds, "seed").select("doc_id", "rid", "item").distinct()
-    p = pairs.select(F.col("doc_id").alias("p_id"), F.col("rid").alias("p_rid"), "item")
-    both = (texts.join(p, (texts["rid"] == p["p_rid"]) & texts["doc_id"].eqNullSafe(p["p_id"]))
+        yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(A.signed(seed[at]))],
+                              names=["doc_id", "text_hash", "seed"])
+    found = map_arrow(texts, doc_seeds, "doc_id bigint, text_hash bigint, seed bigint").distinct()
+    pairs = found.join(seeds, "seed").select("doc_id", "text_hash", "item").distinct()
+    p = pairs.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "item")
+    both = (texts.join(p, (texts["text_hash"] == p["p_hash"]) & texts["doc_id"].eqNullSafe(p["p_id"]))
             .join(items.select("item", "item_id", F.col("text").alias("item_text")), "item"))
 
     def run(batch):
@@ -196,18 +196,20 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, m: int, coverage: float) ->
             lo, hi = np.searchsorted(y[order], x), np.searchsorted(y[order], x, side="right")
             n = hi - lo
             k = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            _judge(batch.column("doc_id")[r].as_py(), batch.column("item_id")[r].as_py(), int(start[r + 1] - start[r]), int(first[r + 1] - first[r]),
+            _judge(batch.column("doc_id")[r].as_py(), batch.column("text_hash")[r].as_py(), batch.column("item_id")[r].as_py(), int(start[r + 1] - start[r]), int(first[r + 1] - first[r]),
                    ga[gf[r]: gf[r + 1]][k] - start[r], np.repeat(ha[hf[r]: hf[r + 1]], n) - first[r], m, coverage, out)
         if out:
             yield _report(out, coverage)
-    return map_arrow(both.select("doc_id", "text", "item_id", "item_text"), run, _OUT)
+    return map_arrow(both.select("doc_id", "text_hash", "text", "item_id", "item_text"), run, _OUT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5,
                  broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per document and benchmark item it gives away: doc_id, item_id,
-    n_item_words, n_covered, coverage, tiles (item_pos, doc_pos, length)."""
+    n_item_words, n_covered, coverage, tiles (item_pos, doc_pos, length),
+    text_hash (xxhash64 of the text, which tells rows of one id apart)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     # a text of n bytes has at most (n + 1) / 2 words
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays as A
 from .frames import map_arrow
@@ -209,11 +210,14 @@ def _train(vectors: DataFrame, langs: list[str]) -> DataFrame:
     return vectors.coalesce(1).mapInArrow(run, "lang string, temperature double, slots binary, weights binary")
 
 
-def identify(docs: DataFrame, learn_from: Column, sample_rows: int = 4000) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score; learned from the rows
-    for which ``learn_from`` holds and lang is not null."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+def identify(docs: DataFrame, learn_from: Column, sample_rows: int = 4000, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, lang_pred, score (and ``row``, the whole
+    input row as a struct, if ``carry``); learned from the rows for which
+    ``learn_from`` holds and lang is not null."""
+    row = [F.struct("*").alias("row")] if carry else []
+    rows = docs.select(*row, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"), learn_from.alias("learn_from"))
+    kept = [c for c in ("doc_id", "row") if c in rows.columns]
     known = rows.where("learn_from and lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
     langs = sorted(counts)
@@ -244,6 +248,7 @@ def identify(docs: DataFrame, learn_from: Column, sample_rows: int = 4000) -> Da
             p = _softmax(total / np.maximum(size, 1)[:, None] / t)
             best = p.argmax(axis=1)
             fit = (size > 0) & bool(langs)
-            yield pa.record_batch([batch.column("doc_id").slice(i, n), pa.array([langs[k] if f else "und" for k, f in zip(best.tolist(), fit.tolist())], pa.string()),
-                                   pa.array(np.where(fit, p[np.arange(n), best], 0.0))], names=["doc_id", "lang_pred", "score"])
-    return map_arrow(rows.select("doc_id", "text"), run, "doc_id bigint, lang_pred string, score double")
+            yield pa.record_batch([*(batch.column(c).slice(i, n) for c in kept), pa.array([langs[k] if f else "und" for k, f in zip(best.tolist(), fit.tolist())], pa.string()),
+                                   pa.array(np.where(fit, p[np.arange(n), best], 0.0))], names=[*kept, "lang_pred", "score"])
+    out = T.StructType([rows.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
+    return map_arrow(rows.select(*kept, "text"), run, out)

@@ -83,7 +83,7 @@ def _sets(batch: pa.RecordBatch, shingle: int):
         yield i, j, s, at
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>"
+_SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>"
 
 
 def sign(docs: DataFrame, shingle: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -109,10 +109,11 @@ def sign(docs: DataFrame, shingle: int = 2, bands: int = BANDS, rows: int = ROWS
             lens = np.zeros(len(n) + 1, np.int64)
             lens[1:] = np.cumsum(np.where(n > 0, bands, 0))
             yield pa.record_batch([
-                ids.slice(i, j - i), pa.array(n.astype(np.int64)), node,
+                ids.slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(n.astype(np.int64)), node,
                 pa.ListArray.from_arrays(pa.array(lens.astype(np.int32)), pa.array(A.signed(acc.ravel()))),
-            ], names=["doc_id", "n_shingles", "node", "bands"])
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _SIGNED)
+            ], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(texts.withColumn("text_hash", F.xxhash64("text")), run, _SIGNED)
 
 
 def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -192,7 +193,8 @@ def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash
+    (xxhash64 of the text, which tells rows of one id apart)."""
     signed = written(sign(docs, shingle, bands, rows), "minhash")
     # classes of equal sets, named by the hash of the set
     classes = written(signed.where("n_shingles > 0").groupBy("node")
@@ -255,7 +257,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, band
     named = classes.join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     of = named.join(least, "c").select("node", "component_id")
-    s = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    s = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     out = s.join(of, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "text_hash")

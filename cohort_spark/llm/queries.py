@@ -52,7 +52,8 @@ FROM n JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) m USIN
 @query("op8_minhash_near_dedup", OP8_SQL)
 def op8(spark, sf_dir):
     from .minhash import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=80)
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 # --- op9: repeated passages by seed and extend -------------------------------
@@ -95,7 +96,8 @@ def op4(spark, sf_dir):
 @query("op5_decontamination")
 def op5(spark, sf_dir):
     from .decontaminate import contaminated
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("text_hash")
 
 
 # --- op10: packing --------------------------------------------------------------
@@ -172,3 +174,14 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     from .html_extract import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+# --- op1: language-model scores -----------------------------------------------------
+
+@query("op1_lm_scoring")
+def op1(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .lm_score import score
+    out = score(table(spark, sf_dir, "documents"), F.coalesce(remainder(5) != 1, F.lit(True)))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

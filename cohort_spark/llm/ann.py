@@ -6,8 +6,7 @@ query's own projection; a vector collides once for each window it lies in, and
 one that collides in at least ``threshold`` of the windows is verified on the
 original vectors. Windows are widened (virtual rehashing: the arrays stay as
 they are) until ``spare`` of all vectors, and the number of neighbours beside
-them but at least ``least``, have been found; a query begins a little below the
-width that the one before it needed. Largest inner products are made nearest neighbours by a
+them but at least ``least``, have been found. Largest inner products are made nearest neighbours by a
 further coordinate that brings all vectors to the same length.
 
 Vectors are indexed in blocks, queries are dealt to blocks of their own, and
@@ -67,29 +66,44 @@ class Index:
         q = queries / np.maximum(np.sqrt((queries ** 2).sum(axis=1, keepdims=True)), 1e-300)
         return q @ self.directions[:-1]
 
-    def collisions(self, centre: np.ndarray, half: float) -> np.ndarray:
-        """In how many windows of this half width each vector lies."""
-        m = len(self.rank)
-        lo = np.array([np.searchsorted(self.sorted[j], centre[j] - half) for j in range(m)])
-        hi = np.array([np.searchsorted(self.sorted[j], centre[j] + half, side="right") for j in range(m)])
-        inside = (self.rank - lo.astype(np.uint16)[:, None]) < (hi - lo).astype(np.uint16)[:, None]
-        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16)
-
-    def candidates(self, centre: np.ndarray, wanted: int, threshold: float, half: float, growth: float) -> tuple[np.ndarray, float]:
-        """Vectors over the collision threshold, from windows wide enough for
-        ``wanted`` of them, and that half width."""
+    def collisions(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """In how many windows (places lo..hi-1 of each sorted array) each vector lies."""
         m, n = self.rank.shape
-        if n <= wanted:
-            return np.arange(n), half
-        while True:
-            found = np.flatnonzero(self.collisions(centre, half) >= threshold * m)
-            if len(found) >= wanted or half > 1e6:
-                return found, half
+        out = np.empty(n, np.uint8 if m < 256 else np.uint16)
+        for a in range(0, n, 2048):  # pieces that stay in the cache
+            inside = (self.rank[:, a: a + 2048] - lo[:, None]) < (hi - lo)[:, None]
+            np.add.reduce(inside.view(np.uint8), axis=0, dtype=out.dtype, out=out[a: a + 2048])
+        return out
+
+    def windows(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places where the windows of each query begin and end: (queries, projections)."""
+        lo = np.array([np.searchsorted(s, c - half) for s, c in zip(self.sorted, centres.T)], np.uint16)
+        hi = np.array([np.searchsorted(s, c + half, side="right") for s, c in zip(self.sorted, centres.T)], np.uint16)
+        return np.ascontiguousarray(lo.T), np.ascontiguousarray(hi.T)
+
+    def candidates(self, centres: np.ndarray, wanted: int, threshold: float, half: float, growth: float):
+        """For each query its number and the vectors over the collision threshold,
+        from windows widened until there are ``wanted`` of them."""
+        m, n = self.rank.shape
+        todo = np.arange(len(centres))
+        while len(todo):
+            if n <= wanted or half > 1e6:
+                yield from ((i, np.arange(n)) for i in todo.tolist())
+                return
+            lo, hi = self.windows(centres[todo], half)
+            wide = []
+            for i, a, b in zip(todo.tolist(), lo, hi):
+                found = np.flatnonzero(self.collisions(a, b) >= threshold * m)
+                if len(found) >= wanted:
+                    yield i, found
+                else:
+                    wide.append(i)
+            todo = np.array(wide, np.int64)
             half *= growth
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int = 128, threshold: float = 0.7, spare: float = 0.15,
-            least: int = 600, first: float = 0.7, growth: float = 1.06) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int = 96, threshold: float = 0.7, spare: float = 0.15,
+            least: int = 600, first: float = 1.0, growth: float = 1.06) -> DataFrame:
     """One row per query and neighbour found: query_id, rank, vec_id, score.
 
     ``vectors``: vec_id, embedding; ``is_query`` chooses the rows to search for."""
@@ -131,9 +145,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, projections: int
                 part = slice(a, a + BLOCK * 3)
                 index = Index(vec[part], longest, projections)
                 centres = index.centres(queries)
-                wanted, half = k + 1 + max(least, int(spare * len(index.vectors))), first
-                for i in range(len(queries)):
-                    c, half = index.candidates(centres[i], wanted, threshold, max(first, half / growth ** 2), growth)
+                wanted = k + 1 + max(least, int(spare * len(index.vectors)))
+                for i, c in index.candidates(centres, wanted, threshold, first, growth):
                     c = c[rows[part][c] != q_rows[i]]
                     score = index.vectors[c] @ queries[i]
                     if len(c) > k:

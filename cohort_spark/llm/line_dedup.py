@@ -6,19 +6,21 @@ their token sets is at least ``threshold`` per cent. A line is removed if any
 earlier line matches it; earlier: by doc_id, then by line number.
 
 The join. Tokens of a line are ordered by rarity, as counted over the whole
-corpus in a fixed number of hash buckets (256 KB of classes of counts, sent to
-every task). Lines with equal sets are one class, led by the first of them.
+corpus in a fixed number of hash buckets (16 KB of classes of counts, part of
+the plan). Lines with equal sets are one class, led by the first of them.
 Two sets that match share a token among the first
 ``n - ceil(threshold * n / 100) + 1`` of each (prefix filter), have sizes
 within the threshold of each other (length filter), and the places of the
-shared token leave room for the overlap they need (positional filter). What
+shared tokens, or the tokens of both prefixes that are not shared, leave room
+for the overlap they need (positional filter). What
 passes is compared in full.
 
 Skew. Of a token that many classes have in their prefixes, each class is
 first compared with the earliest class only; classes that this does not
-remove are then compared with all earlier classes that pass the filters. A
-family of variants of one line is mostly settled in the first step, so its
-pairs grow as its size. Tokens are counted with a partial aggregate; tokens of
+remove with the earlier class that can overlap them most, and those still left
+with all earlier classes that pass the filters. A family of variants of one
+line is mostly settled in the first steps, which compare one pair for a line
+and token, or a line. Tokens are counted with a partial aggregate; tokens of
 one class alone, which are nearly all, are gone before any join. Lines of
 hot tokens have these last in their order.
 
@@ -26,7 +28,7 @@ Words are separated by white space and compared in lower case; tokens are
 identified by 57-bit hashes. Defined cases: lines without words are kept and
 match nothing; a null text stays null and an empty one empty; rows that repeat
 the same id and text are the same lines, so neither removes the other's;
-extra columns are kept by ``dedup_lines`` as they are; an empty table gives an
+extra columns are handed on in a struct; an empty table gives an
 empty result."""
 
 from __future__ import annotations
@@ -36,13 +38,18 @@ from pyspark.sql import functions as F
 
 from .frames import written
 
-BUCKET_BITS = 18
+BUCKET_BITS = 14
 #: Documents up to which the ones to look up again are sent to every task (16 bytes each).
 BROADCAST_DOCS = 500_000
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    """Words of a line; a line without words has the empty string alone."""
+    return F.split(F.btrim(F.lower(line), F.lit(" \t\x0b\f\r")), r"[ \t\x0B\f\r]+")
+
+
+def _blank(words: Column) -> Column:
+    return F.get(words, F.lit(0)) == ""
 
 
 def _shingle(words: Column, i: Column, k: int) -> Column:
@@ -54,20 +61,22 @@ def _bucket(h: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(doc_id, tie, line_no, words) of lines that have words."""
-    at = texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return at.select("doc_id", "tie", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    """(doc_id, tie, line_no, words) of all lines. No row is filtered here, and
+    the arrays are exploded with their nulls: a condition would be evaluated
+    below the projection, and split every line a second time."""
+    at = texts.select("doc_id", "tie", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return at.select("doc_id", "tie", "line_no", _words(F.coalesce("line", F.lit(""))).alias("words"))
 
 
 def _classes_of_counts(lines: DataFrame, k: int) -> bytes:
     """For each hash bucket the binary logarithm of its number of tokens, plus 1."""
-    n = F.size("words")
-    long = (lines.where(n >= k).select("words", F.explode(F.sequence(F.lit(0), n - k)).alias("i"))
-            .select(_bucket(_shingle(F.col("words"), F.col("i"), k)).alias("b")))
-    short = lines.where(n < k).select(_bucket(F.xxhash64("words")).alias("b"))
-    counts = long.unionAll(short).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    words = F.col("words")
+    n = F.size(words)
+    each = lines.select("words", F.explode_outer(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))).alias("i"))
+    h = F.when(n >= k, _shingle(words, F.col("i"), k)).when(~_blank(words), F.xxhash64(words))
+    counts = each.select(_bucket(h).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("b is not null")
     out = bytearray(b"\x01" * (1 << BUCKET_BITS))
-    for r in counts.select("b", F.floor(F.log2("n")).cast("int").alias("c")).toLocalIterator():  # at most 2^18 rows
+    for r in counts.select("b", F.floor(F.log2("n")).cast("int").alias("c")).collect():  # at most 2^14 rows
         out[r["b"]] = r["c"] + 1
     return bytes(out)
 
@@ -80,7 +89,7 @@ def _tokens(words: Column, classes: bytes, k: int) -> Column:
         c = F.ascii(F.substring(table, _bucket(h).cast("int") + 1, F.lit(1)).cast("string")).cast("bigint")
         return F.shiftleft(c, 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     hashes = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: _shingle(words, i, k))) \
-        .otherwise(F.array(F.xxhash64(words)))
+        .when(_blank(words), F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
     return F.sort_array(F.array_distinct(F.transform(hashes, ranked)))
 
 
@@ -96,9 +105,10 @@ def _first_lines(texts: DataFrame, k: int, threshold: int) -> tuple[DataFrame, b
     t = lines.select("doc_id", "tie", "line_no", _tokens(F.col("words"), classes, k).alias("t"))
     n = F.size("t")
     t = t.select(F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(1), F.col("t")).alias("s2"), n.alias("size"),
-                 F.struct("doc_id", "tie", "line_no").alias("key"), F.slice("t", F.lit(1), _need(n, threshold)).alias("prefix"))
+                 F.struct("doc_id", "tie", "line_no").alias("key"), F.slice("t", F.lit(1), F.greatest(_need(n, threshold), F.lit(0))).alias("prefix"))
     same = t.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    return written(same.select("key", "size", "prefix"), "lines"), classes
+    same = same.where("size > 0")  # not the class of blank lines
+    return written(same.select("key.*", "size", "prefix"), "lines"), classes
 
 
 def _near(x: str, y: str, threshold: int) -> Column:
@@ -128,45 +138,60 @@ def kept_lines(texts: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """Lines that no earlier line matches: (doc_id, tie, line_no)."""
     firsts, classes = _first_lines(texts, k, threshold)
     # lines of fewer than 5 tokens match equal sets only
-    entries = firsts.where("size > 4").select("key", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "size", "pos")).alias("lead"))
-                     .where("n > 1"), "shared")
-    mine = written(entries.join(shared.select("token"), "token"), "entries")
-    star = (mine.alias("x").join(shared.select("token", "lead.*").alias("y"), "token")
+    entries = firsts.where("size > 4").select(
+        "doc_id", "tie", "line_no", "size", F.element_at("prefix", -1).alias("top"), F.posexplode("prefix").alias("pos", "token"))
+    shared = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "shared")
+    mine = written(entries.join(shared, "token").select("token", F.struct("doc_id", "tie", "line_no").alias("key"), "size", "pos", "top"), "entries")
+    lead = mine.groupBy("token").agg(F.min(F.struct("key", "size", "pos")).alias("lead")).select("token", "lead.*")
+    star = (mine.alias("x").join(lead.alias("y"), "token")
             .where(F.expr("y.key < x.key") & _near("x", "y", threshold))
             .select(F.col("x.key").alias("late"), F.col("y.key").alias("early")).distinct())
     star = written(star, "star")
     gone = written(_matching(star, texts, classes, k, threshold), "gone")
     left = mine.join(gone.select(F.col("late").alias("key")), "key", "left_anti")
-    rest = (left.alias("x").join(mine.alias("y"), F.expr("x.token = y.token and y.key < x.key") & _near("x", "y", threshold))
-            .select(F.col("x.key").alias("late"), F.col("y.key").alias("early")).distinct().join(star, ["late", "early"], "left_anti"))
-    rest = written(rest, "rest")
+    rest = left.alias("x").join(mine.alias("y"), F.expr(f"x.token = y.token and y.key < x.key and 100 * least(x.size, y.size) >= {threshold} * greatest(x.size, y.size)"))
+    # all common tokens up to the earlier end of the two prefixes are counted; what comes after it bounds the overlap
+    rest = rest.groupBy(F.col("x.key").alias("late"), F.col("y.key").alias("early")).agg(
+        F.count(F.lit(1)).alias("common"), F.first("x.size").alias("x_size"), F.first("x.top").alias("x_top"),
+        F.first("y.size").alias("y_size"), F.first("y.top").alias("y_top"))
+    after = F.least(F.when(F.col("x_top") <= F.col("y_top"), F.col("x_size") - _need(F.col("x_size"), threshold)),
+                    F.when(F.col("y_top") <= F.col("x_top"), F.col("y_size") - _need(F.col("y_size"), threshold)))
+    rest = rest.withColumn("bound", F.col("common") + after).where(F.expr(f"{100 + threshold} * bound >= {threshold} * (x_size + y_size)"))
+    rest = written(rest.select("late", "early", "bound")
+                   .join(star, ["late", "early"], "left_anti"), "rest")
     if not rest.isEmpty():
-        gone = gone.unionAll(_matching(rest, texts, classes, k, threshold))
-    return firsts.select("key").join(gone.select(F.col("late").alias("key")), "key", "left_anti").select("key.*")
+        # the likeliest match of each line first, all others of those that this does not remove
+        best = written(rest.groupBy("late").agg(F.max_by("early", F.struct("bound", "early")).alias("early")), "best")
+        more = written(_matching(best, texts, classes, k, threshold), "gone")
+        gone = gone.unionAll(more)
+        last = written(rest.join(more, "late", "left_anti").join(best, ["late", "early"], "left_anti").select("late", "early"), "last")
+        if not last.isEmpty():
+            gone = gone.unionAll(_matching(last, texts, classes, k, threshold))
+    gone = gone.select("late.*").distinct()
+    same = [firsts[c].eqNullSafe(gone[c]) for c in ("doc_id", "tie", "line_no")]
+    return firsts.select("doc_id", "tie", "line_no").join(gone, same, "left_anti")
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` with the later of matching lines removed from ``text``, and
-    n_lines (lines with words) and n_removed beside it."""
-    base = docs.withColumn("_id", F.col("doc_id").cast("bigint"))
-    ids = base.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_id").alias("d")).first()
+    """One row per document: doc_id, text without the later of matching lines,
+    n_lines (lines with words), n_removed, row (the other columns of ``docs`` as a struct)."""
+    other = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*other).alias("row"))
+    ids = base.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     # ids that repeat are told apart by their texts
-    tie = F.lit(0).cast("bigint") if ids["n"] == ids["d"] else F.xxhash64("text")
-    base = base.withColumn("_tie", tie)
-    texts = base.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), F.col("text").cast("string").alias("text"))
-    kept = kept_lines(texts, k, threshold).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("line_no")).alias("_kept"))
-    kept = kept.select(F.col("doc_id").alias("_k_id"), F.col("tie").alias("_k_tie"), "_kept")
-    j = base.join(kept, base["_id"].eqNullSafe(F.col("_k_id")) & (F.col("_tie") == F.col("_k_tie")), "left")
+    base = base.withColumn("tie", F.lit(0).cast("bigint") if ids["n"] == ids["d"] else F.xxhash64("text"))
+    kept = kept_lines(base.select("doc_id", "tie", "text"), k, threshold)
+    kept = (kept.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
+            .select(F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie"), "kept"))
+    j = base.join(kept, base["doc_id"].eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left")
     # one flag for each line: runs of false between the kept ones
-    steps = F.transform(F.col("_kept"), lambda x, i: F.concat(
-        F.array_repeat(F.lit(False), x - F.when(i > 0, F.get(F.col("_kept"), i - 1)).otherwise(F.lit(-1)) - 1), F.array(F.lit(True))))
-    j = j.withColumn("_lines", F.split(F.col("text").cast("string"), "\n")).withColumn("_flags", F.coalesce(F.flatten(steps), F.array().cast("array<boolean>")))
-    j = j.withColumn("_all", F.arrays_zip(F.col("_lines").alias("l"), F.col("_flags").alias("f")))
+    steps = F.transform("kept", lambda x, i: F.concat(
+        F.array_repeat(F.lit(False), x - F.when(i > 0, F.get(F.col("kept"), i - 1)).otherwise(F.lit(-1)) - 1), F.array(F.lit(True))))
+    j = j.withColumn("lines", F.split("text", "\n")).withColumn("flags", F.coalesce(F.flatten(steps), F.array().cast("array<boolean>")))
     blank = lambda x: ~x.rlike(r"[^ \t\x0B\f\r]")
-    j = j.withColumn("_n", F.size(F.filter("_lines", lambda x: ~blank(x))))
-    j = j.withColumn("_rest", F.filter("_all", lambda s: F.coalesce(s["f"], F.lit(False)) | blank(s["l"])))
-    out = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return j.select(*[F.col(c) for c in out], F.when(F.col("text").isNotNull(), F.array_join(F.transform("_rest", lambda s: s["l"]), "\n")).alias("text"),
-                    F.greatest(F.coalesce("_n", F.lit(0)), F.lit(0)).cast("bigint").alias("n_lines"),
-                    (F.greatest(F.coalesce("_n", F.lit(0)), F.lit(0)) - F.greatest(F.coalesce(F.size("_kept"), F.lit(0)), F.lit(0))).cast("bigint").alias("n_removed"))
+    j = j.withColumn("n", F.coalesce(F.size(F.filter("lines", lambda x: ~blank(x))), F.lit(0)))
+    both = F.arrays_zip(F.col("lines").alias("l"), F.col("flags").alias("f"))
+    j = j.withColumn("left", F.filter(both, lambda s: F.coalesce(s["f"], F.lit(False)) | blank(s["l"])))
+    n, stay = F.greatest("n", F.lit(0)), F.greatest(F.coalesce(F.size("kept"), F.lit(0)), F.lit(0))  # the size of null may be -1
+    return j.select("doc_id", F.when(F.col("text").isNotNull(), F.array_join(F.transform("left", lambda s: s["l"]), "\n")).alias("text"),
+                    n.cast("bigint").alias("n_lines"), (n - stay).cast("bigint").alias("n_removed"), "row")

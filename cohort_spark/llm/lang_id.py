@@ -207,7 +207,7 @@ def _train(vectors: DataFrame, langs: list[str]) -> DataFrame:
             at = np.flatnonzero(w[:, k])
             yield pa.record_batch([pa.array([c]), pa.array([t]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([w[at, k].astype("<f4").tobytes()], pa.binary())],
                                   names=["lang", "temperature", "slots", "weights"])
-    return vectors.coalesce(1).mapInArrow(run, "lang string, temperature double, slots binary, weights binary")
+    return vectors.repartition(1).mapInArrow(run, "lang string, temperature double, slots binary, weights binary")
 
 
 def identify(docs: DataFrame, learn_from: Column, sample_rows: int = 4000, carry: bool = False) -> DataFrame:
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, learn_from: Column, sample_rows: int = 4000, carry
         w *= idf[:, None].astype(np.float32) * SCALE
 
     def run(batch):
-        for i, j, grams in _parts(batch.column("text")):
+        for i, j, grams in _parts(batch.column("row").field("text").cast(pa.string()) if carry else batch.column("text")):
             n = j - i
             total, size = np.zeros((n, w.shape[1])), np.zeros(n, np.int64)
             for slots, text in grams:
@@ -251,4 +251,4 @@ def identify(docs: DataFrame, learn_from: Column, sample_rows: int = 4000, carry
             yield pa.record_batch([*(batch.column(c).slice(i, n) for c in kept), pa.array([langs[k] if f else "und" for k, f in zip(best.tolist(), fit.tolist())], pa.string()),
                                    pa.array(np.where(fit, p[np.arange(n), best], 0.0))], names=[*kept, "lang_pred", "score"])
     out = T.StructType([rows.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
-    return map_arrow(rows.select(*kept, "text"), run, out)
+    return map_arrow(rows.select(*kept) if carry else rows.select(*kept, "text"), run, out)

@@ -1,0 +1,15 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def docs_of(spark):
+    """A documents table from (doc_id, text) pairs, with a column that clashes with names inside the operators."""
+    def make(rows, **extra):
+        schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, score int, unit string"
+        return spark.createDataFrame([(i, t, extra.get("lang", "en"), "s", len(t or ""), "r", 1, "u") for i, t in rows], schema)
+    return make

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
+from ..functions.numeric import to_double
 from ..profile import DEFAULT, Profile
-from .normalize import first_per_key
+from .normalize import first_per_key, standardize_columns
 
 
 def _filled(col, dtype: T.DataType):
@@ -25,18 +26,30 @@ def _filled(col, dtype: T.DataType):
     return col.isNotNull()
 
 
+def _typed(col, have: T.DataType, want: T.DataType):
+    """A request value in the stored column's type; what cannot be read is null."""
+    if isinstance(want, (T.FloatType, T.DoubleType)):
+        return to_double(col, have).cast(want)
+    return col.try_cast(want)
+
+
 def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", prof: Profile = DEFAULT) -> DataFrame:
     """Stored rows of the requested keys joined with the requests on the
     trimmed key; for shared columns a filled request value wins; request-only
     columns are kept; a key repeated in the requests repeats the row.
 
     One ``requests LEFT JOIN base`` (a stream-static join when the requests
-    stream). ``unmatched``: ``'keep'`` keeps requests whose key is unknown,
+    stream). Request headers are standardised (N1) and values for numeric
+    columns coerced (N2: bad text is no value) first. A request without a key,
+    or without a key column, matches nothing and counts as unknown.
+    ``unmatched``: ``'keep'`` keeps requests whose key is unknown,
     as they came; ``'drop'`` drops them; ``'all_or_nothing'`` drops them only when
     some key matched, else keeps every request unchanged."""
     key = prof.key
     b = base.withColumn(key, F.trim(R.c(key).cast("string")))
-    r = req.withColumn(key, F.trim(R.c(key).cast("string"))).filter(R.c(key).isNotNull() & (R.c(key) != ""))
+    r = standardize_columns(req)
+    given = F.trim(R.c(key).cast("string")) if key in r.columns else F.lit(None).cast("string")
+    r = r.withColumn(key, F.when(given != "", given))  # null matches no key
     btypes = {f.name: f.dataType for f in b.schema.fields}
     rtypes = {f.name: f.dataType for f in r.schema.fields}
     shared = [c for c in r.columns if c in btypes and c != key]
@@ -50,8 +63,8 @@ def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", pr
         if c == key:
             cols.append(R.c(key))
         elif c in shared:
-            vin = F.col(f"`{c}__in`").cast(btypes[c])
-            win = _filled(F.col(f"`{c}__in`"), rtypes[c])
+            vin = _typed(F.col(f"`{c}__in`"), rtypes[c], btypes[c])
+            win = _filled(vin, btypes[c])
             cols.append(F.when(~hit, vin).when(win, vin).otherwise(R.c(c)).alias(c))
         else:
             cols.append(R.c(c))
@@ -75,13 +88,15 @@ def unknown_requests(base: DataFrame, req: DataFrame, prof: Profile = DEFAULT) -
 def batch_lookup(base: DataFrame, req: DataFrame, pos: str = "pos", base_order: str | None = None,
                  prof: Profile = DEFAULT) -> DataFrame:
     """For each requested key (in request order ``pos``) the first stored
-    row of that key; unknown keys are skipped."""
+    row of that key; unknown keys are skipped. 'First' is by ``base_order``, or
+    without one by the stored row's own values (the same row in every run)."""
     key = prof.key
     b = base.withColumn(key, F.trim(R.c(key).cast("string")))
     if base_order is None:
-        b = b.withColumn("_ord", F.lit(0))
-        base_order = "_ord"
-    first = first_per_key(b, [key], base_order)
+        order = F.struct(*[R.c(c).cast("string") for c in b.columns])
+        first = first_per_key(b.withColumn("_ord", F.to_json(order)), [key], "_ord").drop("_ord")
+    else:
+        first = first_per_key(b, [key], base_order)
     r = req.select(F.trim(R.c(key).cast("string")).alias(key), R.c(pos).alias(pos))
     return r.join(first, key, "inner")
 

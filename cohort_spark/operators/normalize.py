@@ -35,14 +35,13 @@ def standardize_columns(df: DataFrame, rename: dict[str, str] | None = None) ->
 def split_features(columns: list[str], exclude_text: bool = True) -> tuple[list[str], list[str]]:
     """Allowed, not forbidden and present; sorted categorical, then
     numeric. The free-text recovery notes are left out of the model."""
-    cols = [c for c in columns if c in P.ALLOWED_FEATURES and c not in P.FORBIDDEN_FEATURES]
-    if exclude_text:
-        cols = [c for c in cols if c not in P.RECOVERY_TEXT_COLUMNS]
-    if not cols:
+    barred = {*P.FORBIDDEN_FEATURES, *(P.RECOVERY_TEXT_COLUMNS if exclude_text else ())}
+    by_role: dict[bool, list[str]] = {True: [], False: []}  # categorical or not
+    for name in sorted(({*P.ALLOWED_FEATURES} & {*columns}) - barred):
+        by_role[name in P.CATEGORICAL_FEATURES].append(name)
+    if not any(by_role.values()):
         raise ValueError("no usable feature column")
-    cat = sorted(c for c in cols if c in P.CATEGORICAL_FEATURES)
-    num = sorted(c for c in cols if c not in P.CATEGORICAL_FEATURES)
-    return cat, num
+    return by_role[True], by_role[False]
 
 
 def feature_frame(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "row_numbe
     # one row per partition: bounded by the partition count, safe to broadcast
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ranged.join(F.broadcast(offsets), "_pid")
+    return (ranged.join(offsets, "_pid")
             .withColumn(name, (F.col("_off") + local + 1).cast("bigint"))
             .drop("_pid", "_mid", "_off"))
 
@@ -72,7 +72,7 @@ def running_totals(df: DataFrame, group: list[str], order: str, values: list[str
                                        for v in values])
     wl = Window.partitionBy(*(gcols + [F.col("_pid")])).orderBy(okey).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(wl), F.lit(0)).alias(f"_l_{v}") for v in values])
-    out = local.join(F.broadcast(offsets), keys)
+    out = local.join(offsets, keys)
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{prefix}{v}_before") for v in values],

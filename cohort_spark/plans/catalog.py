@@ -74,9 +74,10 @@ def s1_read_snapshot(spark, sf_dir):
 
 @register("s2_stack_years")
 def s2_stack_years(spark, sf_dir):
-    """Union by name of three snapshots; the first lacks the English mark."""
-    frames = {y: T_.snapshot(spark, sf_dir, y) for y in T_.YEARS}
-    frames[T_.YEARS[0]] = frames[T_.YEARS[0]].drop("Inglês")
+    """Union by name of all snapshots; the first lacks the English mark."""
+    years = T_.order_years(spark, sf_dir)
+    frames = {y: T_.snapshot(spark, sf_dir, y) for y in years}
+    frames[years[0]] = frames[years[0]].drop("Inglês")
     st = IO.stack_years(frames)
     return st.select("RA", "ano", F.col("`INDE 22`").alias("inde"), F.col("Inglês").alias("ingles"),
                      F.col("Indicado").alias("indicado"))
@@ -99,7 +100,7 @@ def s3_export_csv(spark, sf_dir):
 def s4_predictions(spark, sf_dir):
     """Prediction rows of the enriched requests (rule scorer)."""
     base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
-    enriched = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="all_or_nothing")
+    enriched = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="keep")
     return RP.prediction_rows(score_rule(enriched))
 
 
@@ -118,9 +119,9 @@ def s5_requests_json(spark, sf_dir):
 @register("s8_ledger")
 def s8_ledger(spark, sf_dir):
     """Intervention ledger rows for the parent-meeting list, CSV round trip."""
-    sc = scored_year(spark, sf_dir, 1998)
+    sc = scored_years(spark, sf_dir)
     rows = C.parent_meeting_list(sc).select(
-        F.concat(F.lit("PEDE"), F.col("ano").cast("string")).alias("sheet"),
+        F.concat(F.lit("S"), F.col("ano").cast("string")).alias("sheet"),
         F.col("RA").alias("ra"), F.col("Nome").alias("nome"), F.col("Turma").alias("turma"),
         F.make_date(F.col("ano"), F.lit(12), F.lit(31)).alias("data"),
         F.when(N.nz(F.col("Matem") < P.PASS_MARK), F.lit("Matemática")).otherwise(F.lit("Português")).alias("disciplina"),
@@ -194,7 +195,7 @@ def n8_align_schema(spark, sf_dir):
 @register("n9_next_year")
 def n9_next_year(spark, sf_dir):
     o = T_.read_table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("PEDE"), F.year("o_orderdate").cast("string")).alias("sheet"))
+        F.concat(F.lit("S"), F.year("o_orderdate").cast("string")).alias("sheet"))
     n = T_.read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("sheet"))
     sheets = o.unionByName(n).distinct()
     return sheets.select("sheet", NM.base_year(F.col("sheet")).alias("base_year"),
@@ -241,14 +242,14 @@ def _docs(spark, sf_dir) -> DataFrame:
 
 @register("c5_proba_label")
 def c5_proba_label(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = T_.doc_scores(spark, sf_dir)
     return d.select("doc_id", R.proba_label(F.col("score")).alias("risk_label"),
                     F.bround(R.proba_score(F.col("score")), 9).alias("risk_score"))
 
 
 @register("c6_future_label")
 def c6_future_label(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = T_.doc_scores(spark, sf_dir)
     return d.select("doc_id", R.future_label(F.col("score")).alias("future_label"))
 
 
@@ -388,7 +389,7 @@ def p9_parent_meeting_list(spark, sf_dir):
 
 @register("p10_temporal_split")
 def p10_temporal_split(spark, sf_dir):
-    train, test = C.temporal_split(T_.pupil_year(spark, sf_dir), T_.YEARS[-1])
+    train, test = C.temporal_split(T_.pupil_year(spark, sf_dir), T_.TEST_YEAR)
     return train.select("RA", "ano", F.lit("train").alias("split")).unionByName(
         test.select("RA", "ano", F.lit("test").alias("split")))
 
@@ -398,7 +399,7 @@ def p10_temporal_split(spark, sf_dir):
 @register("j1_enrich_requests")
 def j1_enrich_requests(spark, sf_dir):
     base = T_.snapshot(spark, sf_dir, DEFAULT_YEAR)
-    out = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="all_or_nothing")
+    out = J.enrich_requests(base, T_.requests(spark, sf_dir), unmatched="keep")
     return out.select("RA", "pos", F.col("`INDE 22`").alias("inde"), F.col("Indicado").alias("indicado"),
                       "canal", "Nome")
 
@@ -469,18 +470,18 @@ def _train_frame(spark, sf_dir) -> DataFrame:
 
 @register("a8_class_weights")
 def a8_class_weights(spark, sf_dir):
-    train, _ = C.temporal_split(_train_frame(spark, sf_dir), T_.YEARS[-1])
+    train, _ = C.temporal_split(_train_frame(spark, sf_dir), T_.TEST_YEAR)
     return M.class_weights(train.select("RA", "ano", "y"), "y").withColumn("w", F.bround("w", 12))
 
 
 @register("a9_dataset_sizes")
 def a9_dataset_sizes(spark, sf_dir):
-    train, test = C.temporal_split(T_.pupil_year(spark, sf_dir), T_.YEARS[-1])
+    train, test = C.temporal_split(T_.pupil_year(spark, sf_dir), T_.TEST_YEAR)
     return M.dataset_sizes(train, test)
 
 
 def _line_sides(spark, sf_dir):
-    return (T_.feature_side(spark, sf_dir, T_.DRIFT_REF_YEAR), T_.feature_side(spark, sf_dir, T_.DRIFT_CUR_YEAR))
+    return T_.feature_side(spark, sf_dir, current=False), T_.feature_side(spark, sf_dir, current=True)
 
 
 @register("a10_histogram")
@@ -583,9 +584,10 @@ def o3_drift_order(spark, sf_dir):
 def o4_union_by_name(spark, sf_dir):
     """O4 / S2 with scoring per snapshot: the first year has no INDE column,
     so its rule score falls back to the subject mean (C3 branch)."""
-    first = score_rule(T_.snapshot(spark, sf_dir, T_.YEARS[0]).drop("INDE 22"))
-    rest = {y: score_rule(T_.snapshot(spark, sf_dir, y)) for y in T_.YEARS[1:]}
-    st = IO.stack_years({T_.YEARS[0]: first, **rest})
+    years = T_.order_years(spark, sf_dir)
+    first = score_rule(T_.snapshot(spark, sf_dir, years[0]).drop("INDE 22"))
+    rest = {y: score_rule(T_.snapshot(spark, sf_dir, y)) for y in years[1:]}
+    st = IO.stack_years({years[0]: first, **rest})
     return st.select("RA", "ano", F.bround("_risk_score", 9).alias("risk_score"),
                      F.col("_risk_label").alias("risk_label"), F.col("`INDE 22`").alias("inde"))
 
@@ -593,7 +595,7 @@ def o4_union_by_name(spark, sf_dir):
 # -------------------------------------------------------------------- model
 
 _TRAINED: dict[tuple, str] = {}
-TEST_YEAR = T_.YEARS[-1]
+TEST_YEAR = T_.TEST_YEAR
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -608,7 +610,7 @@ def trained_dir(spark: SparkSession, sf_dir: str) -> str:
     key = (id(spark.sparkContext), sf_dir)
     if key not in _TRAINED:
         out = scratch_path(spark, "model")
-        train_job(spark, _labelled(spark, sf_dir).drop("RA", "Nome"), TEST_YEAR, out)
+        train_job(spark, _labelled(spark, sf_dir), TEST_YEAR, out)
         _TRAINED[key] = out
     return _TRAINED[key]
 
@@ -753,11 +755,12 @@ def t1_stream_scoring(spark, sf_dir):
 @register("t2_stream_drift")
 def t2_stream_drift(spark, sf_dir):
     """Lineitem rows streamed by ship date; PSI per closed 90-day window
-    against the fixed 1996 reference edges."""
+    against the fixed edges of the reference side; windows still open at the
+    watermark come last, marked as not closed."""
     from ..streaming import run_drift_monitor
     src, sink, ck = (scratch_path(spark, n) for n in ("t2-in", "t2-out", "t2-ck"))
     li = T_.read_table(spark, sf_dir, "lineitem").select("l_shipdate", *T_.LINE_FEATURES)
     li.write.mode("overwrite").parquet(src)
-    ref = T_.feature_side(spark, sf_dir, T_.DRIFT_REF_YEAR)
+    ref = T_.feature_side(spark, sf_dir, current=False)
     run_drift_monitor(spark, src, li.schema, ref, list(T_.LINE_FEATURES), "l_shipdate", sink, ck)
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("epoch")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
@@ -106,7 +108,7 @@ def build_pipeline(cat: list[str], num: list[str], label: str = "y", weight: str
         stages.append(StringIndexer(inputCols=cs, outputCols=[f"{c}_idx" for c in cs], handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in cs], outputCols=[f"{c}_ohe" for c in cs],
-                                    dropLast=True, handleInvalid="keep"))
+                                    dropLast=True, handleInvalid="error"))  # the indexer's slot for unknown values is the last: a zero vector
     if medians is not None:
         ns = [c for c in ns if medians.get(c) is not None]
         if ns:
@@ -135,8 +137,10 @@ def stratified_split(df: DataFrame, label: str = "y", test_size: float = 0.2, ke
     inside their class by a key hash (running totals over range partitions,
     no per-class window on one task); the test count per class follows the
     largest-remainder allocation of ceil(test_size·n)."""
-    h = F.pmod(F.pmod(R.c(key).cast("bigint"), F.lit(1000003)) * F.lit(999983) + R.c(year), F.lit(1000003))
-    keyed = df.withColumn("_okey", F.struct(h.alias("h"), R.c(key).cast("bigint").alias("k"), R.c(year).alias("a"))) \
+    # numeric keys by their value, other texts by their hash
+    k = F.coalesce(R.c(key).try_cast("bigint"), F.xxhash64(R.c(key).cast("string")))
+    h = F.pmod(F.pmod(k, F.lit(1000003)) * F.lit(999983) + R.c(year), F.lit(1000003))
+    keyed = df.withColumn("_okey", F.struct(h.alias("h"), k.alias("k"), R.c(key).cast("string").alias("s"), R.c(year).alias("a"))) \
         .withColumn("_one", F.lit(1))
     ranked = running_totals(keyed, [label], "_okey", ["_one"])
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("nc"))
@@ -187,12 +191,16 @@ def score_with_model(df: DataFrame, bundle, prof: Profile = DEFAULT) -> DataFram
 
 
 def model_features_present(df: DataFrame, bundle) -> bool:
-    """M7 validation: the bundle is usable on this frame (missing feature
-    columns are allowed: they are aligned as nulls)."""
+    """M7 validation: the bundle's pipeline can be planned on this frame
+    (missing feature columns are allowed: they are aligned as nulls). Stages
+    that ask for columns the frame cannot give, or that cannot be unpacked,
+    make it unusable."""
     try:
         model, cat, num = bundle
-        return isinstance(model, PipelineModel) and bool(cat or num)
-    except Exception:
+        if not isinstance(model, PipelineModel) or not (cat or num):
+            return False
+        return "probability" in model.transform(prepare(df, cat, num)).columns
+    except (TypeError, ValueError, AttributeError, PySparkException, Py4JJavaError):
         return False
 
 
@@ -243,9 +251,9 @@ def train_job(spark: SparkSession, stacked: DataFrame, test_year: int, out_dir:
         split = stratified_split(stacked, label)
         train_df = split.filter(~F.col("is_test")).drop("is_test")
         test_df = split.filter(F.col("is_test")).drop("is_test")
-    model, cat, num = train(train_df.drop("ano"), label, params)
+    model, cat, num = train(train_df.drop("ano", P.DEFAULT.key), label, params)
     ev = evaluate(model, test_df, cat, num, label)
-    sizes = M.dataset_sizes(stacked.filter(F.col("ano") < test_year), stacked.filter(F.col("ano") == test_year))
+    sizes = M.dataset_sizes(train_df, test_df)
     row = ev.first().asDict()
     row.update(sizes.first().asDict())
     save_artifacts(spark, model, cat, num, row, out_dir)

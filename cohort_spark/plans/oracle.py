@@ -18,8 +18,7 @@ def _stone(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN CAST({x} AS DOUBLE) END"
 
 
-def pupil_year_sql(years: tuple[int, ...] = (1996, 1997, 1998)) -> str:
-    lo, hi = min(years), max(years) + 1
+def pupil_year_sql() -> str:
     return f"""
     SELECT CAST(o.o_custkey AS VARCHAR) AS "RA", CAST(o.ano AS INTEGER) AS ano, c.c_name AS "Nome",
       c.c_mktsegment AS "Turma", nn.n_name AS "Instituição de ensino",
@@ -48,7 +47,6 @@ def pupil_year_sql(years: tuple[int, ...] = (1996, 1997, 1998)) -> str:
         count(*) FILTER (WHERE o_orderstatus = 'P') AS np,
         count(*) FILTER (WHERE o_orderstatus = 'P' AND starts_with(o_orderpriority, '1-')) AS npu
       FROM orders
-      WHERE o_orderdate >= TIMESTAMP '{lo}-01-01' AND o_orderdate < TIMESTAMP '{hi}-01-01'
       GROUP BY 1, 2) o
     JOIN customer c ON o.o_custkey = c.c_custkey
     JOIN nation nn ON c.c_nationkey = nn.n_nationkey"""
@@ -65,19 +63,19 @@ def rule_label_sql(x: str) -> str:
             f"WHEN {x} < 6.5{D} THEN 'Médio' ELSE 'Regular' END")
 
 
-def scored_sql(years: tuple[int, ...] = (1996, 1997, 1998)) -> str:
+def scored_sql() -> str:
     """pupil_year with the rule score, label and subject mean."""
     return f"""
     SELECT *, least(greatest(1.0{D} - _inde / 10.0{D}, 0.0{D}), 1.0{D}) AS _risk_score,
       {rule_label_sql('_inde')} AS _risk_label
     FROM (SELECT *, least(greatest(coalesce("INDE 22", 6.0{D}), 0.0{D}), 10.0{D}) AS _inde,
             {subject_mean_sql()} AS _media
-          FROM ({pupil_year_sql(years)}) py0) s0"""
+          FROM ({pupil_year_sql()}) py0) s0"""
 
 
-def with_views(body: str, years: tuple[int, ...] = (1996, 1997, 1998)) -> str:
+def with_views(body: str) -> str:
     """``body`` may refer to the CTEs ``py`` (pupil_year) and ``sc`` (scored)."""
-    return f"WITH py AS ({pupil_year_sql(years)}),\nsc AS ({scored_sql(years)})\n{body}"
+    return f"WITH py AS ({pupil_year_sql()}),\nsc AS ({scored_sql()})\n{body}"
 
 
 def pct_sql(n: str, total: str) -> str:
@@ -150,6 +148,10 @@ req AS (
     event_type AS canal
   FROM events)"""
 
+ALL_DOCS = f"""
+ds AS (
+  SELECT doc_id, CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + 2000.0{D}) AS score FROM documents)"""
+
 DOCS = f"""
 sd AS (
   SELECT l.doc_id, CAST(l.quality AS INTEGER) AS y,
@@ -166,7 +168,7 @@ jm AS (
 ju AS (
   SELECT trim(r."RA") AS "RA", r.pos, r.canal, CAST(NULL AS VARCHAR) AS "Nome", r.inde_in AS inde, r.ind_in AS indicado
   FROM req r WHERE trim(r."RA") NOT IN (SELECT trim("RA") FROM base)),
-j1 AS (SELECT * FROM jm UNION ALL SELECT * FROM ju WHERE (SELECT count(*) FROM jm) = 0)"""
+j1 AS (SELECT * FROM jm UNION ALL SELECT * FROM ju)"""
 
 LONG = f"""
 st AS (
@@ -254,10 +256,8 @@ PUPIL_DRIFT_FEATURES = ["INDE 22", "IEG", "IPS", "IDA", "IPV", "IAN", "Pedra 20"
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 PUPIL_PSI = psi_sql("(SELECT * FROM py WHERE ano = 1996)", "(SELECT * FROM py WHERE ano = 1998)",
                     [(f, f'"{f}"') for f in PUPIL_DRIFT_FEATURES])
-LINE_SIDES = ("line_ref AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' "
-              "AND l_shipdate < TIMESTAMP '1997-01-01'),\n"
-              "line_cur AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' "
-              "AND l_shipdate < TIMESTAMP '1999-01-01'),")
+LINE_SIDES = ("line_ref AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),\n"
+              "line_cur AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'),")
 LINE_PSI = LINE_SIDES + psi_sql("line_ref", "line_cur", [(f, f) for f in LINE_FEATURES])
 
 
@@ -362,7 +362,7 @@ SQL: dict[str, str] = {}
 
 # ---- sources
 SQL["s1_read_snapshot"] = views() + 'SELECT "RA", ano, "Nome", "INDE 22" AS inde, "Pedra 22" AS pedra_22 FROM py WHERE ano = 1997'
-SQL["s2_stack_years"] = views() + ('SELECT "RA", ano, "INDE 22" AS inde, CASE WHEN ano = 1996 THEN NULL ELSE "Inglês" END '
+SQL["s2_stack_years"] = views() + ('SELECT "RA", ano, "INDE 22" AS inde, CASE WHEN ano = (SELECT min(ano) FROM py) THEN NULL ELSE "Inglês" END '
                                    'AS ingles, "Indicado" AS indicado FROM py')
 SQL["s3_export_csv"] = views() + export_sql(1997)
 SQL["s4_predictions"] = views(REQ, J1) + f"""
@@ -370,13 +370,14 @@ SELECT "RA" AS ra, {rule_label_sql('_inde')} AS risk_label,
   round_even(least(greatest(1.0{D} - _inde / 10.0{D}, 0.0{D}), 1.0{D}), 9) AS risk_score,
   'risco_futuro' AS risk_type, '1.0.0' AS model_version, false AS used_model, pos
 FROM (SELECT *, least(greatest(coalesce(inde, 6.0{D}), 0.0{D}), 10.0{D}) AS _inde FROM j1) x"""
+SQL["t1_stream_scoring"] = SQL["s4_predictions"]  # the same rule on a stream of the same requests
 SQL["s5_requests_json"] = views(REQ) + 'SELECT "RA", pos, inde_in AS inde, ind_in AS indicado, canal FROM req'
 SQL["s8_ledger"] = views() + f"""
-SELECT 'PEDE' || CAST(ano AS VARCHAR) AS sheet, "RA" AS ra, "Nome" AS nome, "Turma" AS turma,
+SELECT 'S' || CAST(ano AS VARCHAR) AS sheet, "RA" AS ra, "Nome" AS nome, "Turma" AS turma,
   strftime(make_date(ano, 12, 31), '%Y-%m-%d') AS data,
   CASE WHEN {nz('Matem < 6.0' + D)} THEN 'Matemática' ELSE 'Português' END AS disciplina,
   'INDE ' || {comma_sql('"INDE 22"', 1)} AS observacao
-FROM sc WHERE ano = 1998 AND {PARENT}"""
+FROM sc WHERE {PARENT}"""
 
 # ---- normalisation
 SQL["n1_standardize_columns"] = """
@@ -414,7 +415,7 @@ SELECT sheet, CASE WHEN length(regexp_replace(sheet, '[^0-9]', '', 'g')) > 0
     THEN regexp_replace(sheet, '[^0-9]', '', 'g') ELSE 'base' END AS base_year,
   CASE WHEN length(regexp_replace(sheet, '[^0-9]', '', 'g')) = 4
   THEN CAST(CAST(regexp_replace(sheet, '[^0-9]', '', 'g') AS INTEGER) + 1 AS VARCHAR) ELSE 'próximo ano' END AS next_year
-FROM (SELECT 'PEDE' || CAST(year(o_orderdate) AS VARCHAR) AS sheet FROM orders
+FROM (SELECT 'S' || CAST(year(o_orderdate) AS VARCHAR) AS sheet FROM orders
       UNION SELECT n_name FROM nation) s"""
 SQL["n10_first_per_key"] = views(REQ) + """
 SELECT "RA", pos, canal FROM (SELECT *, row_number() OVER (PARTITION BY "RA" ORDER BY pos) AS rn FROM req) x WHERE rn = 1"""
@@ -425,12 +426,12 @@ SQL["c2_mean_class"] = views() + f'SELECT "RA", ano, {mean_class_sql("_media")}
 SQL["c3_rule_score"] = views() + 'SELECT "RA", ano, round_even(_risk_score, 9) AS risk_score FROM sc'
 SQL["c4_rule_label"] = views() + 'SELECT "RA", ano, _risk_label AS risk_label FROM sc'
 _CLIP = f"least(greatest(coalesce(score, 0.0{D}), 0.0{D}), 1.0{D})"
-SQL["c5_proba_label"] = f"""WITH {DOCS.strip()}
+SQL["c5_proba_label"] = f"""WITH {ALL_DOCS.strip()}
 SELECT doc_id, CASE WHEN {_CLIP} >= 0.85{D} THEN 'Muito Alto' WHEN {_CLIP} >= 0.70{D} THEN 'Alto'
-  WHEN {_CLIP} >= 0.50{D} THEN 'Médio' ELSE 'Regular' END AS risk_label, round_even({_CLIP}, 9) AS risk_score FROM sd"""
-SQL["c6_future_label"] = f"""WITH {DOCS.strip()}
+  WHEN {_CLIP} >= 0.50{D} THEN 'Médio' ELSE 'Regular' END AS risk_label, round_even({_CLIP}, 9) AS risk_score FROM ds"""
+SQL["c6_future_label"] = f"""WITH {ALL_DOCS.strip()}
 SELECT doc_id, CASE WHEN score >= 0.70{D} THEN 'Alta Defasagem' WHEN score >= 0.40{D} THEN 'Risco Moderado'
-  ELSE 'Baixo Risco' END AS future_label FROM sd"""
+  ELSE 'Baixo Risco' END AS future_label FROM ds"""
 SQL["c7_minmax_scale"] = """
 WITH d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS raw FROM documents),
 mm AS (SELECT min(raw) AS mn, max(raw) AS mx FROM d)
@@ -477,8 +478,8 @@ SQL["p6_lookup"] = views() + ('SELECT "RA", ano, round_even(_risk_score, 9) AS r
 SQL["p7_high_risk"] = views() + f'SELECT "RA", ano, _risk_label FROM sc WHERE {HIGH}'
 SQL["p8_follow_up_list"] = views() + ordered_list_sql("_risk_label = 'Muito Alto'")
 SQL["p9_parent_meeting_list"] = views() + ordered_list_sql(PARENT)
-SQL["p10_temporal_split"] = views() + ("SELECT \"RA\", ano, CASE WHEN ano < 1998 THEN 'train' ELSE 'test' END AS split "
-                                       "FROM py WHERE ano <= 1998")
+SQL["p10_temporal_split"] = views() + ("SELECT \"RA\", ano, CASE WHEN ano < 2001 THEN 'train' ELSE 'test' END AS split "
+                                       "FROM py WHERE ano <= 2001")
 
 # ---- joins
 SQL["j1_enrich_requests"] = views(REQ, J1) + 'SELECT "RA", pos, inde, indicado, canal, "Nome" FROM j1'
@@ -529,10 +530,10 @@ SQL["a8_class_weights"] = views() + f"""
 SELECT "RA", ano, y, round_even(CASE WHEN pos = 0 OR n - pos = 0 THEN 1.0{D}
     WHEN y = 1 THEN CAST(n AS DOUBLE) / (2.0{D} * CAST(pos AS DOUBLE))
     ELSE CAST(n AS DOUBLE) / (2.0{D} * CAST(n - pos AS DOUBLE)) END, 12) AS w
-FROM (SELECT "RA", ano, {_Y} AS y, (SELECT count(*) FROM py WHERE ano < 1998) AS n,
-        (SELECT count(*) FILTER (WHERE {_Y} = 1) FROM py WHERE ano < 1998) AS pos FROM py WHERE ano < 1998) t"""
-SQL["a9_dataset_sizes"] = views() + ("SELECT count(*) FILTER (WHERE ano < 1998) AS n_train, "
-                                     "count(*) FILTER (WHERE ano = 1998) AS n_test FROM py")
+FROM (SELECT "RA", ano, {_Y} AS y, (SELECT count(*) FROM py WHERE ano < 2001) AS n,
+        (SELECT count(*) FILTER (WHERE {_Y} = 1) FROM py WHERE ano < 2001) AS pos FROM py WHERE ano < 2001) t"""
+SQL["a9_dataset_sizes"] = views() + ("SELECT count(*) FILTER (WHERE ano < 2001) AS n_train, "
+                                     "count(*) FILTER (WHERE ano = 2001) AS n_test FROM py")
 _HIST_BIN = " + ".join(f"CASE WHEN f.value >= {k}.0{D} * h.step + h.lo THEN 1 ELSE 0 END" for k in range(1, 10))
 SQL["a10_histogram"] = "WITH " + LINE_SIDES + f"""
 lv AS ({long_values_sql('line_ref', 'ref', [(f, f) for f in LINE_FEATURES])} UNION ALL
@@ -628,16 +629,16 @@ _BLANK_CAT = "CASE WHEN {x} IS NULL OR CAST({x} AS VARCHAR) IN ('nan', '') THEN
 SQL["m1_category_modes"] = views() + "SELECT feature, mode, n_categories FROM (SELECT feature, value AS mode, " + \
     "row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS rk, count(*) OVER (PARTITION BY feature) " + \
     "AS n_categories FROM (SELECT feature, value, count(*) AS n FROM (" + " UNION ALL ".join(
-        f"SELECT {q(c)} AS feature, " + _BLANK_CAT.format(x=f'"{c}"') + " AS value FROM py WHERE ano < 1998"
+        f"SELECT {q(c)} AS feature, " + _BLANK_CAT.format(x=f'"{c}"') + " AS value FROM py WHERE ano < 2001"
         for c in _CAT) + ") l GROUP BY 1, 2) c) r WHERE rk = 1"
 SQL["m2_numeric_medians"] = views() + " UNION ALL ".join(
     f"SELECT {q(c)} AS feature, round_even(quantile_cont(\"{c}\", 0.5), 9) AS median FROM py "
-    f"WHERE ano < 1998 AND \"{c}\" IS NOT NULL AND NOT isnan(\"{c}\") AND abs(\"{c}\") < 'inf'{D} "
+    f"WHERE ano < 2001 AND \"{c}\" IS NOT NULL AND NOT isnan(\"{c}\") AND abs(\"{c}\") < 'inf'{D} "
     f"HAVING count(*) > 0" for c in _NUM)
 SQL["o4_union_by_name"] = views() + f"""
 SELECT "RA", ano, round_even(least(greatest(1.0{D} - _inde2 / 10.0{D}, 0.0{D}), 1.0{D}), 9) AS risk_score,
-  {rule_label_sql('_inde2')} AS risk_label, CASE WHEN ano = 1996 THEN NULL ELSE "INDE 22" END AS inde
-FROM (SELECT *, CASE WHEN ano = 1996 THEN least(greatest(coalesce(_media, 6.0{D}), 0.0{D}), 10.0{D})
+  {rule_label_sql('_inde2')} AS risk_label, CASE WHEN ano = (SELECT min(ano) FROM py) THEN NULL ELSE "INDE 22" END AS inde
+FROM (SELECT *, CASE WHEN ano = (SELECT min(ano) FROM py) THEN least(greatest(coalesce(_media, 6.0{D}), 0.0{D}), 10.0{D})
                 ELSE _inde END AS _inde2 FROM sc) x"""
 SQL["c8_next_year_target"] = views() + f"""
 SELECT a."RA", a.ano, b.target_next FROM py a

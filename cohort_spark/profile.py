@@ -105,7 +105,7 @@ PROBA_THRESHOLD = 0.5      # classification metrics cut
 
 # Model hyper-parameters of the boosted-tree scorer.
 GBT_PARAMS = dict(stepSize=0.06, maxDepth=4, maxIter=300, minInstancesPerNode=20, seed=42)
-MODEL_NAME = "hgb_classifier"
+MODEL_NAME = "spark_gbt_classifier"
 MODEL_VERSION = "1.0.0"
 
 

@@ -3,7 +3,6 @@ folder used to cut lineage (read from ``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -58,31 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     freezes non-deterministic partition layouts (range partitioning)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or os.path.isabs(path)
-
-
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-                 max_partitions: int = 100_000) -> dict[str, str]:
-    """Settings sized to ``input_bytes``, the size of the largest table that is
-    shuffled (the orders table for the pupil binding): enough shuffle
-    partitions that each task of that stage handles about
-    ``target_partition_bytes`` and fits in executor memory without spilling,
-    capped so the map x reduce block count stays manageable; AQE then
-    coalesces small partitions and splits skewed ones at run time."""
-    shuffle = min(max_partitions, max(200, -(-int(input_bytes) // int(target_partition_bytes))))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
-        "spark.sql.shuffle.partitions": str(shuffle),
-        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 256 << 20)),
-    }
-
-
-def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
-    for k, v in conf.items():
-        spark.conf.set(k, v)

@@ -9,10 +9,10 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from .. import profile as P
 
@@ -147,10 +147,10 @@ def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """S6 read; unreadable or missing -> empty frame with the schema."""
     try:
-        df = spark.read.schema(METADATA_SCHEMA).json(path)
-        df.limit(1).count()
+        df = spark.read.schema(METADATA_SCHEMA).option("multiLine", True).json(path).filter(F.col("model_name").isNotNull())
+        df.isEmpty()  # reads it: broken files show now
         return df
-    except Exception:
+    except PySparkException:
         return spark.createDataFrame([], METADATA_SCHEMA)
 
 
@@ -164,8 +164,8 @@ def default_metadata(features: list[str], metrics: dict) -> dict:
     return {
         "model_name": P.MODEL_NAME,
         "model_version": P.MODEL_VERSION,
-        "task": "binary_classification_proba_to_risk_label",
-        "target": "Defasagem(t+1) -> P(defasagem)",
+        "task": "probability of the same-year target, cut into risk labels",
+        "target": "low index, low IPS or lowest stone in the same year",
         "risk_thresholds": {"muito_alto_gte": P.PROBA_CUTS[0], "alto_gte": P.PROBA_CUTS[1],
                             "medio_gte": P.PROBA_CUTS[2]},
         "feature_columns": list(features),

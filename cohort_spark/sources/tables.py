@@ -7,10 +7,10 @@ result does not depend on the order of floating-point additions.
 
 Views (names used by the registered queries):
 
-``pupil_year``  orders ⋈ customer ⋈ nation, years 1996–1998
+``pupil_year``  orders ⋈ customer ⋈ nation, every year in ``orders``
 ``requests``    events (request records keyed by user id)
-``feat_ref`` / ``feat_cur``  lineitem of ship year 1996 / 1998
-``scored``      labels ⋈ documents (binary label + score in 0..1)
+``feat_ref`` / ``feat_cur``  lineitem shipped before / from ``DRIFT_SPLIT_YEAR``
+``scored``      labels ⋈ documents (binary label + score in 0..1); ``doc_scores`` the score of every document
 ``raw_text``    messy texts formed from events (typing rules)
 """
 
@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-YEARS = (1996, 1997, 1998)
-DRIFT_REF_YEAR = 1996
+TEST_YEAR = 2001         # temporal split: years before train, this year tests
+DRIFT_REF_YEAR = 1996    # snapshots that the pupil drift compares
 DRIFT_CUR_YEAR = 1998
+DRIFT_SPLIT_YEAR = 1998  # line items shipped before are the reference, the others current
 LINE_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 
 
@@ -36,13 +37,18 @@ def _year_window(col: str, years: tuple[int, ...]) -> Column:
         F.col(col) < F.lit(f"{hi}-01-01").cast("timestamp_ntz"))
 
 
-def pupil_year(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = YEARS) -> DataFrame:
-    """One pupil row per (customer, order year)."""
-    orders = (
-        read_table(spark, sf_dir, "orders")
-        .select("o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-        .filter(_year_window("o_orderdate", years))
-    )
+def order_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The years that ``orders`` holds, rising (one row per year reaches the driver)."""
+    found = read_table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")).where("y is not null").distinct()
+    return sorted(r["y"] for r in found.collect())
+
+
+def pupil_year(spark: SparkSession, sf_dir: str, years: tuple[int, ...] | None = None) -> DataFrame:
+    """One pupil row per (customer, order year), of every year or the given ones."""
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    if years is not None:
+        orders = orders.filter(_year_window("o_orderdate", years))
     prio = F.col("o_orderpriority")
     status = F.col("o_orderstatus")
     per_year = (
@@ -123,9 +129,21 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feature_side(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+def feature_side(spark: SparkSession, sf_dir: str, current: bool) -> DataFrame:
+    """Line items on one side of the split year; every dated row is on one side."""
     li = read_table(spark, sf_dir, "lineitem").select("l_shipdate", *LINE_FEATURES)
-    return li.filter(_year_window("l_shipdate", (year,))).select(*LINE_FEATURES)
+    split = F.lit(f"{DRIFT_SPLIT_YEAR}-01-01").cast("timestamp_ntz")
+    return li.filter(F.col("l_shipdate") >= split if current else F.col("l_shipdate") < split).select(*LINE_FEATURES)
+
+
+def _doc_score() -> Column:
+    n = F.col("n_chars").cast("double")
+    return n / (n + F.lit(2000.0))
+
+
+def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score in 0..1 for every document."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", _doc_score().alias("score"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +153,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(docs, "doc_id").select(
         "doc_id",
         F.col("quality").cast("int").alias("y"),
-        (F.col("n_chars").cast("double") / (F.col("n_chars").cast("double") + F.lit(2000.0))).alias("score"),
+        _doc_score().alias("score"),
     )
 
 

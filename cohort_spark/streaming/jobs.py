@@ -56,18 +56,23 @@ def reference_shares(ref: DataFrame, features: list[str], bins: int = P.PSI_BINS
     return edges, shares
 
 
-def _bin(weighted: DataFrame, edges: DataFrame) -> DataFrame:
-    """Bin index against fixed edges (last edge closed, outside dropped)."""
+def _bin(weighted: DataFrame, edges: DataFrame, outside: bool = False) -> DataFrame:
+    """Bin index against fixed edges (last edge closed). Values outside the
+    edges are dropped, or kept as bin 0 with ``outside``."""
     # edges: one row per feature, at most bins + 1 values -> bounded broadcast
     j = weighted.join(F.broadcast(edges), "feature")
     b = (F.when(F.col("value") == F.element_at("edges", -1), F.col("m") - 1)
          .otherwise(F.size(F.filter("edges", lambda x: x <= F.col("value")))))
-    return j.withColumn("bin", b).filter((F.col("bin") >= 1) & (F.col("bin") <= F.col("m") - 1))
+    j = j.withColumn("bin", b)
+    inside = (F.col("bin") >= 1) & (F.col("bin") <= F.col("m") - 1)
+    return j.withColumn("bin", F.when(inside, F.col("bin")).otherwise(0)) if outside else j.filter(inside)
 
 
 def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str], time_col: str,
                         window: str, watermark: str) -> DataFrame:
-    """T2 stateful part: counts per (event-time window, feature, bin)."""
+    """T2 stateful part: counts per (event-time window, feature, bin); bin 0
+    counts the values outside the reference edges, so that a window whose
+    values are all outside is counted too."""
     types = {f.name: f.dataType for f in stream.schema.fields}
     feats = [f for f in features if f in types]
     args = ", ".join(f"'{f}', `_v{i}`" for i, f in enumerate(feats))
@@ -76,24 +81,25 @@ def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str]
                          *[to_double(R.c(f), types[f]).alias(f"_v{i}") for i, f in enumerate(feats)])
     long = vals.select("ts", F.expr(f"stack({len(feats)}, {args}) as (feature, value)")).filter(
         is_finite(F.col("value"))).withColumn("w", F.lit(1))
-    binned = _bin(long, edges)
+    binned = _bin(long, edges, outside=True)
     return (binned.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("win"), "feature", "bin").agg(F.count(F.lit(1)).alias("c")))
 
 
 def psi_of_windows(batch: DataFrame, shares: DataFrame, edges: DataFrame, eps: float = P.PSI_EPS) -> DataFrame:
-    """PSI per closed window and feature from its bin counts."""
-    keys = batch.select("win", "feature").distinct()
+    """PSI per window and feature from its bin counts. ``cur_count`` counts
+    all values of the window, shares are taken over those inside the edges."""
+    keys = batch.groupBy("win", "feature").agg(F.sum("c").alias("cur_count"))
     grid = keys.join(shares, "feature")
     full = grid.join(batch, ["win", "feature", "bin"], "left").fillna({"c": 0})
     tot = full.groupBy("win", "feature").agg(F.sum("c").alias("tot"))
     s = full.join(tot, ["win", "feature"]).join(edges.select("feature", "m"), "feature").select(
         "win", "feature", "m",
         F.greatest(F.col("c").cast("double") / F.greatest(F.col("tot"), F.lit(1)).cast("double"), F.lit(eps)).alias("cc"),
-        F.greatest(F.col("r"), F.lit(eps)).alias("r"), "tot")
+        F.greatest(F.col("r"), F.lit(eps)).alias("r"), "cur_count")
     psi = s.groupBy("win", "feature", "m").agg(
         F.sum((F.col("cc") - F.col("r")) * F.log(F.col("cc") / F.col("r"))).alias("psi_sum"),
-        F.max("tot").alias("cur_count"))
+        F.max("cur_count").alias("cur_count"))
     value = F.when(F.col("m") < 3, F.lit(0.0)).otherwise(F.bround("psi_sum", 9))
     return psi.select(F.col("win.start").alias("window_start"), F.col("win.end").alias("window_end"), "feature",
                       value.alias("psi"), R.psi_status(value).alias("status"), "cur_count")
@@ -102,16 +108,31 @@ def psi_of_windows(batch: DataFrame, shares: DataFrame, edges: DataFrame, eps: f
 def run_drift_monitor(spark: SparkSession, source_dir: str, schema: T.StructType, ref: DataFrame,
                       features: list[str], time_col: str, sink_dir: str, checkpoint_dir: str,
                       window: str = "90 days", watermark: str = "30 days") -> None:
-    """Run T2 over the files present now; closed windows' PSI appended to Parquet."""
+    """Run T2 over the files present now. The PSI of closed windows goes to one
+    folder per epoch, which a retried batch overwrites; windows still open at
+    the final watermark are counted from the source and written beside them,
+    with ``closed`` false."""
     edges, shares = reference_shares(ref, features)
     edges = edges.cache()
     shares = shares.cache()
     stream = spark.readStream.schema(schema).parquet(source_dir)
     counts = windowed_bin_counts(stream, edges, features, time_col, window, watermark)
 
-    def emit(batch: DataFrame, _epoch: int) -> None:
-        psi_of_windows(batch, shares, edges).write.mode("append").parquet(sink_dir)
+    def put(windows: DataFrame, epoch, closed: bool) -> None:
+        (psi_of_windows(windows, shares, edges).withColumn("closed", F.lit(closed))
+         .write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}"))
+
+    def emit(batch: DataFrame, epoch: int) -> None:
+        put(batch, epoch, True)
 
     q = (counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint_dir)
          .foreachBatch(emit).trigger(availableNow=True).start())
     q.awaitTermination()
+    # the tail: windows that end after the last event less the watermark
+    source = spark.read.schema(schema).parquet(source_dir)
+    last = source.agg(F.max(F.col(time_col).cast("timestamp")).alias("t")).first()["t"]
+    if last is not None:
+        tail = windowed_bin_counts(source, edges, features, time_col, window, watermark)
+        put(tail.filter(F.col("win.end") > F.lit(last) - F.expr(f"INTERVAL {watermark}")), -1, False)
+    edges.unpersist()
+    shares.unpersist()

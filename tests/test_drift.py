@@ -73,8 +73,8 @@ def test_histogram_matches_numpy(spark):
 def test_psi_on_lineitem_matches_numpy(spark):
     from cohort_spark.sources import tables as T_
     sf = "/root/testdata/sf0.01"
-    ref = T_.feature_side(spark, sf, T_.DRIFT_REF_YEAR)
-    cur = T_.feature_side(spark, sf, T_.DRIFT_CUR_YEAR)
+    ref = T_.feature_side(spark, sf, current=False)
+    cur = T_.feature_side(spark, sf, current=True)
     got = {r.feature: r.psi for r in D.psi_table(ref, cur, list(T_.LINE_FEATURES)).collect()}
     rp, cp = ref.toPandas(), cur.toPandas()
     for f in T_.LINE_FEATURES:

@@ -32,7 +32,7 @@ def test_stream_drift_equals_batch_for_closed_windows(spark):
     src, sink, ck = (scratch_path(spark, n) for n in ("d-in", "d-out", "d-ck"))
     li = T_.read_table(spark, SMALL, "lineitem").select("l_shipdate", *feats)
     li.write.parquet(src)
-    ref = T_.feature_side(spark, SMALL, T_.DRIFT_REF_YEAR)
+    ref = T_.feature_side(spark, SMALL, current=False)
     run_drift_monitor(spark, src, li.schema, ref, feats, "l_shipdate", sink, ck)
     got = spark.read.parquet(sink)
 

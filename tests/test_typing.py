@@ -31,7 +31,7 @@ def test_standardize_duplicates(spark):
 
 
 def test_next_year_and_first_per_key(spark):
-    df = spark.createDataFrame([("PEDE2022",), ("PEDE22",), ("x2024y",)], "s string")
+    df = spark.createDataFrame([("S2022",), ("S22",), ("x2024y",)], "s string")
     assert [r.n for r in df.select(NM.next_year(F.col("s")).alias("n")).collect()] == ["2023", "próximo ano", "2025"]
     rq = spark.createDataFrame([("1", 5, "b"), ("1", 2, "a"), ("2", 9, "c")], "RA string, pos long, v string")
     got = sorted((r.RA, r.pos, r.v) for r in NM.first_per_key(rq, ["RA"], "pos").collect())

@@ -6,7 +6,7 @@ decide on ``df.columns`` at plan time; the per-row work is one expression.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import profile as P
@@ -135,12 +135,12 @@ def same_year_target(df: DataFrame, prof: Profile = DEFAULT) -> Column:
 
 def next_year_target(stacked: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
     """C8 with ``horizon=1``: the target of year t is the same-year rule
-    evaluated on the key's row of year t + 1 (null when that row is absent).
-    A self equi-join on (key, year + 1); both sides shuffle on the key."""
-    nxt = stacked.select(R_key(prof).alias("_k"), (c(prof.year) - 1).alias("_y"),
-                         same_year_target(stacked, prof).alias("target_next"))
-    cur = stacked.withColumn("_k", R_key(prof)).withColumn("_y", c(prof.year))
-    return cur.join(nxt, ["_k", "_y"], "left").drop("_k", "_y")
+    evaluated on the key's row of year t + 1 (null when that row is absent, or
+    the key is null; any of several rows of that year counts). One shuffle on
+    the key and a range frame of exactly the next year, no join."""
+    w = Window.partitionBy(R_key(prof)).orderBy(c(prof.year).cast("int")).rangeBetween(1, 1)
+    nxt = F.max(same_year_target(stacked, prof)).over(w)
+    return stacked.withColumn("target_next", F.when(R_key(prof).isNotNull(), nxt))
 
 
 def R_key(prof: Profile) -> Column:

@@ -270,6 +270,11 @@ def export_frame(scored: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
     return rows
 
 
+def export_keys() -> list:
+    """O2: label, then mean (missing last), then key."""
+    return [F.col("Risco").asc(), F.col("Média").asc_nulls_last(), F.col("RA").asc()]
+
+
 def export_order(rows: DataFrame) -> DataFrame:
     """O2 with visible positions."""
-    return global_row_number(rows, [F.col("Risco").asc(), F.col("Média").asc_nulls_last(), F.col("RA").asc()])
+    return global_row_number(rows, export_keys())

@@ -88,7 +88,7 @@ def s3_export_csv(spark, sf_dir):
     """High-risk export written as ;-separated CSV with BOM, read back, ordered."""
     rows = C.export_frame(scored_year(spark, sf_dir, LIST_YEAR))
     path = scratch_path(spark, "export")
-    IO.write_export_csv(rows, path)
+    IO.write_export_csv(rows.orderBy(*C.export_keys()), path)  # part files in O2 order
     schema = T.StructType([T.StructField("RA", T.StringType()), T.StructField("Aluno", T.StringType()),
                            T.StructField("Turma", T.StringType()), T.StructField("Média", T.DoubleType()),
                            T.StructField("Risco", T.StringType())])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -71,14 +72,6 @@ def category_modes(df: DataFrame, cat: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_categories"))
 
 
-def most_frequent_fill(df: DataFrame, cat: list[str]) -> dict[str, str]:
-    """M1 imputation values keyed by safe column name (one row per column
-    reaches the driver)."""
-    if not cat:
-        return {}
-    return {_safe(r["feature"]): r["mode"] for r in category_modes(df, cat).collect()}
-
-
 def numeric_medians(df: DataFrame, num: list[str]) -> dict[str, float]:
     """M2 imputation values: exact medians of the safe numeric columns (one
     distributed job; one value per column reaches the driver)."""
@@ -160,13 +153,14 @@ def stratified_split(df: DataFrame, label: str = "y", test_size: float = 0.2, ke
 def train(df_train: DataFrame, label: str = "y", params: dict | None = None, keep: list[str] | None = None):
     """M8 core: N7 feature choice, weights (A8), fit. Returns (model, cat, num)."""
     cat, num = split_features([c for c in df_train.columns if c != label])
-    prepared = prepare(df_train, cat, num, keep=[label] + (keep or []))
-    fill = most_frequent_fill(prepared, cat)
-    if fill:
-        prepared = prepared.fillna(fill)
-    medians = numeric_medians(prepared, num)
-    weighted = M.class_weights(prepared, label, "w")
-    model = build_pipeline(cat, num, label, "w", params, medians=medians).fit(weighted)
+    # every stage of the fit reads the prepared frame: keep it, and release it afterwards
+    prepared = prepare(df_train, cat, num, keep=[label] + (keep or [])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        medians = numeric_medians(prepared, num)
+        weighted = M.class_weights(prepared, label, "w")
+        model = build_pipeline(cat, num, label, "w", params, medians=medians).fit(weighted)
+    finally:
+        prepared.unpersist()
     return model, cat, num
 
 

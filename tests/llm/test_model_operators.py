@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest_llm import ODD, words_of
+from conftest_llm import ODD, docs_of, words_of  # noqa: F401  (docs_of is a fixture)
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

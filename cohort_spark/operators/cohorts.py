@@ -53,7 +53,8 @@ def overall_mean(scored: DataFrame, by: list[str] | None = None, prof: Profile =
     by = by or []
     inde = F.avg(R.c(prof.inde)) if prof.inde in scored.columns else F.lit(None).cast("double")
     out = _agg(scored, by, F.coalesce(inde, F.avg(R.subject_mean(scored, prof))).alias("mean_raw"))
-    return out.select(*by, F.bround("mean_raw", 6).alias("media_geral"),
+    # the last digits of a sum depend on its order: settle them before a tie is rounded
+    return out.select(*by, F.bround(F.bround("mean_raw", 12), 6).alias("media_geral"),
                       X.decimal_comma(F.col("mean_raw"), 1).alias("media_geral_display"))
 
 

@@ -504,7 +504,7 @@ SELECT {_BY},
   count(*) AS total
 FROM sc GROUP BY 1, 2"""
 SQL["a2_overall_mean"] = views() + f"""
-SELECT ano, escola, round_even(m, 6) AS media_geral, {comma_sql('m', 1)} AS media_geral_display FROM (
+SELECT ano, escola, round_even(round_even(m, 12), 6) AS media_geral, {comma_sql('m', 1)} AS media_geral_display FROM (
   SELECT {_BY}, coalesce(avg("INDE 22"), avg(_media)) AS m FROM sc GROUP BY 1, 2) x"""
 SQL["a3_below_pass"] = views() + f"""
 SELECT {_BY}, count(*) FILTER (WHERE Matem < 6.0{D}) AS matematica, count(*) FILTER (WHERE Portug < 6.0{D}) AS portugues,

@@ -24,10 +24,13 @@ def test_no_python_in_plan(spark, name):
 
 
 def test_orders_scan_is_pruned_and_filtered(spark):
-    plan = _plan(T_.pupil_year(spark, SMALL))
-    scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "orders" in ln][0]
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in scan
-    assert "o_orderkey" not in scan.split("ReadSchema")[1]
+    def scan_of(df):
+        return [ln for ln in _plan(df).splitlines() if "FileScan parquet" in ln and "orders" in ln][0]
+    one = scan_of(T_.snapshot(spark, SMALL, 1997))  # a snapshot's year reaches the scan
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in one
+    whole = scan_of(T_.pupil_year(spark, SMALL))  # the stacked table reads every year
+    assert "OrEqual(o_orderdate" not in whole and "LessThan(o_orderdate" not in whole
+    assert all("o_orderkey" not in s.split("ReadSchema")[1] for s in (one, whole))
 
 
 def test_snapshot_read_prunes_partitions(spark):

@@ -1,19 +1,20 @@
 """Feature drift (A10–A13): histograms and the population stability index
 for many features in one job.
 
-Plan (no per-feature loop, no group collected into one task):
-
-1. ``stack`` the monitored columns of both sides to ``(side, feature, value)``
-   (N3 applied) and pre-aggregate to distinct ``(side, feature, value, w)``.
-2. Exact reference quantiles: running totals of ``w`` per feature over range
-   partitions (a feature with billions of values spans many tasks), then the
-   two order statistics around each quantile are found with an equi-join on
-   ``feature`` plus a rank-interval condition against the small target table,
-   and interpolated the way numpy's ``linear`` method does.
+Plan (no per-feature loop, no group collected into one task, no shuffle of
+the distinct values):
+
+1. ``stack`` the monitored columns to ``(feature, value)`` (N3 applied). A
+   mergeable sketch per feature gives a bracket around each quantile.
+2. Exact reference quantiles: one scan counts the rows between the brackets
+   (one row per feature and gap) and the distinct values inside them (well
+   under 1 % of the rows). Running totals of these counts give the two order
+   statistics around each quantile, interpolated the way numpy's ``linear``
+   method does. Should a bracket miss its rank, all values are counted.
 3. Edges per feature (``array_sort(array_distinct)``, at most ``bins + 1``)
    are broadcast — one row per feature, bounded by the feature count.
-4. Weighted bin counts ``groupBy(side, feature, bin)``; the bin grid is
-   completed with ``sequence``; PSI summed per feature.
+4. One scan of both sides counts ``(side, feature, bin)`` with unrolled
+   comparisons; PSI is summed per feature over its bins.
 """
 
 from __future__ import annotations
@@ -38,135 +39,130 @@ def long_values(df: DataFrame, features: list[str], side: str, finite: bool = Tr
     return out.filter(N.is_finite(F.col("value"))) if finite else out.filter(F.col("value").isNotNull())
 
 
-def weighted_values(ref: DataFrame, cur: DataFrame, feats: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Distinct ``(side, feature, value, w)`` of the non-null values (±inf
-    included), frozen once with a reliable checkpoint: every later step
-    (quantiles, bins, counts) reads this table instead of rescanning the
-    sides. A hot value is combined map-side before the shuffle. Returns
-    (all non-null, finite only)."""
-    nonnull = long_values(ref, feats, "ref", finite=False).unionByName(long_values(cur, feats, "cur", finite=False))
-    weighted_all = cut_lineage(nonnull.groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("w")))
-    return weighted_all, weighted_all.filter(N.is_finite(F.col("value")))
-
-
 def _lerp(a: Column, b: Column, t: Column) -> Column:
     """numpy's linear interpolation (two formulas around t = 0.5)."""
     d = b - a
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def quantile_values(weighted: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
-    """Exact quantiles at k/bins (k = 0..bins) per feature of ``(feature,
-    value, w)`` rows with distinct values, interpolated like numpy's
-    ``linear`` method: ``(feature, k, q)``."""
+#: Relative rank error of the sketch is 1 / SKETCH; brackets are MARGIN errors wide on each side.
+SKETCH = 10_000
+MARGIN = 3
+
+
+def _bracketed(values: DataFrame, bins: int) -> DataFrame:
+    """``(feature, value, top, w)``: the distinct values near each quantile
+    with their counts, and one row (smallest and largest value, count) for
+    each gap between the brackets."""
+    at = [k / bins for k in range(bins + 1)]
+    slack = MARGIN / SKETCH
+    ends = [max(p - slack, 0.0) for p in at] + [min(p + slack, 1.0) for p in at]
+    sketch = values.groupBy("feature").agg(F.percentile_approx("value", ends, SKETCH).alias("near"),
+                                           F.min("value").alias("mn"), F.max("value").alias("mx"))
+    # one row per feature: bounded by the feature count
+    j = values.join(F.broadcast(sketch), "feature")
+    v = F.col("value")
+    inside, gap = F.lit(False), F.lit(0)
+    for k, p in enumerate(at):  # unrolled comparisons, so that the scan stays compiled
+        lo = F.col("mn") if p <= slack else F.get("near", F.lit(k))
+        hi = F.col("mx") if p >= 1 - slack else F.get("near", F.lit(bins + 1 + k))
+        inside = inside | ((v >= lo) & (v <= hi))
+        gap = gap + (v > hi).cast("int")
+    j = j.select("feature", "value", inside.alias("inside"), gap.alias("gap"))
+    return (j.groupBy("feature", F.when(F.col("inside"), v).alias("at"), F.when(~F.col("inside"), F.col("gap")).alias("gap"))
+            .agg(F.min("value").alias("value"), F.max("value").alias("top"), F.count(F.lit(1)).alias("w"))
+            .select("feature", "value", "top", "w"))
+
+
+def _order_statistics(weighted: DataFrame, bins: int) -> DataFrame:
+    """The rows of ``weighted`` (feature, value, top, w) that hold the two
+    order statistics around each quantile k/bins: (feature, k, t, which, value, top)."""
     cum = running_totals(weighted, ["feature"], "value", ["w"])
-    n = weighted.groupBy("feature").agg(F.sum("w").alias("n"))
+    n = cum.groupBy("feature").agg(F.max(F.col("cum_w_before") + F.col("w")).alias("n"))  # cum is written already
     k = F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("k")
-    targets = n.select("feature", "n", k).select(
-        "feature", "k",
-        ((F.col("n") - 1).cast("double") * (F.col("k").cast("double") * F.lit(1.0 / bins))).alias("h"),
-        "n",
-    ).select("feature", "k", "n", "h", F.floor("h").cast("bigint").alias("lo"))
-    targets = targets.select("feature", "k", (F.col("h") - F.col("lo")).alias("t"), "lo",
-                             F.least(F.col("lo") + 1, F.col("n") - 1).alias("hi"))
-    ranks = targets.select("feature", "k", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("lo").alias("r")),
-        F.struct(F.lit(1).alias("which"), F.col("hi").alias("r")))).alias("x")).select(
-        "feature", "k", "x.which", "x.r")
-    # targets: features x (bins + 1) x 2 rows -> broadcast is bounded
-    rk = ranks.select(F.col("feature").alias("t_feature"), "k", "which", "r")
-    hit = cum.join(
-        F.broadcast(rk),
-        (F.col("feature") == F.col("t_feature")) & (F.col("r") >= F.col("cum_w_before"))
-        & (F.col("r") < F.col("cum_w_before") + F.col("w")),
-    ).select("feature", "k", "which", "value")
-    pair = hit.groupBy("feature", "k").agg(
+    h = (F.col("n") - 1).cast("double") * (F.col("k").cast("double") * F.lit(1.0 / bins))
+    targets = n.select("feature", "n", k).select("feature", "k", "n", h.alias("h"), F.floor(h).cast("bigint").alias("lo"))
+    both = F.array(F.struct(F.lit(0).alias("which"), F.col("lo").alias("r")),
+                   F.struct(F.lit(1).alias("which"), F.least(F.col("lo") + 1, F.col("n") - 1).alias("r")))
+    ranks = targets.select(F.col("feature").alias("t_feature"), "k", (F.col("h") - F.col("lo")).alias("t"), F.explode(both).alias("x"))
+    # features x (bins + 1) x 2 rows -> broadcast is bounded
+    rk = F.broadcast(ranks.select("t_feature", "k", "t", "x.which", "x.r"))
+    return cum.join(rk, (F.col("feature") == F.col("t_feature")) & (F.col("r") >= F.col("cum_w_before"))
+                    & (F.col("r") < F.col("cum_w_before") + F.col("w"))).select("feature", "k", "t", "which", "value", "top")
+
+
+def quantile_values(values: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
+    """Exact quantiles at k/bins (k = 0..bins) per feature of finite
+    ``(feature, value)`` rows, interpolated like numpy's ``linear`` method:
+    ``(feature, k, q)``."""
+    values = values.select("feature", "value")
+    hit = cut_lineage(_order_statistics(_bracketed(values, bins), bins))
+    if not hit.where("value < top").isEmpty():  # a rank fell between the brackets
+        every = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
+        hit = _order_statistics(every.select("feature", "value", F.col("value").alias("top"), "w"), bins)
+    pair = hit.groupBy("feature", "k", "t").agg(
         F.max(F.when(F.col("which") == 0, F.col("value"))).alias("a"),
-        F.max(F.when(F.col("which") == 1, F.col("value"))).alias("b"),
-    )
-    q = pair.join(targets.select("feature", "k", "t"), ["feature", "k"])
-    return q.select("feature", "k", _lerp(F.col("a"), F.col("b"), F.col("t")).alias("q"))
+        F.max(F.when(F.col("which") == 1, F.col("value"))).alias("b"))
+    return pair.select("feature", "k", _lerp(F.col("a"), F.col("b"), F.col("t")).alias("q"))
+
+
+def quantile_edges(values: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
+    """Exact quantile edges per feature: ``(feature, edges array<double>, m)``,
+    sorted and unique; m: their number (at most ``bins + 1``)."""
+    q = quantile_values(values, bins)
+    edges = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
+    return edges.select("feature", "edges", F.size("edges").alias("m"))
 
 
-def quantile_edges(weighted_ref: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
-    """Exact quantile edges per feature: ``(feature, edges array<double>)``,
-    sorted and unique (at most ``bins + 1`` values)."""
-    q = quantile_values(weighted_ref, bins)
-    return q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
+def bin_of(bins: int = P.PSI_BINS) -> Column:
+    """Bin (from 1) of ``value`` between the ``m`` ``edges`` of its row, the
+    last one closed; 0 outside of them or without edges."""
+    v = F.col("value")
+    b = F.lit(0)  # unrolled comparisons, so that the scan stays compiled
+    for k in range(bins + 1):
+        b = b + F.coalesce((v >= F.get("edges", F.lit(k))).cast("int"), F.lit(0))
+    b = F.when(v == F.get("edges", F.col("m") - 1), F.col("m") - 1).otherwise(b)
+    return F.when((b >= 1) & (b < F.col("m")), b).otherwise(0)
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median (mean of the two middle values) of the finite values of
     each column, all columns in one job: ``(feature, median)``; a column
     without finite values has no row."""
-    vals = long_values(df, columns, "x")
-    weighted = vals.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
-    return quantile_values(weighted, 2).filter(F.col("k") == 1).select("feature", F.col("q").alias("median"))
-
-
-def approx_quantile_edges(values: DataFrame, bins: int = P.PSI_BINS, accuracy: int = 10000) -> DataFrame:
-    """Approximate edges: ``percentile_approx`` per feature (a mergeable
-    sketch, combined map-side; rank error about 1/accuracy). Edges are data
-    values, not interpolated."""
-    probs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    q = values.groupBy("feature").agg(F.percentile_approx("value", probs, accuracy).alias("q"))
-    return q.select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
+    q = quantile_values(long_values(df, columns, "x"), 2)
+    return q.filter(F.col("k") == 1).select("feature", F.col("q").alias("median"))
 
 
 def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P.PSI_BINS,
-              eps: float = P.PSI_EPS, approx_accuracy: int | None = None) -> DataFrame:
+              eps: float = P.PSI_EPS) -> DataFrame:
     """A11 + A12: one row per feature present on both sides:
     ``feature, psi, status, ref_count, cur_count`` (PSI null when a side has
-    no finite value, 0.0 with fewer than three distinct edges).
-
-    Edges are exact by default; ``approx_accuracy`` switches to sketch-based
-    edges for features where exact edges are not required."""
+    no finite value, 0.0 with fewer than three distinct edges). The counts
+    are of the non-null values, ±inf included; the PSI is of the finite ones."""
     feats = [f for f in features if f in ref.columns and f in cur.columns]
-    weighted_all, weighted = weighted_values(ref, cur, feats)
-    ref_w = weighted.filter(F.col("side") == "ref").select("feature", "value", "w")
-    if approx_accuracy:
-        # the sketch reads the reference values themselves (partial sketches
-        # per task, merged per feature)
-        edges = approx_quantile_edges(long_values(ref, feats, "ref"), bins, approx_accuracy)
-    else:
-        edges = quantile_edges(ref_w, bins)
+    edges = quantile_edges(long_values(ref, feats, "ref"), bins)
+    values = long_values(ref, feats, "ref", finite=False).unionByName(long_values(cur, feats, "cur", finite=False))
     # one row per feature, at most bins + 1 doubles each
-    e = F.broadcast(edges.select("feature", "edges", F.size("edges").alias("m")))
-    binned = weighted.join(e, "feature").select(
-        "side", "feature", "w", "m",
-        F.when(F.col("value") == F.element_at("edges", -1), F.col("m") - 1)
-        .otherwise(F.size(F.filter("edges", lambda x: x <= F.col("value")))).alias("bin"),
-    ).filter((F.col("bin") >= 1) & (F.col("bin") <= F.col("m") - 1))
-    counts = binned.groupBy("side", "feature", "bin").agg(F.sum("w").alias("c"))
-    grid = edges.select("feature", F.size("edges").alias("m"),
-                        F.explode(F.sequence(F.lit(1), F.greatest(F.size("edges") - 1, F.lit(1)))).alias("bin"))
-    grid = grid.select("*", F.explode(F.array(F.lit("ref"), F.lit("cur"))).alias("side"))
-    full = grid.join(counts, ["side", "feature", "bin"], "left").fillna({"c": 0})
-    tot = full.groupBy("side", "feature").agg(F.sum("c").alias("tot"))
-    shares = full.join(tot, ["side", "feature"]).select(
-        "feature", "bin", "side", "m",
-        F.greatest(F.col("c").cast("double") / F.greatest(F.col("tot"), F.lit(1)).cast("double"),
-                   F.lit(eps)).alias("s"))
-    wide = shares.groupBy("feature", "bin", "m").agg(
-        F.max(F.when(F.col("side") == "ref", F.col("s"))).alias("r"),
-        F.max(F.when(F.col("side") == "cur", F.col("s"))).alias("cc"))
-    psi = wide.groupBy("feature", "m").agg(
-        F.sum((F.col("cc") - F.col("r")) * F.log(F.col("cc") / F.col("r"))).alias("psi_sum"))
-    # non-null counts per side (inf counted here, not in the PSI) and finite counts
-    fin_flag = N.is_finite(F.col("value"))
-    cnt = weighted_all.groupBy("feature").agg(
-        F.sum(F.when(F.col("side") == "ref", F.col("w")).otherwise(0)).alias("ref_count"),
-        F.sum(F.when(F.col("side") == "cur", F.col("w")).otherwise(0)).alias("cur_count"),
-        F.sum(F.when((F.col("side") == "ref") & fin_flag, F.col("w")).otherwise(0)).alias("ref_finite"),
-        F.sum(F.when((F.col("side") == "cur") & fin_flag, F.col("w")).otherwise(0)).alias("cur_finite"))
-    allf = cnt.join(psi, "feature", "left")
-    value = (F.when(F.coalesce(F.col("ref_finite"), F.lit(0)) == 0, F.lit(None).cast("double"))
-             .when(F.coalesce(F.col("cur_finite"), F.lit(0)) == 0, F.lit(None).cast("double"))
+    j = values.join(F.broadcast(edges), "feature", "left")
+    place = F.when(N.is_finite(F.col("value")), bin_of(bins)).otherwise(-1)
+    counts = j.groupBy("feature", "m", place.alias("bin")).agg(F.count_if(F.col("side") == "ref").alias("r"),
+                                                               F.count_if(F.col("side") == "cur").alias("c"))
+    # at most bins + 2 entries per feature; a bin empty on both sides adds nothing
+    per = counts.groupBy("feature", "m").agg(
+        F.array_sort(F.collect_list(F.struct("bin", "r", "c"))).alias("all"), F.sum("r").alias("ref_count"), F.sum("c").alias("cur_count"),
+        *[F.sum(F.when(F.col("bin") >= least, F.col(s))).alias(f"{s}_{name}") for s in ("r", "c") for name, least in (("finite", 0), ("inside", 1))])
+
+    def share(x: Column, side: str) -> Column:
+        total = F.greatest(F.coalesce(F.col(f"{side}_inside"), F.lit(0)), F.lit(1))
+        return F.greatest(x[side].cast("double") / total.cast("double"), F.lit(eps))
+
+    total = F.aggregate(F.filter("all", lambda x: x["bin"] >= 1), F.lit(0.0),
+                        lambda acc, x: acc + (share(x, "c") - share(x, "r")) * F.log(share(x, "c") / share(x, "r")))
+    value = (F.when(F.coalesce("r_finite", F.lit(0)) == 0, F.lit(None).cast("double"))
+             .when(F.coalesce("c_finite", F.lit(0)) == 0, F.lit(None).cast("double"))
              .when(F.col("m") < 3, F.lit(0.0))
-             .otherwise(F.bround(F.col("psi_sum"), 9)))
-    out = allf.select("feature", value.alias("psi"),
-                      F.coalesce("ref_count", F.lit(0)).alias("ref_count"),
-                      F.coalesce("cur_count", F.lit(0)).alias("cur_count"))
+             .otherwise(F.bround(total, 9)))
+    out = per.select("feature", value.alias("psi"), "ref_count", "cur_count")
     return out.select("feature", "psi", R.psi_status(F.col("psi")).alias("status"), "ref_count", "cur_count")
 
 

@@ -40,7 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         # local session (tests, bench): one machine, a local folder is shared
         path = tempfile.mkdtemp(prefix="cohort-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

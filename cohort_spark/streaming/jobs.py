@@ -44,10 +44,8 @@ def run_scoring(spark: SparkSession, request_dir: str, schema: T.StructType, bas
 def reference_shares(ref: DataFrame, features: list[str], bins: int = P.PSI_BINS) -> tuple[DataFrame, DataFrame]:
     """Fixed reference side: (edges per feature, share per feature and bin)."""
     vals = D.long_values(ref, features, "ref")
-    weighted = vals.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
-    edges = D.quantile_edges(weighted, bins).select("feature", "edges", F.size("edges").alias("m"))
-    binned = _bin(weighted, edges)
-    counts = binned.groupBy("feature", "bin").agg(F.sum("w").alias("c"))
+    edges = D.quantile_edges(vals, bins)
+    counts = _bin(vals, edges, bins).filter("bin > 0").groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("c"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(1), F.greatest(F.col("m") - 1, F.lit(1)))).alias("bin"))
     full = grid.join(counts, ["feature", "bin"], "left").fillna({"c": 0})
     tot = full.groupBy("feature").agg(F.sum("c").alias("tot"))
@@ -56,20 +54,14 @@ def reference_shares(ref: DataFrame, features: list[str], bins: int = P.PSI_BINS
     return edges, shares
 
 
-def _bin(weighted: DataFrame, edges: DataFrame, outside: bool = False) -> DataFrame:
-    """Bin index against fixed edges (last edge closed). Values outside the
-    edges are dropped, or kept as bin 0 with ``outside``."""
+def _bin(values: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
+    """Bin index against fixed edges (last edge closed); 0 outside of them."""
     # edges: one row per feature, at most bins + 1 values -> bounded broadcast
-    j = weighted.join(F.broadcast(edges), "feature")
-    b = (F.when(F.col("value") == F.element_at("edges", -1), F.col("m") - 1)
-         .otherwise(F.size(F.filter("edges", lambda x: x <= F.col("value")))))
-    j = j.withColumn("bin", b)
-    inside = (F.col("bin") >= 1) & (F.col("bin") <= F.col("m") - 1)
-    return j.withColumn("bin", F.when(inside, F.col("bin")).otherwise(0)) if outside else j.filter(inside)
+    return values.join(F.broadcast(edges), "feature").withColumn("bin", D.bin_of(bins))
 
 
 def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str], time_col: str,
-                        window: str, watermark: str) -> DataFrame:
+                        window: str, watermark: str, bins: int = P.PSI_BINS) -> DataFrame:
     """T2 stateful part: counts per (event-time window, feature, bin); bin 0
     counts the values outside the reference edges, so that a window whose
     values are all outside is counted too."""
@@ -80,8 +72,8 @@ def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str]
     vals = stream.select(F.col(time_col).cast("timestamp").alias("ts"),
                          *[to_double(R.c(f), types[f]).alias(f"_v{i}") for i, f in enumerate(feats)])
     long = vals.select("ts", F.expr(f"stack({len(feats)}, {args}) as (feature, value)")).filter(
-        is_finite(F.col("value"))).withColumn("w", F.lit(1))
-    binned = _bin(long, edges, outside=True)
+        is_finite(F.col("value")))
+    binned = _bin(long, edges, bins)
     return (binned.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("win"), "feature", "bin").agg(F.count(F.lit(1)).alias("c")))
 

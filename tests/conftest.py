@@ -23,6 +23,5 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # tests run on one machine: set a checkpoint folder only where none is set
     if not s.conf.get("spark.checkpoint.dir", None) and s.sparkContext.getCheckpointDir() is None:
-        d = tempfile.mkdtemp(prefix="cohort-tests-")
-        s.conf.set("spark.checkpoint.dir", d)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohort-tests-"))
     yield s

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -81,12 +82,34 @@ def test_psi_on_lineitem_matches_numpy(spark):
         assert abs(got[f] - numpy_psi(rp[f].tolist(), cp[f].tolist())) < 1e-9
 
 
-def test_approx_edges_close_to_exact(spark):
-    rng = np.random.default_rng(3)
-    ref, cur = rng.normal(0, 1, 4000), rng.normal(0.3, 1, 3000)
-    rdf = spark.createDataFrame(pd.DataFrame({"f": ref}))
-    cdf = spark.createDataFrame(pd.DataFrame({"f": cur}))
-    exact = D.psi_table(rdf, cdf, ["f"]).first().psi
-    approx = D.psi_table(rdf, cdf, ["f"], approx_accuracy=100000).first().psi
-    assert abs(exact - numpy_psi(ref, cur)) < 1e-9
-    assert abs(approx - exact) < 0.01
+def _quantiles(spark, columns, bins=10):
+    rows = [(name, float(v)) for name, vs in columns.items() for v in vs]
+    got = D.quantile_values(spark.createDataFrame(rows, "feature string, value double"), bins).collect()
+    return {(r.feature, r.k): r.q for r in got}
+
+
+COLUMNS = {"one": [4.0], "two": [1.0, 2.0], "ties": [0.0] * 700 + [1.0] * 300, "normal": np.random.default_rng(3).normal(0, 1, 30000),
+           "sorted": np.arange(25000.0), "hot": [5.0] * 9000 + list(np.random.default_rng(4).random(11000) * 10)}
+
+
+def test_quantiles_match_numpy(spark):
+    got = _quantiles(spark, COLUMNS)
+    for name, vs in COLUMNS.items():
+        for k, want in enumerate(np.quantile(np.array(vs, dtype=float), [i * (1.0 / 10) for i in range(11)])):
+            assert abs(got[name, k] - want) < 1e-9, (name, k)
+
+
+def test_quantiles_read_only_the_brackets(spark):
+    rows = spark.range(200000).select(F.lit("f").alias("feature"), F.col("id").cast("double").alias("value"))
+    near = D._bracketed(rows, 10)
+    assert near.count() < 200000 * 11 * 2 * (D.MARGIN + 1) / D.SKETCH + 20
+    assert near.agg(F.sum("w")).first()[0] == 200000
+
+
+def test_quantiles_without_good_brackets_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(D, "_bracketed", lambda values, bins: values.groupBy("feature").agg(
+        F.min("value").alias("value"), F.max("value").alias("top"), F.count(F.lit(1)).alias("w")))
+    got = _quantiles(spark, COLUMNS)
+    for name, vs in COLUMNS.items():
+        for k, want in enumerate(np.quantile(np.array(vs, dtype=float), [i * (1.0 / 10) for i in range(11)])):
+            assert abs(got[name, k] - want) < 1e-9, (name, k)

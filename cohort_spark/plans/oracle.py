@@ -644,3 +644,24 @@ SQL["c8_next_year_target"] = views() + f"""
 SELECT a."RA", a.ano, b.target_next FROM py a
 LEFT JOIN (SELECT trim("RA") AS k, ano - 1 AS y, {_Y} AS target_next FROM py) b
   ON trim(a."RA") = b.k AND a.ano = b.y"""
+
+# ---- streams: the windows of the whole table, counted at once
+SQL["t2_stream_drift"] = "WITH " + LINE_PSI.strip() + f""",
+wl AS ({" UNION ALL ".join(f"SELECT l_shipdate, {q(f)} AS feature, CAST({f} AS DOUBLE) AS value FROM lineitem" for f in LINE_FEATURES)}),
+wb AS (SELECT time_bucket(INTERVAL 90 DAYS, wl.l_shipdate, TIMESTAMP '1970-01-01') AS ws, wl.feature, len(ed.edges) AS m,
+         CASE WHEN wl.value = ed.edges[len(ed.edges)] THEN len(ed.edges) - 1
+              ELSE len(list_filter(ed.edges, lambda e: e <= wl.value)) END AS bin
+       FROM wl JOIN ed ON wl.feature = ed.feature
+       WHERE l_shipdate IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'{D}),
+wc AS (SELECT ws, feature, m, count(*) AS cur_count, count(*) FILTER (WHERE bin BETWEEN 1 AND m - 1) AS tot FROM wb GROUP BY 1, 2, 3),
+wn AS (SELECT ws, feature, bin, count(*) AS c FROM wb GROUP BY 1, 2, 3),
+wx AS (SELECT wc.ws, wc.feature, wc.m, wc.cur_count, sh.s AS r,
+         greatest(CAST(coalesce(wn.c, 0) AS DOUBLE) / CAST(greatest(wc.tot, 1) AS DOUBLE), 1e-6{D}) AS x
+       FROM wc JOIN sh ON sh.feature = wc.feature AND sh.side = 'ref'
+       LEFT JOIN wn ON wn.ws = wc.ws AND wn.feature = wc.feature AND wn.bin = sh.bin),
+wp AS (SELECT ws, feature, cur_count, CASE WHEN m < 3 THEN 0.0{D} ELSE round_even(sum((x - r) * ln(x / r)), 9) END AS psi
+       FROM wx GROUP BY ws, feature, cur_count, m)
+SELECT ws AS window_start, ws + INTERVAL 90 DAYS AS window_end, feature, psi,
+  CASE WHEN psi < 0.10{D} THEN 'OK' WHEN psi < 0.25{D} THEN 'ATENCAO' ELSE 'DRIFT' END AS status, cur_count,
+  ws + INTERVAL 90 DAYS <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAYS AS closed
+FROM wp"""

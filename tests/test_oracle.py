@@ -17,7 +17,7 @@ def test_matches_duckdb(spark, name):
 
 
 ROWS_ONLY = {"m3_feature_matrix", "m4_train_evaluate", "m6_model_scores", "m8_train_job", "m9_model_info",
-             "s6_metadata", "s7_model_roundtrip", "t2_stream_drift"}
+             "s6_metadata", "s7_model_roundtrip"}
 
 
 def test_every_query_has_sql_or_is_rows_only():

@@ -26,7 +26,7 @@ from ..operators import metrics as M
 from ..operators import normalize as NM
 from ..operators import reports as RP
 from ..operators.ranks import global_row_number
-from ..operators.scoring import score_rule
+from ..operators.scoring import score_raw_prediction, score_rule
 from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import tables as T_
@@ -697,6 +697,16 @@ def m7_scorer_choice(spark, sf_dir):
     return RP.prediction_rows(sc, model_version=meta.get("model_version"), used_model=used)
 
 
+@register("m7_raw_predictions")
+def m7_raw_predictions(spark, sf_dir):
+    """M7 with a scorer that gives no probability (C7, then C5, C6, C1): the
+    falling mark stands for its raw predictions."""
+    py = T_.pupil_year(spark, sf_dir)
+    sc = score_raw_prediction(py.withColumn("_raw", -R.c("INDE 22")), "_raw")
+    return sc.select("RA", "ano", F.bround("_risk_score", 9).alias("risk_score"), F.col("_risk_label").alias("risk_label"),
+                     F.col("_future_label").alias("future_label"), F.bround("_media", 9).alias("media"))
+
+
 @register("m8_train_job")
 def m8_train_job(spark, sf_dir):
     """M8: the whole job (temporal split, fit, evaluate, save) — run once per

@@ -624,6 +624,13 @@ SQL["m7_scorer_choice"] = views() + f"""
 SELECT trim("RA") AS ra, _risk_label AS risk_label, round_even(_risk_score, 9) AS risk_score,
   'risco_futuro' AS risk_type, CAST(NULL AS VARCHAR) AS model_version, false AS used_model
 FROM sc WHERE ano = 1996"""
+SQL["m7_raw_predictions"] = views() + f"""
+SELECT "RA", ano, round_even(s, 9) AS risk_score, CASE WHEN s >= 0.85{D} THEN 'Muito Alto' WHEN s >= 0.70{D} THEN 'Alto'
+  WHEN s >= 0.50{D} THEN 'Médio' ELSE 'Regular' END AS risk_label,
+  CASE WHEN s >= 0.70{D} THEN 'Alta Defasagem' WHEN s >= 0.40{D} THEN 'Risco Moderado' ELSE 'Baixo Risco' END AS future_label,
+  round_even(_media, 9) AS media
+FROM (SELECT "RA", ano, _media, CASE WHEN mx > mn THEN (-"INDE 22" - mn) / (mx - mn) ELSE 0.0{D} END AS s
+      FROM sc, (SELECT min(-"INDE 22") AS mn, max(-"INDE 22") AS mx FROM py) mm) x"""
 
 _BLANK_CAT = "CASE WHEN {x} IS NULL OR CAST({x} AS VARCHAR) IN ('nan', '') THEN '<blank>' ELSE CAST({x} AS VARCHAR) END"
 SQL["m1_category_modes"] = views() + "SELECT feature, mode, n_categories FROM (SELECT feature, value AS mode, " + \

@@ -137,8 +137,8 @@ def _matching(pairs: DataFrame, texts: DataFrame, classes: bytes, k: int, thresh
 def kept_lines(texts: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """Lines that no earlier line matches: (doc_id, tie, line_no)."""
     firsts, classes = _first_lines(texts, k, threshold)
-    # lines of fewer than 5 tokens match equal sets only
-    entries = firsts.where("size > 4").select(
+    # a set that is too small to match one with a token more matches equal sets only
+    entries = firsts.where(f"100 * size >= {threshold} * (size + 1)").select(
         "doc_id", "tie", "line_no", "size", F.element_at("prefix", -1).alias("top"), F.posexplode("prefix").alias("pos", "token"))
     shared = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "shared")
     mine = written(entries.join(shared, "token").select("token", F.struct("doc_id", "tie", "line_no").alias("key"), "size", "pos", "top"), "entries")

@@ -160,6 +160,20 @@ def test_line_dedup_equals_brute_force(spark, docs_of, k):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_dedup_of_lines_one_word_longer(spark, docs_of):
+    """Lines of 8 and of 9 words (4 and 5 tokens), the longer one later and earlier, the word before and after."""
+    def line(c, n):
+        return " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, line("a", 8)), (2, line("a", 9)), (3, line("b", 9)), (4, line("b", 8)), (5, line("c", 8)), (6, "new " + line("c", 8)),
+            (7, "new " + line("d", 8)), (8, line("d", 8)), (9, line("e", 7)), (10, line("e", 8))]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 1, 9: 0, 10: 0}
+    assert sorted((d, n) for d, _, _, n in brute_lines(rows, 5)) == sorted(got.items())
+    # at 60 per cent 2 tokens match 3, and 1 does not match 2
+    rows = [(1, line("a", 7)), (2, line("a", 6)), (3, line("b", 6)), (4, line("b", 7)), (5, line("c", 5)), (6, line("c", 6))]
+    assert {r.doc_id: r.n_removed for r in dedup_lines(docs_of(rows), threshold=60).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
+
+
 def brute_tiles(item, doc, m):
     """Greedy string tiling by definition."""
     fi, fd, tiles = [True] * len(item), [True] * len(doc), []

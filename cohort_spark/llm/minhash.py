@@ -23,7 +23,9 @@ Defined cases: a null or wordless text has the empty set, is linked with
 nothing and is its own component; a text with fewer words than a shingle has
 its whole sequence as one shingle; repeated rows and repeated ids are one
 class and get the same component; a null id never names a component unless
-all its members have none (then the component is null and the row is kept).
+all its members have none (then the component is null). Of each component one
+(doc_id, text) is kept: the least id that is not null and, of several texts under
+it, the one with the least hash. Rows that repeat both are kept alike.
 Extra columns of the input are ignored. An empty table gives an empty result."""
 
 from __future__ import annotations
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, band
     signed = written(sign(docs, shingle, bands, rows), "minhash")
     # classes of equal sets, named by the hash of the set
     classes = written(signed.where("n_shingles > 0").groupBy("node")
-                      .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "classes")
+                      .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "classes")
     slots = classes.select("node", "size", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slots = written(slots.join(shared, "band").select("band", "n", "node", "size"), "slots")
@@ -219,18 +221,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, band
             .select("node", "x_size", "l.o", "l.y_size").where(F.col("node") != F.col("o")).where(near)
             .select(*pair("node", "o")).distinct())
     star = written(star, "star")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def ends(pairs):
         return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
 
     def sets_of(wanted):
         """Full sets of the classes ``wanted``, from one document of each."""
-        ids = wanted.join(classes.select("node", "first_id"), "node")
-        rows_ = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"])).select("node", "text")
-        # repeated rows of one id: keep the row whose set is the class's own
-        own = _full_sets(rows_, shingle)
-        return own.groupBy("node").agg(F.max(F.struct(F.length("members").alias("l"), "members")).alias("m")).select("node", "m.members")
+        ids = wanted.join(classes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "node")
+        # other texts under the same id, or without one, are not the class's
+        rows_ = texts.join(ids, texts["doc_id"].eqNullSafe(ids["first_id"]) & (texts["text_hash"] == ids["first_hash"])).select("node", "text")
+        # rows that repeat id and text have the same set
+        return _full_sets(rows_, shingle).groupBy("node").agg(F.first("members").alias("members"))
 
     links = written(_confirm(star, sets_of(ends(star)), threshold), "links")
     label = written(components(links), "labels")
@@ -254,10 +256,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, band
         more = _confirm(rest, open_sets.select("node", "members"), threshold)
         links = written(links.unionAll(more), "links")
         label = written(components(links), "labels")
-    named = classes.join(label, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("c"))
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    of = named.join(least, "c").select("node", "component_id")
+    named = classes.join(label, "node", "left").select("node", "first", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("first").alias("least"))
+    of = named.join(least, "c").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("kept_hash"))
     s = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     out = s.join(of, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"), "text_hash")
+    kept = F.col("doc_id").eqNullSafe(cid) & (F.col("node").isNull() | (F.col("text_hash") == F.col("kept_hash")))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), kept.alias("kept"), "text_hash")

@@ -84,6 +84,22 @@ def test_near_duplicates_of_one_large_family(spark, docs_of):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == brute_components(rows, 2)
 
 
+def test_near_duplicates_under_shared_and_null_ids(spark, docs_of):
+    """Several texts under one id or without one: each text is compared by its own set, and one of each family is kept."""
+    import corpus_pipeline
+
+    def family(c, n):
+        w = [f"{c}{i}" for i in range(n)]
+        return " ".join(w), " ".join([*w[:-1], "other"])
+    (a, a2), (b, b2), (c, c2), (d, d2), (e, e2) = (family(x, n) for x, n in (("a", 40), ("b", 80), ("c", 40), ("d", 90), ("e", 50)))
+    rows = [(1, a), (1, b), (2, a2), (3, b2), (None, c), (None, d), (None, c2), (None, d2), (5, e), (5, e2)]
+    got = M.near_duplicates(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows, 2)
+    assert sorted((r.doc_id for r in got if r.kept), key=repr) == sorted([1, 1, None, None, 5], key=repr)
+    left = sorted(r.text[0] for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect())
+    assert left == ["a", "b", "c", "d", "e"]
+
+
 def test_circulant_signatures_estimate_similarity():
     import numpy as np
 

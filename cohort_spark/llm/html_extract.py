@@ -61,6 +61,10 @@ GOOD_ELEMENTS = frozenset("article main".split())
 
 #: Log-odds for ancestors' marks.
 BAD_MARK, GOOD_MARK = -9.0, 3.0
+#: Shares of the page's text under an element: up to the first a mark of boilerplate counts in full, from the second on not at all.
+FULL_SHARE, NO_SHARE = 0.3, 0.6
+#: What each level between a block and the mark takes from it.
+FADE = 0.1
 #: Smoothness: between neighbours on the page, and in the same parent.
 NEIGHBOUR, PARENT = 1.2, 0.6
 
@@ -209,8 +213,10 @@ def parse(html: str) -> list[Block]:
     return out
 
 
-def _marked(blocks: list[Block]) -> list[int]:
-    """-1 for blocks under a mark of boilerplate, 1 under one of content, else 0."""
+def _marked(blocks: list[Block]) -> list[tuple[float, bool]]:
+    """For each block the weight of the marks of boilerplate above it (0 to 1), and
+    whether it is under one of content. A mark is the weaker the farther up it is
+    and the more of the page's text it holds: a wrapper of most of it says nothing."""
     # a name does not count on the page itself, nor where a whole article is inside
     holds = set()
     for b in blocks:
@@ -220,9 +226,16 @@ def _marked(blocks: list[Block]) -> list[int]:
                 holds.add(id(x))
             seen |= x.name in GOOD_ELEMENTS and not x.weak
             x = x.parent
+    under: dict[int, int] = {}
+    for b in blocks:
+        x = b.node
+        while x is not None:
+            under[id(x)] = under.get(id(x), 0) + len(b.text)
+            x = x.parent
+    total = sum(len(b.text) for b in blocks)
     out = []
     for b in blocks:
-        x, mark, inside = b.node, 0, False
+        x, weight, inside = b.node, 0.0, False
         while x is not None:
             header = x.name == "header"
             if header:  # a header is a page's unless it is an article's
@@ -231,14 +244,20 @@ def _marked(blocks: list[Block]) -> list[int]:
                     up = up.parent
                 header = up is None
             if x.bad or header or (x.weak and x.name not in ("html", "body", "main") and id(x) not in holds):
-                mark = -1
-                break
-            inside |= x.good
+                share = min(1.0, max(0.0, (NO_SHARE - under[id(x)] / total) / (NO_SHARE - FULL_SHARE)))
+                weight = max(weight, share / (1 + FADE * (b.node.depth - x.depth)))
+            elif weight < 0.5:  # what is above a clear mark is not about the block
+                inside |= x.good
             x = x.parent
-        out.append(mark or int(inside))
+        out.append((weight, inside))
     return out
 
 
+def _labels(marks: list[tuple[float, bool]]) -> list[int]:
+    """-1 for blocks under a clear mark of boilerplate, 1 under one of content only, else 0."""
+    return [-1 if w >= 0.5 else int(inside and w == 0) for w, inside in marks]
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     out = np.zeros((n, len(FEATURES)))
@@ -327,7 +346,7 @@ def content(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     if not blocks:
         return []
     marks = _marked(blocks)
-    odds = np.clip(features(blocks) @ weights, -4, 4) + np.array([BAD_MARK if m < 0 else GOOD_MARK * m for m in marks])
+    odds = np.clip(features(blocks) @ weights, -4, 4) + np.array([BAD_MARK * w + GOOD_MARK * inside * (1 - w) for w, inside in marks])
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
@@ -358,7 +377,7 @@ def fit(pages: DataFrame, sample_pages: int = 2000) -> np.ndarray:
             blocks = parse(h.as_py() or "")
             if blocks:
                 rows.append(features(blocks))
-                marks += _marked(blocks)
+                marks += _labels(_marked(blocks))
         if rows:
             x, y = np.concatenate(rows), np.array(marks)
             keep = y != 0

@@ -226,6 +226,17 @@ def test_main_text():
     assert H.main_text("<div>" * 3000 + "<p>deep words, many of them, in a paragraph here.", H.DEFAULT)
 
 
+def test_wrappers_of_most_of_a_page_are_no_marks():
+    text = ["The river rose again in the night, and the lower town, as so often, was under water.", "Nobody had counted the boats, but there were enough, said the keeper of the bridge.",
+            "In the morning the water fell, the streets were swept, and the market opened at noon."]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul>'
+    for page in (f'<body><form action="/">{menu}<div>{body}</div></form></body>', f"<body><form><nav>{menu}</nav><article>{body}</article></form></body>",
+                 f'<body><div class="layout with-sidebar"><div>{body}</div><div class="sidebar">{menu}</div></div></body>',
+                 f"<body><div>{body}</div><form><p>Send us a word, please.</p></form></body>"):
+        assert H.main_text(page, H.DEFAULT) == "\n".join(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.floats(-3, 3), min_size=1, max_size=7), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.floats(0, 2)), max_size=10))
 def test_cut_is_minimal(odds, edges):

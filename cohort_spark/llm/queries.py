@@ -185,3 +185,11 @@ def op1(spark, sf_dir):
     from .lm_score import score
     out = score(table(spark, sf_dir, "documents"), F.coalesce(remainder(5) != 1, F.lit(True)))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- op11: document fingerprints ------------------------------------------------------
+
+@query("op11_order_minhash")
+def op11(spark, sf_dir):
+    from .order_minhash import compare_next
+    return compare_next(table(spark, sf_dir, "documents"))

@@ -146,6 +146,7 @@ def compare_next(docs: DataFrame, k: int = KMER, picks: int = PICKS, coordinates
     # keys without nulls, so that all joins are on the same partitioning
     base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("key"), F.xxhash64("text", F.col("doc_id").isNull()).alias("hash"))
     whole = base.groupBy("key", "hash").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    whole = whole.where("copies > 0")  # both uses need all its columns, so that its texts are shuffled once
     keys = base.groupBy("key", "hash").agg(F.first("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"))
     placed = global_row_number(keys, [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()], "at")
     total = max(1, placed.count())

@@ -193,3 +193,55 @@ def op1(spark, sf_dir):
 def op11(spark, sf_dir):
     from .order_minhash import compare_next
     return compare_next(table(spark, sf_dir, "documents"))
+
+
+# --- op12: ranked lexical search ------------------------------------------------------
+
+TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS ts FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY t),
+s AS (SELECT q.item_id, p.doc_id, CAST(sum(q.c * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + ((25 * p.n * g.docs) // g.total))))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op12_ranked_search", OP12_SQL)
+def op12(spark, sf_dir):
+    from .impact_rank import rank
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- op13: hard negatives ---------------------------------------------------------------
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same,
+             CAST(list_sum([a.c[i] * o.c[i] FOR i IN range(1, len(a.c) + 1)]) AS BIGINT) AS score
+      FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .multi_index import hard_negatives
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", turned), F.col("vec_id") % 50 == 0)

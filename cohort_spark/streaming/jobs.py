@@ -5,25 +5,29 @@ with the stored snapshot (unknown keys kept, as received), then the rule
 scorer, appended to a sink.
 
 T2 monitors drift continuously: the reference edges are fixed (computed once
-in batch), arriving rows are binned against them (broadcast, one row per
-feature) and counted per event-time window with a watermark; each window is
-emitted once the watermark closes it and its PSI is computed in
-``foreachBatch`` against the reference shares.
+in batch, literals of the plan), arriving rows are binned against them and
+counted in a keyed state per (event-time window, feature), which a timer closes
+at the window's end; the PSI of every window that a batch touched or closed is
+computed in ``foreachBatch`` against the reference shares.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from .. import profile as P
 from ..functions import rules as R
+from ..functions.numeric import is_finite, to_double
 from ..operators import drift as D
 from ..operators.enrich import enrich_requests
 from ..operators.reports import prediction_rows
 from ..operators.scoring import score_rule
 from ..profile import DEFAULT, Profile
+from ..session import ship_package
 
 
 def scoring_stream(requests: DataFrame, base: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
@@ -68,7 +72,6 @@ def windowed_bin_counts(stream: DataFrame, edges: DataFrame, features: list[str]
     types = {f.name: f.dataType for f in stream.schema.fields}
     feats = [f for f in features if f in types]
     args = ", ".join(f"'{f}', `_v{i}`" for i, f in enumerate(feats))
-    from ..functions.numeric import is_finite, to_double
     vals = stream.select(F.col(time_col).cast("timestamp").alias("ts"),
                          *[to_double(R.c(f), types[f]).alias(f"_v{i}") for i, f in enumerate(feats)])
     long = vals.select("ts", F.expr(f"stack({len(feats)}, {args}) as (feature, value)")).filter(
@@ -97,34 +100,132 @@ def psi_of_windows(batch: DataFrame, shares: DataFrame, edges: DataFrame, eps: f
                       value.alias("psi"), R.psi_status(value).alias("status"), "cur_count")
 
 
+def bin_against(value: Column, edges: list[float]) -> Column:
+    """Bin (from 1) of a finite ``value`` between sorted ``edges``, the last one
+    closed; 0 outside of them; null for other values. The edges stand in the plan."""
+    place = F.lit(0)
+    for e in edges:
+        place = place + (value >= e).cast("int")
+    if edges:
+        place = F.when(value == edges[-1], len(edges) - 1).otherwise(place)
+    return F.when(is_finite(value), F.when((place >= 1) & (place < len(edges)), place).otherwise(0))
+
+
+class WindowCounts(StatefulProcessor):
+    """State of one (window, feature): its count in each bin. What is counted so
+    far is told with every batch that adds to it, and for the last time by a
+    timer at the window's end, after which the state is gone. Rows for a window
+    that has ended are told as late and counted nowhere else."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "bin int", "c bigint")
+
+    def _told(self, key, kind: str):
+        for b, c in self.counts.iterator():
+            yield Row(window_start=key[0], window_end=key[1], feature=key[2], bin=b[0], c=c[0], kind=kind)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if key[1] <= timerValues.getCurrentWatermarkInMs():
+            for r in rows:
+                yield Row(window_start=key[0], window_end=key[1], feature=key[2], bin=r["bin"], c=r["c"], kind="late")
+            return
+        for r in rows:
+            known = self.counts.getValue((r["bin"],)) if self.counts.containsKey((r["bin"],)) else (0,)
+            self.counts.updateValue((r["bin"],), (known[0] + r["c"],))
+        self.handle.registerTimer(key[1])
+        yield from self._told(key, "open")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._told(key, "closed")
+        self.counts.clear()
+
+    def close(self) -> None:
+        pass
+
+
+WINDOW_COUNTS = "window_start bigint, window_end bigint, feature string, bin int, c bigint, kind string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def window_states(stream: DataFrame, edges: dict[str, list[float]], time_col: str, window: str, watermark: str) -> DataFrame:
+    """T2 stateful part: bin counts of windows (milliseconds), told as ``open``,
+    ``closed`` or ``late``. Each batch is counted map-side before the shuffle to
+    the state, so a hot window costs one row a task and bin."""
+    types = {f.name: f.dataType for f in stream.schema.fields}
+    feats = [f for f in edges if f in types]
+    at = stream.select(F.col(time_col).cast("timestamp").alias("ts"), *[bin_against(to_double(R.c(f), types[f]), edges[f]).alias(f"b{i}") for i, f in enumerate(feats)])
+    win = F.window("ts", window)
+    # the event time itself is not handed on: Spark would drop late rows before the state sees them
+    wide = at.withWatermark("ts", watermark).select(win.alias("w"), *[f"b{i}" for i in range(len(feats))]).select(
+        F.unix_millis("w.start").alias("window_start"), F.unix_millis("w.end").alias("window_end"), *[f"b{i}" for i in range(len(feats))])
+
+    def counted(batches):
+        for b in batches:
+            ends = b.column(1)
+            for i, f in enumerate(feats):
+                t = pa.table([b.column(0), ends, b.column(2 + i)], names=["window_start", "window_end", "bin"]).drop_null()
+                t = t.group_by(["window_start", "window_end", "bin"]).aggregate([([], "count_all")]).rename_columns(["window_start", "window_end", "bin", "c"])
+                t = t.append_column("feature", pa.array([f] * t.num_rows, pa.string())).select(["window_start", "window_end", "feature", "bin", "c"])
+                yield from t.to_batches()
+    counts = wide.mapInArrow(counted, "window_start bigint, window_end bigint, feature string, bin int, c bigint")
+    return counts.groupBy("window_start", "window_end", "feature").transformWithState(WindowCounts(), WINDOW_COUNTS, "Update", "EventTime")
+
+
 def run_drift_monitor(spark: SparkSession, source_dir: str, schema: T.StructType, ref: DataFrame,
                       features: list[str], time_col: str, sink_dir: str, checkpoint_dir: str,
                       window: str = "90 days", watermark: str = "30 days") -> None:
-    """Run T2 over the files present now. The PSI of closed windows goes to one
-    folder per epoch, which a retried batch overwrites; windows still open at
-    the final watermark are counted from the source and written beside them,
-    with ``closed`` false."""
+    """Run T2 over the files that came since the last run. The PSI of every
+    window that a batch touched or closed goes to one folder per epoch, which a
+    retried batch overwrites (:func:`drift_windows` reads the last word on each
+    window); the counts of rows that came after their window had closed go to
+    :func:`late_rows`. Nothing of the source is read twice: open windows stand in
+    the state."""
     edges, shares = reference_shares(ref, features)
     edges = edges.cache()
     shares = shares.cache()
-    stream = spark.readStream.schema(schema).parquet(source_dir)
-    counts = windowed_bin_counts(stream, edges, features, time_col, window, watermark)
-
-    def put(windows: DataFrame, epoch, closed: bool) -> None:
-        (psi_of_windows(windows, shares, edges).withColumn("closed", F.lit(closed))
-         .write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}"))
-
-    def emit(batch: DataFrame, epoch: int) -> None:
-        put(batch, epoch, True)
-
-    q = (counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint_dir)
-         .foreachBatch(emit).trigger(availableNow=True).start())
-    q.awaitTermination()
-    # the tail: windows that end after the last event less the watermark
-    source = spark.read.schema(schema).parquet(source_dir)
-    last = source.agg(F.max(F.col(time_col).cast("timestamp")).alias("t")).first()["t"]
-    if last is not None:
-        tail = windowed_bin_counts(source, edges, features, time_col, window, watermark)
-        put(tail.filter(F.col("win.end") > F.lit(last) - F.expr(f"INTERVAL {watermark}")), -1, False)
-    edges.unpersist()
-    shares.unpersist()
+    fixed = {r["feature"]: r["edges"] for r in edges.collect()}  # at most bins + 1 numbers a feature
+    ship_package(spark)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the state of keyed processors
+    try:
+        stream = spark.readStream.schema(schema).parquet(source_dir)
+        told = window_states(stream, {f: fixed[f] for f in features if f in fixed}, time_col, window, watermark)
+
+        def emit(batch: DataFrame, epoch: int) -> None:
+            batch = batch.persist()
+            win = F.struct(F.timestamp_millis("window_start").alias("start"), F.timestamp_millis("window_end").alias("end")).alias("win")
+            on_time = batch.where("kind <> 'late'")
+            closed = on_time.groupBy(win, "feature").agg(F.bool_or(F.col("kind") == "closed").alias("closed"))
+            psi = psi_of_windows(on_time.select(win, "feature", "bin", "c"), shares, edges)
+            psi = psi.join(closed.select(F.col("win.start").alias("window_start"), "feature", "closed"), ["window_start", "feature"])
+            psi.select("window_start", "window_end", "feature", "psi", "status", "cur_count", "closed").write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
+            late = batch.where("kind = 'late'").groupBy(F.timestamp_millis("window_start").alias("window_start"), F.timestamp_millis("window_end").alias("window_end"),
+                                                        "feature").agg(F.sum("c").alias("late_count"))
+            late.write.mode("overwrite").parquet(f"{_late_dir(sink_dir)}/epoch={epoch}")
+            batch.unpersist()
+
+        q = (told.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir)
+             .foreachBatch(emit).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        edges.unpersist()
+        shares.unpersist()
+
+
+def _late_dir(sink_dir: str) -> str:
+    return f"{sink_dir.rstrip('/')}-late"
+
+
+def drift_windows(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The last word on every window: ``window_start, window_end, feature, psi,
+    status, cur_count, closed`` (false while the watermark has not passed its end)."""
+    told = spark.read.parquet(sink_dir)
+    row = F.struct("psi", "status", "cur_count", "closed")
+    return told.groupBy("window_start", "window_end", "feature").agg(F.max_by(row, "epoch").alias("r")).select("window_start", "window_end", "feature", "r.*")
+
+
+def late_rows(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """Rows refused because their window had closed: ``epoch, window_start, window_end, feature, late_count``."""
+    return spark.read.parquet(_late_dir(sink_dir))

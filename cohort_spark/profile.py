@@ -104,8 +104,8 @@ MISSING_DISPLAY = "-"
 PROBA_THRESHOLD = 0.5      # classification metrics cut
 
 # Model hyper-parameters of the boosted-tree scorer.
-GBT_PARAMS = dict(stepSize=0.06, maxDepth=4, maxIter=300, minInstancesPerNode=20, seed=42)
-MODEL_NAME = "spark_gbt_classifier"
+BOOST_PARAMS = dict(rate=0.06, depth=4, rounds=300, least_rows=20, l2=0.1)
+MODEL_NAME = "histogram_boosting_classifier"
 MODEL_VERSION = "1.0.0"
 
 

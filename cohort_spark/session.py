@@ -3,6 +3,9 @@ folder used to cut lineage (read from ``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -56,3 +59,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     freezes non-deterministic partition layouts (range partitioning)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks
+    can import it wherever the driver found it (what ``--py-files`` does)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="py-files-")  # on the driver, which serves the archive until it ends
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    shutil.copytree(package, os.path.join(d, "src", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, f"{os.path.basename(package)}_lib"), "zip", os.path.join(d, "src")))
+    _SHIPPED.add(app)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import profile as P
+from ..session import scratch_path
 
 BOM = "﻿"
 
@@ -144,6 +145,25 @@ def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
     spark.createDataFrame([row], METADATA_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
 
+def metadata_frame(spark: SparkSession, meta: dict | None) -> DataFrame:
+    """The run table as a frame of one row; empty without ``meta``."""
+    row = [{f.name: meta.get(f.name) for f in METADATA_SCHEMA.fields}] if meta else []
+    return spark.createDataFrame(row, METADATA_SCHEMA)
+
+
+def first_dict(df: DataFrame) -> dict:
+    """The single row of a run table as a dict ({} without one)."""
+    rows = df.limit(1).collect()
+    return rows[0].asDict(recursive=True) if rows else {}
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """S6 read; unreadable or missing -> empty frame with the schema."""
     try:
@@ -156,16 +176,15 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def metadata_dict(spark: SparkSession, path: str) -> dict:
     """The run table's single row as a dict ({} when unreadable)."""
-    rows = read_metadata(spark, path).limit(1).collect()
-    return rows[0].asDict(recursive=True) if rows else {}
+    return first_dict(read_metadata(spark, path))
 
 
 def default_metadata(features: list[str], metrics: dict) -> dict:
     return {
         "model_name": P.MODEL_NAME,
         "model_version": P.MODEL_VERSION,
-        "task": "probability of the same-year target, cut into risk labels",
-        "target": "low index, low IPS or lowest stone in the same year",
+        "task": "probability of the next year's target, cut into risk labels",
+        "target": "low index, low IPS or lowest stone in the next year",
         "risk_thresholds": {"muito_alto_gte": P.PROBA_CUTS[0], "alto_gte": P.PROBA_CUTS[1],
                             "medio_gte": P.PROBA_CUTS[2]},
         "feature_columns": list(features),

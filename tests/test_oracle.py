@@ -16,8 +16,7 @@ def test_matches_duckdb(spark, name):
     assert rep["cols_match"] and rep["rows_match"] and rep["values_match"], rep
 
 
-ROWS_ONLY = {"m3_feature_matrix", "m4_train_evaluate", "m6_model_scores", "m8_train_job", "m9_model_info",
-             "s6_metadata", "s7_model_roundtrip"}
+ROWS_ONLY = {"m4_train_evaluate", "m6_model_scores", "m8_train_job"}
 
 
 def test_every_query_has_sql_or_is_rows_only():

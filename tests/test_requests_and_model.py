@@ -49,27 +49,27 @@ def test_orders_are_read_whole(spark):
 
 
 def test_drift_window_with_all_values_outside(spark):
-    from cohort_spark.streaming import run_drift_monitor
+    from cohort_spark.streaming import drift_windows, run_drift_monitor
     src, sink, ck = (scratch_path(spark, n) for n in ("o-in", "o-out", "o-ck"))
     ref = spark.range(1000).select((F.col("id") % 100).cast("double").alias("f"))
     stream = spark.range(300).select(F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("t"),
                                      F.when(F.col("id") < 90, F.col("id") * 1.0).otherwise(1e6 + F.col("id")).alias("f"))
     stream.write.parquet(src)
     run_drift_monitor(spark, src, stream.schema, ref, ["f"], "t", sink, ck)
-    got = spark.read.parquet(sink)
+    got = drift_windows(spark, sink)
     far = got.where("window_start >= timestamp'2020-05-01'").collect()
     assert far and all(r.status == "DRIFT" and r.cur_count > 0 for r in far)
     assert got.where("not closed").count() > 0
     assert got.agg(F.sum("cur_count")).first()[0] == 300  # every row is in one window
 
 
-def test_unknown_category_is_a_zero_vector(spark):
-    from pyspark.ml import Pipeline
+def test_unknown_category_has_no_entry(spark):
     train = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "f_Turma string, f_IEG double")
-    stages = MO.build_pipeline(["Turma"], [], medians={}).getStages()[:-1]
-    fitted = Pipeline(stages=stages).fit(train)
-    v = fitted.transform(spark.createDataFrame([("zz", 1.0), ("b", 1.0)], "f_Turma string, f_IEG double")).select("features").collect()
-    assert v[0][0].size == 3 and v[0][0].numNonzeros() == 0 and v[1][0].numNonzeros() == 1
+    fitted = MO.learn_encoding(train, ["Turma"], ["IEG"])
+    rows = spark.createDataFrame([("zz", 2.0), ("b", 3.0), (None, None)], "f_Turma string, f_IEG double")
+    got = [r["features"].asDict() for r in MO.feature_matrix(rows, fitted).orderBy(F.desc("f_Turma")).collect()]
+    assert [g["size"] for g in got] == [4, 4, 4] and [g["indices"] for g in got] == [[3], [1, 3], [0, 3]]  # unknown; known; the mode and the median
+    assert got[0]["values"] == [0.0] and got[1]["values"][1] == pytest.approx(1.5 ** 0.5)
 
 
 def test_split_takes_text_keys(spark):
@@ -80,11 +80,8 @@ def test_split_takes_text_keys(spark):
 
 def test_unusable_bundle_falls_back_to_the_rule(spark):
     df = T_.snapshot(spark, SMALL, 1996)
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import SQLTransformer
-    broken = Pipeline(stages=[SQLTransformer(statement="SELECT *, no_such_column AS probability FROM __THIS__")])
-    model = broken.fit(spark.createDataFrame([(1,)], "no_such_column int"))
-    for bundle in (None, (model, ["Turma"], ["IEG"]), ("no model", ["Turma"], []), ()):
+    fitted = MO.Fitted(["Turma"], ["IEG"], df.limit(0), {}, {}, [(0, 1, "f_no_such_feature", None, 0.5, False, 0.0, 1, 0.0, 0.0)])
+    for bundle in (None, (fitted, ["Turma"], ["IEG"]), (fitted._replace(rows=[]), ["Turma"], ["IEG"]), ("no model", ["Turma"], []), ()):
         out, used = score(df, bundle)
         assert not used and out.select("_risk_label").first() is not None
 
@@ -115,5 +112,5 @@ def test_export_parts_are_in_order(spark):
 def test_training_without_a_test_year(spark):
     from cohort_spark.plans.catalog import _labelled
     df = _labelled(spark, SMALL).where("ano < 1998")
-    row = MO.train_job(spark, df, 2050, scratch_path(spark, "notest"), params={"maxIter": 2}).first()
+    row = MO.train_job(spark, df, 2050, scratch_path(spark, "notest"), params={"rounds": 2})[0].first()
     assert row["n_train"] > row["n_test"] > 0

@@ -202,6 +202,8 @@ def remove_repeats(docs: DataFrame, length: int = 35, seed: int = 6) -> DataFram
     place = units.select("doc_id", "rid", "start", "unit").join(hot, "unit", "left")
     found = (place.where("hot is not null").select("doc_id", "rid", "start", F.col("hot").alias("mask"))
              .unionAll(place.where("hot is null").join(masks.where(F.col("n") <= often), "unit").select("doc_id", "rid", "start", "mask")))
+    # rows that repeat id and text mark the same places: one mark for each, however many rows
+    found = found.groupBy("doc_id", "rid", "start").agg(F.bit_or("mask").alias("mask"))
     marks = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     m = marks.select(F.col("doc_id").alias("m_id"), F.col("rid").alias("m_rid"), "marks")
     joined = texts.join(m, (texts["rid"] == m["m_rid"]) & texts["doc_id"].eqNullSafe(m["m_id"]), "left")

@@ -262,5 +262,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, threshold: int = 80, band
     s = signed.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     out = s.join(of, "node", "left")
     cid = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = F.col("doc_id").eqNullSafe(cid) & (F.col("node").isNull() | (F.col("text_hash") == F.col("kept_hash")))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), kept.alias("kept"), "text_hash")
+    kept = F.col("doc_id").eqNullSafe(cid)
+    stays = kept & (F.col("node").isNull() | (F.col("text_hash") == F.col("kept_hash")))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), kept.alias("kept"), stays.alias("stays"), "text_hash")

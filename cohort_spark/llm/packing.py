@@ -242,17 +242,29 @@ def plan(supply: np.ndarray, depth: int) -> list[tuple[tuple[int, ...], int]]:
             if x[k] < 1 - 1e-9:
                 break
             take(combos[k], int(x[k] + 1e-9))
-    while left[1:].any():  # greedy: the longest, then the longest that fits, and so on
+    out.extend(greedy(left, size))
+    return out
+
+
+def greedy(supply: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths that use up ``supply`` (a count for each length): the
+    longest, then the longest that fits, and so on, as often as there is supply."""
+    left, out = supply.copy(), []
+    while left[1:].any():
         pattern, room, free = [], size, left.copy()
         while room:
             fits = np.flatnonzero(free[1: room + 1])
             if not len(fits):
                 break
             b = int(fits[-1]) + 1
-            pattern.append(b)
-            free[b] -= 1
-            room -= b
-        take(tuple(pattern), int(left.max()))
+            n = min(int(free[b]), room // b)
+            pattern.extend([b] * n)
+            free[b] -= n
+            room -= b * n
+        bins, need = np.unique(pattern, return_counts=True)
+        times = int((left[bins] // need).min())
+        left[bins] -= need * times
+        out.append((tuple(pattern), times))
     return out
 
 
@@ -267,14 +279,19 @@ def pack(docs: DataFrame, window: int = 2048, unit: int = 8, depth: int = 3, end
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
-    cut = written(pieces(texts, path, window, end_id, with_ids), "pieces").withColumn("bin", F.ceil(F.col("length") / unit).cast("int"))
+    # short pieces are binned by their length itself, below the bins of the others
+    short = min(8 * unit, window)
+    length = F.col("length")
+    place = F.when(length < short, length).otherwise(F.ceil(length / unit) + short)
+    cut = written(pieces(texts, path, window, end_id, with_ids), "pieces").withColumn("bin", place.cast("int"))
     size = window // unit
-    supply = np.zeros(size + 1, np.int64)
-    for r in cut.groupBy("bin").count().collect():  # at most window / unit rows
+    supply = np.zeros(short + size + 1, np.int64)
+    for r in cut.groupBy("bin").count().collect():  # at most short + window / unit rows
         supply[r["bin"]] = r["count"]
     # per bin: from which rank on a slot of which pattern is served
-    taken, table, base = np.zeros(size + 1, np.int64), [[] for _ in range(size + 1)], 0
-    for pattern, times in plan(supply, depth):
+    taken, table, base = np.zeros(len(supply), np.int64), [[] for _ in supply], 0
+    of_long = [(tuple(b + short for b in p), times) for p, times in plan(np.r_[0, supply[short + 1:]], depth)]
+    for pattern, times in of_long + greedy(supply[:short], window):
         for slot, b in enumerate(pattern):
             table[b].append((int(taken[b]), base, slot))
             taken[b] += times

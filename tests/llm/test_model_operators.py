@@ -349,3 +349,15 @@ def test_pipeline_query(spark):
     assert "pipeline" in E.queries()
     rows = E.queries()["pipeline"](spark, SF)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+def test_short_documents_are_packed_by_their_exact_length(spark, docs_of):  # noqa: F811
+    from cohort_spark.llm.packing import pack
+    got = pack(docs_of([(i, "") for i in range(2_000)] + [(5_000 + i, "a") for i in range(500)]))
+    assert got.select("sequence_id").distinct().count() == 2  # 2,000 + 1,000 ids
+    per = got.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert sum(r[1] for r in per) == got.agg({"length": "sum"}).first()[0] and max(r[1] for r in per) <= 2048
+    again = {}
+    for r in got.orderBy("sequence_id", "offset").collect():
+        assert r["offset"] == again.get(r["sequence_id"], 0)
+        again[r["sequence_id"]] = r["offset"] + r["length"]

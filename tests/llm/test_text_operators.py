@@ -95,7 +95,8 @@ def test_near_duplicates_under_shared_and_null_ids(spark, docs_of):
     rows = [(1, a), (1, b), (2, a2), (3, b2), (None, c), (None, d), (None, c2), (None, d2), (5, e), (5, e2)]
     got = M.near_duplicates(docs_of(rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows, 2)
-    assert sorted((r.doc_id for r in got if r.kept), key=repr) == sorted([1, 1, None, None, 5], key=repr)
+    assert sorted((r.doc_id for r in got if r.stays), key=repr) == sorted([1, 1, None, None, 5], key=repr)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     left = sorted(r.text[0] for r in corpus_pipeline.near_dedup(spark, docs_of(rows), "").collect())
     assert left == ["a", "b", "c", "d", "e"]
 
@@ -259,3 +260,22 @@ def test_kept_text_digest(spark):
     from cohort_spark.llm.queries import QUERIES
     rows = QUERIES["op9_substring_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and any(r.kept_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+
+
+def test_passages_of_thousands_of_equal_rows(spark, docs_of):  # noqa: F811
+    """Marks do not multiply with the rows that repeat id and text."""
+    text = " ".join(f"w{i}" for i in range(300))
+    got = S.remove_repeats(docs_of([(1, text)] * 3_000 + [(None, text + " end")] * 2_000), length=35)
+    assert got.groupBy("doc_id", "n_words", "n_removed").count().orderBy("doc_id").collect() == [(None, 301, 301, 2_000), (1, 300, 300, 3_000)]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, docs_of):  # noqa: F811
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    rows = [(1, "some words of a text that repeats"), (1, "some words of a text that repeats"), (2, "another text of some words altogether"), (3, None)]
+    docs = docs_of(rows)
+    for name in ("gone_id", "gone_hash", "repeat_", "GONE_ID"):
+        docs = docs.withColumn(name, F.lit(name)) if name.lower() not in {c.lower() for c in docs.columns} else docs
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 3]
+    assert {(r.gone_id, r.gone_hash, r.repeat_) for r in out.collect()} == {("gone_id", "gone_hash", "repeat_")}

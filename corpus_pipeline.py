@@ -43,20 +43,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         for c, t in docs.dtypes])
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``gone`` names by doc_id and text_hash."""
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_hash")), "left_anti")
+    ids, hashes = _fresh(docs, "gone_id"), _fresh(docs, "gone_hash")
+    gone = gone.select(F.col("doc_id").alias(ids), F.col("text_hash").alias(hashes)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(ids)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hashes)), "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs, shingle=5, threshold=80), "near")
-    out = _without(docs, found.where("not kept"))
-    kept = found.where("kept and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    out = _without(docs, found.where("not stays"))
+    kept = found.where("stays and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     if not kept.where("n > 1").isEmpty():  # rows that repeat id and text: one stays
+        repeat = _fresh(docs, "repeat_")
         row = Window.partitionBy("doc_id", F.xxhash64(F.col("text").cast("string"))).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"])
         wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-        out = out.withColumn("repeat_", F.row_number().over(row)).where((F.col("repeat_") == 1) | wordless).drop("repeat_")
+        out = out.withColumn(repeat, F.row_number().over(row)).where((F.col(repeat) == 1) | wordless).drop(repeat)
     return out
 
 

@@ -85,28 +85,88 @@ def stone_trend(df: DataFrame, by: list[str] | None = None, prof: Profile = DEFA
     return wide.select(*[R.c(b) for b in by], F.expr(f"stack({k}, {args}) as (label, media, risco)"))
 
 
+def action_flags(scored: DataFrame, prof: Profile = DEFAULT) -> dict[str, Column]:
+    """Conditions counted by A5: reinforcement, follow-up and parent meeting."""
+    lab = F.col(prof.label)
+    has_rec = any(s in scored.columns for s in prof.recovery)
+    return {"plano_reforco": R.high_risk(lab) & ~R.recovery_filled(scored, prof) if has_rec else F.lit(False),
+            "acompanhamento": R.cohort_follow_up(scored, prof), "reuniao_pais": R.parent_meeting(scored, lab, prof)}
+
+
 def action_counts(scored: DataFrame, by: list[str] | None = None, progress: DataFrame | None = None,
                   prof: Profile = DEFAULT) -> DataFrame:
     """A5: reinforcement, follow-up and parent-meeting counts, plus the
     longitudinal counts (L1, L2) of ``progress`` — the one-row frame of
-    ``longitudinal.progress_counts`` — read as one scalar subquery."""
+    ``longitudinal.progress_counts`` — read as one scalar subquery. For all
+    years of one table ``longitudinal.actions_by_year`` gives both in one pass."""
     by = by or []
-    lab = F.col(prof.label)
-    has_rec = any(s in scored.columns for s in prof.recovery)
-    reinforcement = (F.count_if(R.high_risk(lab) & ~R.recovery_filled(scored, prof)) if has_rec
-                     else F.lit(0).cast("bigint"))
-    out = _agg(
-        scored, by,
-        reinforcement.alias("plano_reforco"),
-        F.count_if(R.cohort_follow_up(scored, prof)).alias("acompanhamento"),
-        F.count_if(R.parent_meeting(scored, lab, prof)).alias("reuniao_pais"),
-    )
+    out = _agg(scored, by, *[F.count_if(c).alias(n) for n, c in action_flags(scored, prof).items()])
     if progress is not None:
         sc = scalars(progress)
         out = out.select("*", *[sc[c].alias(c) for c in progress.columns])
     return out
 
 
+def cohort_cube(scored: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
+    """A1–A6 of every cohort a page can ask for: one row for each year and
+    school, each year, each school (trimmed) and all of them (``por_ano`` and
+    ``por_escola`` say by which the row is). The rows are read and shuffled
+    once, as sums and counts by (year, school); the other cohorts, and all means,
+    are made from these."""
+    year, school = prof.year, prof.school
+    lab = F.col(prof.label)
+    sums = {"n_high": R.high_risk(lab), "n_medium": N.nz(lab == "Médio"), "n_regular": N.nz(lab == "Regular"), "total": F.lit(True),
+            **action_flags(scored, prof), "indicados": R.indicated(scored, prof), "muito_alto": N.nz(lab == "Muito Alto")}
+    for s, n in zip(prof.subjects, ("matematica", "portugues", "ingles")):
+        sums[n] = N.nz(R.c(s) < P.PASS_MARK) if s in scored.columns else F.lit(False)
+    means = {"inde": R.c(prof.inde) if prof.inde in scored.columns else F.lit(None).cast("double"), "media": R.subject_mean(scored, prof)}
+    for i, s in enumerate(prof.stones):
+        means[f"m{i}"] = R.c(s).cast("double") if s in scored.columns else F.lit(None).cast("double")
+        sums[f"r{i}"] = N.nz(means[f"m{i}"] <= P.STONE_RISK_LE)
+    school_col = F.trim(R.c(school).cast("string")) if school in scored.columns else F.lit(None).cast("string")
+    base = scored.groupBy(R.c(year).alias("ano"), school_col.alias("escola")).agg(
+        *[F.count_if(c).alias(n) for n, c in sums.items()],
+        *[f(c).alias(f"{n}_{k}") for n, c in means.items() for k, f in (("sum", F.sum), ("n", F.count))])
+    ano, escola = F.col("ano"), F.col("escola")
+    cube = base.groupingSets([[ano, escola], [ano], [escola], []], ano, escola).agg(
+        (F.grouping("ano") == 0).alias("por_ano"), (F.grouping("escola") == 0).alias("por_escola"),
+        *[F.sum(n).alias(n) for n in sums], *[F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in means for k in ("sum", "n")])
+    mean = {n: F.try_divide(F.col(f"{n}_sum"), F.col(f"{n}_n")) for n in means}
+    overall = F.coalesce(mean["inde"], mean["media"])
+    return cube.select(
+        "ano", "escola", "por_ano", "por_escola",
+        *[c for n in ("high", "medium", "regular") for c in (F.col(f"n_{n}"), _pct(F.col(f"n_{n}"), F.col("total")).alias(f"pct_{n}"))], "total",
+        F.bround(F.bround(overall, 12), 6).alias("media_geral"), X.decimal_comma(overall, 1).alias("media_geral_display"),
+        "matematica", "portugues", "ingles",
+        *[c for i in range(len(prof.stones)) for c in (F.coalesce(F.bround(mean[f"m{i}"], 2), F.lit(0.0)).alias(f"m{i}"), F.col(f"r{i}"))],
+        *action_flags(scored, prof), (F.col("n_high") + F.col("indicados")).alias("alertas"),
+        F.col("muito_alto").alias("alertas_acompanhamento"), F.col("n_high").alias("alertas_reuniao"))
+
+
+def cube_slice(cube: DataFrame, year: int, school: str | None = None) -> DataFrame:
+    """The cube's row of a year, and of a school in it if it has rows (P3:
+    an unknown school shows all schools)."""
+    rows = cube.where(F.col("por_ano") & (F.col("ano") == year))
+    whole = rows.where(~F.col("por_escola"))
+    if not school or school == "Todas":
+        return whole
+    one = rows.where(F.col("por_escola") & (F.col("escola") == school))
+    return one if not one.isEmpty() else whole
+
+
+def cube_frames(row: DataFrame, prof: Profile = DEFAULT) -> dict[str, DataFrame]:
+    """A1–A6 as their own functions return them, from a row of the cube."""
+    stones = ", ".join(f"'{s}', m{i}, r{i}" for i, s in enumerate(prof.stones))
+    return {
+        "indicadores": row.select("n_high", "pct_high", "n_medium", "pct_medium", "n_regular", "pct_regular", "total"),
+        "media_geral": row.select("media_geral", "media_geral_display"),
+        "disciplinas": row.select("matematica", "portugues", "ingles"),
+        "tendencia": row.select(F.expr(f"stack({len(prof.stones)}, {stones}) as (label, media, risco)")),
+        "acoes": row.select("plano_reforco", "acompanhamento", "reuniao_pais"),
+        "alertas": row.select("alertas", "alertas_acompanhamento", "alertas_reuniao"),
+    }
+
+
 def alert_count(scored: DataFrame, by: list[str] | None = None, prof: Profile = DEFAULT) -> DataFrame:
     """High-risk count plus truthy-Indicado count (a pupil can count
     twice), and the list pages' variants: ``Muito Alto`` count (follow-up

@@ -33,6 +33,14 @@ def _typed(col, have: T.DataType, want: T.DataType):
     return col.try_cast(want)
 
 
+def _keyed(req: DataFrame, key: str) -> DataFrame:
+    """Requests with standard headers (N1) and the trimmed key; a request
+    without a key, or without a key column, has a null one."""
+    r = standardize_columns(req)
+    given = F.trim(R.c(key).cast("string")) if key in r.columns else F.lit(None).cast("string")
+    return r.withColumn(key, F.when(given != "", given))  # null matches no key
+
+
 def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", prof: Profile = DEFAULT) -> DataFrame:
     """Stored rows of the requested keys joined with the requests on the
     trimmed key; for shared columns a filled request value wins; request-only
@@ -47,9 +55,7 @@ def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", pr
     some key matched, else keeps every request unchanged."""
     key = prof.key
     b = base.withColumn(key, F.trim(R.c(key).cast("string")))
-    r = standardize_columns(req)
-    given = F.trim(R.c(key).cast("string")) if key in r.columns else F.lit(None).cast("string")
-    r = r.withColumn(key, F.when(given != "", given))  # null matches no key
+    r = _keyed(req, key)
     btypes = {f.name: f.dataType for f in b.schema.fields}
     rtypes = {f.name: f.dataType for f in r.schema.fields}
     shared = [c for c in r.columns if c in btypes and c != key]
@@ -79,10 +85,11 @@ def enrich_requests(base: DataFrame, req: DataFrame, unmatched: str = "keep", pr
 
 
 def unknown_requests(base: DataFrame, req: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
-    """J1 reject side: requests whose key is not stored (left anti join)."""
+    """J1 reject side: requests that :func:`enrich_requests` finds no stored
+    row for, by the same rules for headers and keys (left anti join)."""
     key = prof.key
     b = base.select(F.trim(R.c(key).cast("string")).alias(key))
-    return req.withColumn(key, F.trim(R.c(key).cast("string"))).join(b, key, "left_anti")
+    return _keyed(req, key).join(b, key, "left_anti")
 
 
 def batch_lookup(base: DataFrame, req: DataFrame, pos: str = "pos", base_order: str | None = None,
@@ -93,8 +100,8 @@ def batch_lookup(base: DataFrame, req: DataFrame, pos: str = "pos", base_order:
     key = prof.key
     b = base.withColumn(key, F.trim(R.c(key).cast("string")))
     if base_order is None:
-        order = F.struct(*[R.c(c).cast("string") for c in b.columns])
-        first = first_per_key(b.withColumn("_ord", F.to_json(order)), [key], "_ord").drop("_ord")
+        order = F.struct(*[R.c(c).cast("string").alias(f"o{i}") for i, c in enumerate(b.columns)])
+        first = first_per_key(b.withColumn("_ord", order), [key], "_ord").drop("_ord")
     else:
         first = first_per_key(b, [key], base_order)
     r = req.select(F.trim(R.c(key).cast("string")).alias(key), R.c(pos).alias(pos))

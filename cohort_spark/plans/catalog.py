@@ -9,6 +9,7 @@ order-insensitive comparison still sees the order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,13 +73,16 @@ def s1_read_snapshot(spark, sf_dir):
     return one.select("RA", "ano", "Nome", F.col("`INDE 22`").alias("inde"), F.col("`Pedra 22`").alias("pedra_22"))
 
 
+def _other_years(spark, sf_dir, years: list[int]) -> dict[int, DataFrame]:
+    """The years after the first, which share their columns, in one scan."""
+    return {years[1]: T_.pupil_year(spark, sf_dir, tuple(years[1:]))} if years[1:] else {}
+
+
 @register("s2_stack_years")
 def s2_stack_years(spark, sf_dir):
     """Union by name of all snapshots; the first lacks the English mark."""
     years = T_.order_years(spark, sf_dir)
-    frames = {y: T_.snapshot(spark, sf_dir, y) for y in years}
-    frames[years[0]] = frames[years[0]].drop("Inglês")
-    st = IO.stack_years(frames)
+    st = IO.stack_years({years[0]: T_.snapshot(spark, sf_dir, years[0]).drop("Inglês"), **_other_years(spark, sf_dir, years)})
     return st.select("RA", "ano", F.col("`INDE 22`").alias("inde"), F.col("Inglês").alias("ingles"),
                      F.col("Indicado").alias("indicado"))
 
@@ -450,7 +454,7 @@ def a4_stone_trend(spark, sf_dir):
 @register("a5_action_counts")
 def a5_action_counts(spark, sf_dir):
     sc = scored_years(spark, sf_dir)
-    return C.action_counts(sc, by=["ano"], progress=L.progress_counts(sc))
+    return L.actions_by_year(sc, C.action_flags(sc))
 
 
 @register("a6_alert_count")
@@ -458,6 +462,28 @@ def a6_alert_count(spark, sf_dir):
     return C.alert_count(_school(scored_years(spark, sf_dir)), by=["ano", "escola"])
 
 
+@register("a6_cohort_cube")
+def a6_cohort_cube(spark, sf_dir):
+    """A1–A6 with P1 and P3: all cohorts (year and school, year, school, all) in one pass."""
+    return C.cohort_cube(scored_years(spark, sf_dir))
+
+
+@register("a6_dashboard")
+def a6_dashboard(spark, sf_dir):
+    """The dashboard job for one year's cohort, its tables read back as (table, measure, value)."""
+    from .dashboard import write_dashboard
+    out = scratch_path(spark, "dashboard")
+    names = write_dashboard(T_.pupil_year(spark, sf_dir), LIST_YEAR, out)
+    tables = {n: spark.read.parquet(f"{out}/{n}") for n in names}
+    tables["tendencia"] = tables["tendencia"].groupBy().agg(*[F.max(F.when(F.col("label") == s, F.col(c))).alias(f"{c} {s}") for s in P.DEFAULT.stones for c in ("media", "risco")])
+    tables["media_geral"] = tables["media_geral"].drop("media_geral_display")
+    for n in ("alunos_alto_risco", "escolas"):
+        tables[n] = tables[n].agg(F.count(F.lit(1)).alias("linhas"))
+    long = [df.select(F.lit(n).alias("tabela"), F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*[R.c(c).cast("double") for c in df.columns]))).alias("medida", "valor"))
+            for n, df in tables.items()]
+    return reduce(DataFrame.unionAll, long)
+
+
 @register("a7_schools")
 def a7_schools(spark, sf_dir):
     return C.schools(T_.pupil_year(spark, sf_dir))
@@ -535,19 +561,19 @@ def a17_evaluation(spark, sf_dir):
 
 @register("l1_no_progress")
 def l1_no_progress(spark, sf_dir):
-    return L.no_progress(scored_years(spark, sf_dir))
+    return L.no_progress(scored_years(spark, sf_dir), one_row_a_year=True)
 
 
 @register("l2_next_phase")
 def l2_next_phase(spark, sf_dir):
-    out = L.next_phase(scored_years(spark, sf_dir))
+    out = L.next_phase(scored_years(spark, sf_dir), one_row_a_year=True)
     return out.select("RA", F.bround("first_inde", 9).alias("first_inde"),
                       F.bround("last_inde", 9).alias("last_inde"), "last_label")
 
 
 @register("l3_evolution")
 def l3_evolution(spark, sf_dir):
-    return L.evolution(scored_years(spark, sf_dir), keys=T_.requests(spark, sf_dir))
+    return L.evolution(scored_years(spark, sf_dir), keys=T_.requests(spark, sf_dir), one_row_a_year=True)
 
 
 @register("l4_top_high_risk")
@@ -586,8 +612,7 @@ def o4_union_by_name(spark, sf_dir):
     so its rule score falls back to the subject mean (C3 branch)."""
     years = T_.order_years(spark, sf_dir)
     first = score_rule(T_.snapshot(spark, sf_dir, years[0]).drop("INDE 22"))
-    rest = {y: score_rule(T_.snapshot(spark, sf_dir, y)) for y in years[1:]}
-    st = IO.stack_years({years[0]: first, **rest})
+    st = IO.stack_years({years[0]: first, **{y: score_rule(f) for y, f in _other_years(spark, sf_dir, years).items()}})
     return st.select("RA", "ano", F.bround("_risk_score", 9).alias("risk_score"),
                      F.col("_risk_label").alias("risk_label"), F.col("`INDE 22`").alias("inde"))
 

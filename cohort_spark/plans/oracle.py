@@ -732,3 +732,31 @@ SELECT 'histogram_boosting_classifier' AS model_name, '1.0.0' AS model_version,
   count(*) FILTER (WHERE ano < 2000) AS n_train, count(*) FILTER (WHERE ano = 2000) AS n_test,
   count(*) FILTER (WHERE ano = 2000 AND y = 1) AS n_pos, count(*) FILTER (WHERE ano = 2000 AND y = 0) AS n_neg FROM nx"""
 SQL["s7_model_roundtrip"] = views() + f'SELECT "RA", ano, 0.0{D} AS difference FROM py WHERE ano = 2001'
+
+# ---- cohort cube and dashboard
+_CUBE = f"""n_high, {pct_sql("n_high", "total")} AS pct_high, n_medium, {pct_sql("n_medium", "total")} AS pct_medium,
+  n_regular, {pct_sql("n_regular", "total")} AS pct_regular, total, round_even(round_even(m, 12), 6) AS media_geral,
+  {comma_sql("m", 1)} AS media_geral_display, matematica, portugues, ingles, m0, r0, m1, r1, m2, r2,
+  plano_reforco, acompanhamento, reuniao_pais, n_high + indicados AS alertas, muito_alto AS alertas_acompanhamento, n_high AS alertas_reuniao"""
+_CUBE_SUMS = f"""count(*) FILTER (WHERE {HIGH}) AS n_high, count(*) FILTER (WHERE _risk_label = 'Médio') AS n_medium,
+  count(*) FILTER (WHERE _risk_label = 'Regular') AS n_regular, count(*) AS total, coalesce(avg("INDE 22"), avg(_media)) AS m,
+  count(*) FILTER (WHERE Matem < 6.0{D}) AS matematica, count(*) FILTER (WHERE Portug < 6.0{D}) AS portugues, count(*) FILTER (WHERE "Inglês" < 6.0{D}) AS ingles,
+  {", ".join(f"coalesce(round_even(avg({chr(34)}{s}{chr(34)}), 2), 0.0{D}) AS m{i}, count(*) FILTER (WHERE {chr(34)}{s}{chr(34)} <= 2.0{D}) AS r{i}" for i, s in enumerate(("Pedra 20", "Pedra 21", "Pedra 22")))},
+  count(*) FILTER (WHERE {HIGH} AND NOT {REC_FILLED}) AS plano_reforco, count(*) FILTER (WHERE {COHORT_FOLLOW}) AS acompanhamento,
+  count(*) FILTER (WHERE {PARENT}) AS reuniao_pais, count(*) FILTER (WHERE {truthy_sql('Indicado')}) AS indicados,
+  count(*) FILTER (WHERE _risk_label = 'Muito Alto') AS muito_alto"""
+SQL["a6_cohort_cube"] = views() + f"""
+SELECT ano, escola, por_ano, por_escola, {_CUBE} FROM (
+  SELECT ano, escola, grouping(ano) = 0 AS por_ano, grouping(escola) = 0 AS por_escola, {_CUBE_SUMS}
+  FROM (SELECT *, trim("Instituição de ensino") AS escola FROM sc) s GROUP BY GROUPING SETS ((ano, escola), (ano), (escola), ())) c"""
+_PAGE = {"indicadores": ("n_high", "pct_high", "n_medium", "pct_medium", "n_regular", "pct_regular", "total"), "media_geral": ("media_geral",),
+         "disciplinas": ("matematica", "portugues", "ingles"), "acoes": ("plano_reforco", "acompanhamento", "reuniao_pais"),
+         "alertas": ("alertas", "alertas_acompanhamento", "alertas_reuniao")}
+_PAGE_CELLS = [(t, c, c) for t, cols in _PAGE.items() for c in cols] + [("tendencia", f"{n} {s}", f"{v}{i}") for i, s in enumerate(("Pedra 20", "Pedra 21", "Pedra 22")) for n, v in (("media", "m"), ("risco", "r"))]
+SQL["a6_dashboard"] = views(LONG).rstrip() + f""",
+pg AS (SELECT {_CUBE} FROM (SELECT {_CUBE_SUMS} FROM sc WHERE ano = 1997) c)
+""" + " UNION ALL ".join(f"SELECT '{t}' AS tabela, '{m}' AS medida, CAST({c} AS DOUBLE) AS valor FROM pg" for t, m, c in _PAGE_CELLS) + f"""
+UNION ALL SELECT 'acoes', 'sem_progresso', CAST((SELECT count(*) FROM l1) AS DOUBLE)
+UNION ALL SELECT 'acoes', 'proxima_fase', CAST((SELECT count(*) FROM l2) AS DOUBLE)
+UNION ALL SELECT 'alunos_alto_risco', 'linhas', CAST(least(15, (SELECT count(*) FROM sc WHERE ano = 1997 AND {HIGH})) AS DOUBLE)
+UNION ALL SELECT 'escolas', 'linhas', CAST((SELECT count(DISTINCT trim("Instituição de ensino")) FROM sc WHERE ano = 1997 AND trim("Instituição de ensino") <> '') AS DOUBLE)"""

@@ -57,8 +57,9 @@ def read_snapshot(spark: SparkSession, path: str, year: int, fmt: str = "parquet
 
 def stack_years(frames: dict[int, DataFrame], year: str = "ano") -> DataFrame:
     """Union by name of yearly frames tagged with the year; missing
-    columns become null."""
-    tagged = [df.withColumn(year, F.lit(int(y))) for y, df in sorted(frames.items())]
+    columns become null. A frame that has the year column already, such as all
+    years that share their columns read in one scan, keeps its own."""
+    tagged = [df if year in df.columns else df.withColumn(year, F.lit(int(y))) for y, df in sorted(frames.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 

@@ -19,6 +19,8 @@ the distinct values):
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +100,16 @@ def quantile_values(values: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
     values = values.select("feature", "value")
     hit = cut_lineage(_order_statistics(_bracketed(values, bins), bins))
     if not hit.where("value < top").isEmpty():  # a rank fell between the brackets
-        every = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
-        hit = _order_statistics(every.select("feature", "value", F.col("value").alias("top"), "w"), bins)
+        return counted_quantiles(values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w")), bins)
+    return _interpolated(hit)
+
+
+def counted_quantiles(counts: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
+    """As :func:`quantile_values`, from the distinct values with their counts ``(feature, value, w)``."""
+    return _interpolated(_order_statistics(counts.select("feature", "value", F.col("value").alias("top"), "w"), bins))
+
+
+def _interpolated(hit: DataFrame) -> DataFrame:
     pair = hit.groupBy("feature", "k", "t").agg(
         F.max(F.when(F.col("which") == 0, F.col("value"))).alias("a"),
         F.max(F.when(F.col("which") == 1, F.col("value"))).alias("b"))
@@ -109,7 +119,10 @@ def quantile_values(values: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
 def quantile_edges(values: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
     """Exact quantile edges per feature: ``(feature, edges array<double>, m)``,
     sorted and unique; m: their number (at most ``bins + 1``)."""
-    q = quantile_values(values, bins)
+    return _edges(quantile_values(values, bins))
+
+
+def _edges(q: DataFrame) -> DataFrame:
     edges = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
     return edges.select("feature", "edges", F.size("edges").alias("m"))
 
@@ -147,6 +160,11 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P
     place = F.when(N.is_finite(F.col("value")), bin_of(bins)).otherwise(-1)
     counts = j.groupBy("feature", "m", place.alias("bin")).agg(F.count_if(F.col("side") == "ref").alias("r"),
                                                                F.count_if(F.col("side") == "cur").alias("c"))
+    return _psi_of(counts, eps)
+
+
+def _psi_of(counts: DataFrame, eps: float) -> DataFrame:
+    """PSI rows from counts of both sides ``(feature, m, bin, r, c)``."""
     # at most bins + 2 entries per feature; a bin empty on both sides adds nothing
     per = counts.groupBy("feature", "m").agg(
         F.array_sort(F.collect_list(F.struct("bin", "r", "c"))).alias("all"), F.sum("r").alias("ref_count"), F.sum("c").alias("cur_count"),
@@ -166,6 +184,44 @@ def psi_table(ref: DataFrame, cur: DataFrame, features: list[str], bins: int = P
     return out.select("feature", "psi", R.psi_status(F.col("psi")).alias("status"), "ref_count", "cur_count")
 
 
+# --------------------------------------------------------- stored references
+
+def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
+    """The state of a reference that can be stored and merged: the distinct
+    non-null values of each feature with their counts ``(feature, value, w)``,
+    ±inf included. Exact, and never larger than the values themselves."""
+    return long_values(df, [f for f in features if f in df.columns], "x", finite=False).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
+
+
+def merged_counts(states: list[DataFrame]) -> DataFrame:
+    """The state of all rows of several references, from their states."""
+    return reduce(DataFrame.unionByName, states).groupBy("feature", "value").agg(F.sum("w").alias("w"))
+
+
+def reference_profile(state: DataFrame, bins: int = P.PSI_BINS) -> DataFrame:
+    """What a comparison needs of a reference: ``feature, edges, m, counts``
+    (bin -> rows; -1 for infinite values, 0 for finite ones without edges), one row a feature."""
+    edges = _edges(counted_quantiles(state.where(N.is_finite(F.col("value"))), bins))
+    # one row per feature, at most bins + 1 doubles each
+    j = state.join(F.broadcast(edges), "feature", "left")
+    place = F.when(N.is_finite(F.col("value")), bin_of(bins)).otherwise(-1)
+    per = j.groupBy("feature", "edges", "m", place.alias("bin")).agg(F.sum("w").alias("w"))
+    return per.groupBy("feature", "edges", "m").agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("counts"))
+
+
+def psi_against(profile: DataFrame, cur: DataFrame, features: list[str], bins: int = P.PSI_BINS, eps: float = P.PSI_EPS) -> DataFrame:
+    """A12 of a new period against a stored profile: the same rows as
+    :func:`psi_table` with the reference itself, which is not read."""
+    feats = [f for f in features if f in cur.columns]
+    ref = profile.where(F.col("feature").isin(feats))
+    j = long_values(cur, feats, "cur", finite=False).join(F.broadcast(ref.select("feature", "edges", "m")), "feature", "left")
+    place = F.when(N.is_finite(F.col("value")), bin_of(bins)).otherwise(-1)
+    now = j.groupBy("feature", "m", place.alias("bin")).agg(F.lit(0).cast("bigint").alias("r"), F.count(F.lit(1)).alias("c"))
+    then = ref.select("feature", "m", F.explode("counts").alias("bin", "r")).withColumn("c", F.lit(0).cast("bigint"))
+    both = now.unionByName(then).groupBy("feature", "m", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    return _psi_of(both, eps)
+
+
 def drift_ordered(results: DataFrame) -> DataFrame:
     """O3: PSI descending, nulls last, ties by feature."""
     return results.orderBy(F.col("psi").desc_nulls_last(), F.col("feature"))

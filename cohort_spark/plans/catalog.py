@@ -346,6 +346,28 @@ def p2_search(spark, sf_dir):
     return C.search(scored_years(spark, sf_dir), SEARCH_Q).select("RA", "ano", "Nome")
 
 
+def _indexed(spark, sf_dir, years=None) -> str:
+    from ..operators.search_index import build_index
+    path = scratch_path(spark, "search")
+    build_index(T_.pupil_year(spark, sf_dir, years), path, (*C.SEARCH_COLUMNS, "RA"))
+    return path
+
+
+@register("p2_indexed_search")
+def p2_indexed_search(spark, sf_dir):
+    """P2 by the substring index."""
+    from ..operators.search_index import indexed_rows
+    return indexed_rows(spark, _indexed(spark, sf_dir), SEARCH_Q).select("RA", "ano", "Nome")
+
+
+@register("p4_indexed_search")
+def p4_indexed_search(spark, sf_dir):
+    """P4 on the rows that the substring index finds."""
+    from ..operators.search_index import indexed_rows
+    found = indexed_rows(spark, _indexed(spark, sf_dir, (LIST_YEAR,)), SEARCH_Q, ("RA", "Nome", "Turma"))
+    return C.search_pupils(found.drop("ano"), SEARCH_Q, P.SEARCH_LIMIT)
+
+
 @register("p3_filter_fallback")
 def p3_filter_fallback(spark, sf_dir):
     sc = scored_years(spark, sf_dir)
@@ -371,6 +393,30 @@ def p6_lookup(spark, sf_dir):
         "RA", "ano", F.bround("_risk_score", 9).alias("risk_score"), F.col("_risk_label").alias("risk_label"))
 
 
+def _keyed_store(spark, df: DataFrame, name: str) -> str:
+    from ..sources.keystore import write_keyed
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    write_keyed(df, table, path)
+    return table
+
+
+@register("p6_store_lookup")
+def p6_store_lookup(spark, sf_dir):
+    """P6 on the key-clustered store: one bucket is read."""
+    from ..sources.keystore import lookup
+    return lookup(spark, _keyed_store(spark, scored_years(spark, sf_dir), "keyed"), LOOKUP_KEY).select(
+        "RA", "ano", F.bround("_risk_score", 9).alias("risk_score"), F.col("_risk_label").alias("risk_label"))
+
+
+@register("j3_store_semi_join")
+def j3_store_semi_join(spark, sf_dir):
+    """J3 on the key-clustered store: the stored side is not moved."""
+    from ..sources.keystore import stored_semi_join
+    table = _keyed_store(spark, T_.snapshot(spark, sf_dir, DEFAULT_YEAR), "keyed")
+    return stored_semi_join(spark, table, T_.requests(spark, sf_dir)).select("RA", "Nome")
+
+
 @register("p7_high_risk")
 def p7_high_risk(spark, sf_dir):
     return C.high_risk_rows(scored_years(spark, sf_dir)).select("RA", "ano", "_risk_label")
@@ -529,6 +575,22 @@ def a12_drift(spark, sf_dir):
     return D.psi_table(ref, cur, list(T_.LINE_FEATURES))
 
 
+@register("a12_drift_profile")
+def a12_drift_profile(spark, sf_dir):
+    """A12 against stored references: the states of two earlier periods are
+    published, merged without reading their rows again, and the profile made of
+    them is compared with the current period."""
+    from ..sources import bundles as B
+    li = T_.read_table(spark, sf_dir, "lineitem").select("l_shipdate", *T_.LINE_FEATURES)
+    ref = li.where(F.col("l_shipdate") < F.lit(f"{T_.DRIFT_SPLIT_YEAR}-01-01").cast("timestamp_ntz"))
+    early = F.col("l_shipdate") < F.lit(f"{T_.DRIFT_REF_YEAR}-01-01").cast("timestamp_ntz")
+    store, features = scratch_path(spark, "profiles"), list(T_.LINE_FEATURES)
+    paths = [B.publish(spark, f"{store}/{n}", {"values": D.value_counts(rows, features)}) for n, rows in (("early", ref.where(early)), ("late", ref.where(~early)))]
+    state = D.merged_counts([B.table(spark, p, "values") for p in paths])
+    profile = B.publish(spark, f"{store}/all", {"profile": D.reference_profile(state)})
+    return D.psi_against(B.table(spark, profile, "profile"), T_.feature_side(spark, sf_dir, current=True), features)
+
+
 @register("a13_status_summary")
 def a13_status_summary(spark, sf_dir):
     return D.status_summary(_pupil_drift(spark, sf_dir))
@@ -796,12 +858,14 @@ REQUEST_SCHEMA = T.StructType([T.StructField("RA", T.StringType()), T.StructFiel
 
 @register("t1_stream_scoring")
 def t1_stream_scoring(spark, sf_dir):
-    """Request files scored by a Structured Streaming job (availableNow)."""
-    from ..streaming import run_scoring
-    src, sink, ck = (scratch_path(spark, n) for n in ("t1-in", "t1-out", "t1-ck"))
+    """Request files scored by a Structured Streaming job (availableNow)
+    against the newest version of a stored snapshot."""
+    from ..streaming import publish_snapshot, run_scoring
+    src, sink, ck, store = (scratch_path(spark, n) for n in ("t1-in", "t1-out", "t1-ck", "t1-store"))
     IO.write_requests(T_.requests(spark, sf_dir), src)
-    run_scoring(spark, src, REQUEST_SCHEMA, T_.snapshot(spark, sf_dir, DEFAULT_YEAR), sink, ck)
-    return spark.read.parquet(sink)
+    publish_snapshot(spark, store, T_.snapshot(spark, sf_dir, DEFAULT_YEAR))
+    run_scoring(spark, src, REQUEST_SCHEMA, store, sink, ck, identity=["pos"])
+    return spark.read.parquet(sink).drop("epoch")
 
 
 @register("t2_stream_drift")

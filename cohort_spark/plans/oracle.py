@@ -760,3 +760,8 @@ UNION ALL SELECT 'acoes', 'sem_progresso', CAST((SELECT count(*) FROM l1) AS DOU
 UNION ALL SELECT 'acoes', 'proxima_fase', CAST((SELECT count(*) FROM l2) AS DOUBLE)
 UNION ALL SELECT 'alunos_alto_risco', 'linhas', CAST(least(15, (SELECT count(*) FROM sc WHERE ano = 1997 AND {HIGH})) AS DOUBLE)
 UNION ALL SELECT 'escolas', 'linhas', CAST((SELECT count(DISTINCT trim("Instituição de ensino")) FROM sc WHERE ano = 1997 AND trim("Instituição de ensino") <> '') AS DOUBLE)"""
+
+# ---- the same results by an index or a store
+for _name, _of in (("p2_indexed_search", "p2_search"), ("p4_indexed_search", "p4_search_pupils"), ("p6_store_lookup", "p6_lookup"),
+                   ("j3_store_semi_join", "j3_semi_join"), ("a12_drift_profile", "a12_drift")):
+    SQL[_name] = SQL[_of]

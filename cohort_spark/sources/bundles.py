@@ -63,10 +63,13 @@ def _finish(spark: SparkSession, path: str, version: str, number: int, sums: dic
     spark.createDataFrame([(version, number, sums)], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
 
 
-def newest(spark: SparkSession, root: str) -> str | None:
-    """Folder of the newest whole version; None where there is none."""
+def newest(spark: SparkSession, root: str, verify: bool = True) -> str | None:
+    """Folder of the newest whole version; None where there is none. Without
+    ``verify`` the manifest, which is written last, is taken at its word."""
     for m in _manifests(spark, root):
         path = f"{root}/version={m['version']}"
+        if not verify:
+            return path
         try:
             if all(digest(spark.read.parquet(f"{path}/{name}")) == (s["n"], s["digest"]) for name, s in m["tables"].items()):
                 return path

@@ -1,8 +1,8 @@
 """Structured Streaming jobs (T1, T2) built from the batch operators.
 
-T1 scores request records as they arrive: a stateless stream-static join
-with the stored snapshot (unknown keys kept, as received), then the rule
-scorer, appended to a sink.
+T1 scores request records as they arrive: each micro-batch is joined with the
+newest version of the stored snapshot (unknown keys kept, as received), then
+scored by the rule; a request that is sent again is scored once.
 
 T2 monitors drift continuously: the reference edges are fixed (computed once
 in batch, literals of the plan), arriving rows are binned against them and
@@ -28,6 +28,8 @@ from ..operators.reports import prediction_rows
 from ..operators.scoring import score_rule
 from ..profile import DEFAULT, Profile
 from ..session import ship_package
+from ..sources import bundles as B
+from ..sources import io as IO
 
 
 def scoring_stream(requests: DataFrame, base: DataFrame, prof: Profile = DEFAULT) -> DataFrame:
@@ -36,12 +38,38 @@ def scoring_stream(requests: DataFrame, base: DataFrame, prof: Profile = DEFAULT
     return prediction_rows(score_rule(enriched, prof), prof=prof)
 
 
-def run_scoring(spark: SparkSession, request_dir: str, schema: T.StructType, base: DataFrame, sink_dir: str,
-                checkpoint_dir: str) -> None:
-    """Run T1 over the files present now (``availableNow``) into a Parquet sink."""
+def publish_snapshot(spark: SparkSession, store_dir: str, base: DataFrame) -> str:
+    """Write the static side of T1 as a new version of the store."""
+    return B.publish(spark, store_dir, {"snapshot": base})
+
+
+def run_scoring(spark: SparkSession, request_dir: str, schema: T.StructType, store_dir: str, sink_dir: str,
+                checkpoint_dir: str, identity: list[str] | None = None, retry_window: str = "1 day") -> None:
+    """Run T1 over the files that came since the last run (``availableNow``).
+
+    Every micro-batch joins the newest version of the stored snapshot
+    (:func:`publish_snapshot`), read from the store, so a new snapshot holds from
+    the next batch on and a running stream need not be restarted. A batch is one
+    folder of the sink, which a retried batch overwrites. With ``identity``
+    columns a request that is sent again within ``retry_window`` of its first
+    arrival (by the times of the files) is scored once; requests without an
+    identity are all scored."""
     stream = spark.readStream.schema(schema).json(request_dir)
-    q = (scoring_stream(stream, base).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start(sink_dir))
+    if identity:
+        stream = stream.select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
+        known = F.coalesce(*[F.col(f"`{c}`").isNotNull() for c in identity][:1])
+        for c in identity[1:]:
+            known = known & F.col(f"`{c}`").isNotNull()
+        stream = stream.withColumn("_identity", F.when(known, F.to_json(F.struct(*[F.col(f"`{c}`") for c in identity]))).otherwise(F.uuid()))
+        stream = stream.withWatermark("_arrived", retry_window).dropDuplicatesWithinWatermark(["_identity"]).drop("_arrived", "_identity")
+
+    def emit(batch: DataFrame, epoch: int) -> None:
+        path = B.newest(spark, store_dir, verify=False)
+        if path is None:
+            raise IO.SnapshotError(f"no snapshot published in {store_dir}")
+        scoring_stream(batch, B.table(spark, path, "snapshot")).write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch}")
+
+    q = (stream.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(emit).trigger(availableNow=True).start())
     q.awaitTermination()
 
 

@@ -1,12 +1,13 @@
 """Stream = batch: T1 over files equals the batch plan on the same records."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohort_spark.plans.catalog import REQUEST_SCHEMA
 from cohort_spark.session import scratch_path
 from cohort_spark.sources import io as IO
 from cohort_spark.sources import tables as T_
-from cohort_spark.streaming import (drift_windows, late_rows, psi_of_windows, reference_shares, run_drift_monitor, run_scoring,
+from cohort_spark.streaming import (drift_windows, late_rows, psi_of_windows, publish_snapshot, reference_shares, run_drift_monitor, run_scoring,
                                     scoring_stream, windowed_bin_counts)
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,7 +18,9 @@ def test_stream_scoring_equals_batch(spark):
     reqs = T_.requests(spark, SMALL)
     IO.write_requests(reqs, src)
     base = T_.snapshot(spark, SMALL, 1996)
-    run_scoring(spark, src, REQUEST_SCHEMA, base, sink, ck)
+    store = scratch_path(spark, "t-store")
+    publish_snapshot(spark, store, base)
+    run_scoring(spark, src, REQUEST_SCHEMA, store, sink, ck)
     got = spark.read.parquet(sink)
     want = scoring_stream(spark.read.schema(REQUEST_SCHEMA).json(src), base)
     cols = sorted(want.columns)
@@ -78,3 +81,29 @@ def test_rows_after_their_window_closed_are_reported(spark):
     assert sorted(map(tuple, drift_windows(spark, sink).where("closed").collect())) == before
     assert late_rows(spark, sink).agg(F.sum("late_count")).first()[0] == 40
     assert drift_windows(spark, sink).agg(F.sum("cur_count")).first()[0] == 305
+
+
+def test_resent_requests_and_a_new_snapshot(spark):
+    """A file sent again is scored once; the next run's requests meet the snapshot published in between."""
+    src, sink, ck, store = (scratch_path(spark, n) for n in ("r-in", "r-out", "r-ck", "r-store"))
+    base = T_.snapshot(spark, SMALL, 1996)
+    key = base.orderBy("RA").first()["RA"]
+    schema = REQUEST_SCHEMA
+
+    def send(*rows):
+        spark.createDataFrame([(r, p, None, None, "c") for r, p in rows], schema).coalesce(1).write.mode("append").json(src)
+
+    def scores():
+        return sorted((r["ra"], r["risk_score"]) for r in spark.read.parquet(sink).collect())
+    publish_snapshot(spark, store, base.withColumn("INDE 22", F.lit(2.0)))
+    send((key, 1), (key, 2), (key, None), (key, None))
+    run_scoring(spark, src, schema, store, sink, ck, identity=["pos"])
+    assert scores() == [(key, 0.8)] * 4
+    publish_snapshot(spark, store, base.withColumn("INDE 22", F.lit(9.0)))
+    send((key, 2), (key, 3), (key, 3))  # 2 was there before, 3 comes twice
+    run_scoring(spark, src, schema, store, sink, ck, identity=["pos"])
+    assert scores() == [(key, pytest.approx(0.1))] + [(key, 0.8)] * 4
+    plan = spark.read.parquet(sink)
+    assert plan.select("epoch").distinct().count() >= 2
+    with pytest.raises(Exception, match="no snapshot published"):
+        run_scoring(spark, src, schema, store + "-none", sink, scratch_path(spark, "r-ck2"))

@@ -361,3 +361,9 @@ def test_short_documents_are_packed_by_their_exact_length(spark, docs_of):  # no
     for r in got.orderBy("sequence_id", "offset").collect():
         assert r["offset"] == again.get(r["sequence_id"], 0)
         again[r["sequence_id"]] = r["offset"] + r["length"]
+
+
+def test_counts_beyond_32_bits_are_served_whole():
+    from cohort_spark.llm.lm_score import _narrow
+    for x, kind in ((np.array([3, 2**32 - 1]), np.uint32), (np.array([3, 2**32 + 5]), np.int64), (np.zeros((3, 0), np.int64), np.uint32)):
+        assert _narrow(x).dtype == kind and (_narrow(x) == x).all()

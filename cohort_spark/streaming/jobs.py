@@ -13,6 +13,8 @@ computed in ``foreachBatch`` against the reference shares.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -154,13 +156,17 @@ class WindowCounts(StatefulProcessor):
             yield Row(window_start=key[0], window_end=key[1], feature=key[2], bin=b[0], c=c[0], kind=kind)
 
     def handleInputRows(self, key, rows, timerValues):
+        come = Counter()
+        for r in rows:
+            come[r["bin"]] += r["c"]
         if key[1] <= timerValues.getCurrentWatermarkInMs():
-            for r in rows:
-                yield Row(window_start=key[0], window_end=key[1], feature=key[2], bin=r["bin"], c=r["c"], kind="late")
+            for b, c in come.items():
+                yield Row(window_start=key[0], window_end=key[1], feature=key[2], bin=b, c=c, kind="late")
             return
-        for r in rows:
-            known = self.counts.getValue((r["bin"],)) if self.counts.containsKey((r["bin"],)) else (0,)
-            self.counts.updateValue((r["bin"],), (known[0] + r["c"],))
+        # the state is asked once a batch and bin, whatever the rows
+        for b, c in come.items():
+            known = self.counts.getValue((b,)) if self.counts.containsKey((b,)) else (0,)
+            self.counts.updateValue((b,), (known[0] + c,))
         self.handle.registerTimer(key[1])
         yield from self._told(key, "open")
 
@@ -172,14 +178,24 @@ class WindowCounts(StatefulProcessor):
         pass
 
 
+#: Counts of a feature that a task holds before it adds them up or hands them on.
+HELD_COUNTS = 1 << 16
+
+
+def _added(counts: list[pa.Table], keys: list[str]) -> pa.Table:
+    """Sums of ``c`` by ``keys`` over several tables."""
+    t = pa.concat_tables(counts).group_by(keys).aggregate([("c", "sum")])
+    return t.rename_columns({"c_sum": "c"}).select([*keys, "c"])
+
+
 WINDOW_COUNTS = "window_start bigint, window_end bigint, feature string, bin int, c bigint, kind string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def window_states(stream: DataFrame, edges: dict[str, list[float]], time_col: str, window: str, watermark: str) -> DataFrame:
     """T2 stateful part: bin counts of windows (milliseconds), told as ``open``,
-    ``closed`` or ``late``. Each batch is counted map-side before the shuffle to
-    the state, so a hot window costs one row a task and bin."""
+    ``closed`` or ``late``. Each task counts its rows before the shuffle to the
+    state, so a hot window costs one row a task and bin."""
     types = {f.name: f.dataType for f in stream.schema.fields}
     feats = [f for f in edges if f in types]
     at = stream.select(F.col(time_col).cast("timestamp").alias("ts"), *[bin_against(to_double(R.c(f), types[f]), edges[f]).alias(f"b{i}") for i, f in enumerate(feats)])
@@ -188,14 +204,25 @@ def window_states(stream: DataFrame, edges: dict[str, list[float]], time_col: st
     wide = at.withWatermark("ts", watermark).select(win.alias("w"), *[f"b{i}" for i in range(len(feats))]).select(
         F.unix_millis("w.start").alias("window_start"), F.unix_millis("w.end").alias("window_end"), *[f"b{i}" for i in range(len(feats))])
 
+    keys = ["window_start", "window_end", "bin"]
+
+    def told(f, t):
+        t = t.append_column("feature", pa.array([f] * t.num_rows, pa.string()))
+        return t.select(["window_start", "window_end", "feature", "bin", "c"]).to_batches()
+
     def counted(batches):
+        held = {f: [] for f in feats}
         for b in batches:
-            ends = b.column(1)
             for i, f in enumerate(feats):
-                t = pa.table([b.column(0), ends, b.column(2 + i)], names=["window_start", "window_end", "bin"]).drop_null()
-                t = t.group_by(["window_start", "window_end", "bin"]).aggregate([([], "count_all")]).rename_columns(["window_start", "window_end", "bin", "c"])
-                t = t.append_column("feature", pa.array([f] * t.num_rows, pa.string())).select(["window_start", "window_end", "feature", "bin", "c"])
-                yield from t.to_batches()
+                t = pa.table([b.column(0), b.column(1), b.column(2 + i)], names=keys).drop_null()
+                held[f].append(t.group_by(keys).aggregate([([], "count_all")]).rename_columns([*keys, "c"]))
+                if sum(t.num_rows for t in held[f]) > HELD_COUNTS:
+                    held[f] = [_added(held[f], keys)]
+                    if held[f][0].num_rows > HELD_COUNTS // 2:  # more windows than a task holds
+                        yield from told(f, held[f].pop())
+        for f in feats:
+            if held[f]:
+                yield from told(f, _added(held[f], keys))
     counts = wide.mapInArrow(counted, "window_start bigint, window_end bigint, feature string, bin int, c bigint")
     return counts.groupBy("window_start", "window_end", "feature").transformWithState(WindowCounts(), WINDOW_COUNTS, "Update", "EventTime")
 

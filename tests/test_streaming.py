@@ -107,3 +107,58 @@ def test_resent_requests_and_a_new_snapshot(spark):
     assert plan.select("epoch").distinct().count() >= 2
     with pytest.raises(Exception, match="no snapshot published"):
         run_scoring(spark, src, schema, store + "-none", sink, scratch_path(spark, "r-ck2"))
+
+
+class _Counts:
+    """A map state that notes how often it is asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def containsKey(self, k):
+        self.asked += 1
+        return k in self.held
+
+    def getValue(self, k):
+        return self.held[k]
+
+    def updateValue(self, k, v):
+        self.held[k] = v
+
+    def iterator(self):
+        return iter(self.held.items())
+
+
+def test_the_state_is_asked_once_a_bin_and_batch():
+    """Many counts of one bin, as many tasks send them, are added up before the state is asked."""
+    from types import SimpleNamespace
+
+    from cohort_spark.streaming.jobs import WindowCounts
+    p = WindowCounts()
+    p.counts, p.handle = _Counts(), SimpleNamespace(registerTimer=lambda end: None)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 5)
+    for _ in range(2):
+        told = list(p.handleInputRows((0, 10, "f"), iter([{"bin": i % 3, "c": 2} for i in range(300)]), now))
+    assert p.counts.asked == 6 and sorted((r["bin"], r["c"], r["kind"]) for r in told) == [(b, 400, "open") for b in range(3)]
+    late = list(p.handleInputRows((0, 5, "f"), iter([{"bin": 1, "c": 2}] * 4), now))
+    assert [(r["bin"], r["c"], r["kind"]) for r in late] == [(1, 8, "late")] and p.counts.asked == 6
+
+
+def test_a_task_hands_on_one_count_for_each_window_and_bin(spark, monkeypatch):
+    """What a task sends to the state follows its windows and bins, not the batches it reads; more windows than it holds are handed on in parts."""
+    from cohort_spark.streaming import jobs as J
+    sent = {}
+
+    def keep(counts, *keys):
+        sent["rows"] = counts
+        raise StopIteration
+    rows = spark.range(50_000, numPartitions=1).select(F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id % 400 as int))").alias("t"), (F.col("id") % 20).cast("double").alias("f"))
+    monkeypatch.setattr(type(rows), "groupBy", keep)
+    for held in (1 << 16, 8):
+        monkeypatch.setattr(J, "HELD_COUNTS", held)
+        with pytest.raises(StopIteration):
+            J.window_states(rows, {"f": [0.0, 10.0, 19.0]}, "t", "90 days", "30 days")
+        got = sent["rows"].collect()
+        assert sum(r["c"] for r in got) == 50_000
+        if held > 8:
+            assert len(got) == len({(r["window_start"], r["bin"]) for r in got}) < 20

@@ -20,8 +20,9 @@ run again gives the same sums.
 
 Rows are held as blocks of numpy arrays in a persisted RDD, because a fit is
 about ``rounds * depth`` dependent steps over the same rows, each a small job:
-as DataFrame jobs they would mostly be planned. The margins are
-kept every ``KEEP_EVERY`` rounds, and the lineage is cut by a checkpoint in the
+as DataFrame jobs they would mostly be planned. Bins take as few bytes as hold
+them, and rows go down a tree as lists of row numbers, each split reading its
+own feature of its own rows. The margins are kept every ``KEEP_EVERY`` rounds, and the lineage is cut by a checkpoint in the
 shared folder every ``CUT_EVERY`` times."""
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from .ranks import running_totals
 BLOCK = 1 << 14
 #: Rounds after which the margins are kept anew (in between, the last trees are applied on the way), and
 #: how many of these steps the lineage may hold.
-KEEP_EVERY = 10
-CUT_EVERY = 5
+KEEP_EVERY = 5
+CUT_EVERY = 10
 LEAST_HESSIAN = 1e-3
 SCALE_BITS = 24
 
@@ -126,7 +127,7 @@ def layout(df: DataFrame, categories: DataFrame, categorical: list[str], numeric
 
 
 def binned(df: DataFrame, lay: Layout, categories: DataFrame, label: str, weight: str) -> RDD:
-    """Blocks (x, y, w, margin) of rows: bins as int32 (features, rows)."""
+    """Blocks (x, y, w, margin) of rows: bins (features, rows) as integers of as few bytes as hold them."""
     coded = df
     for i, c in enumerate(lay.categorical):
         d = categories.where(F.col("feature") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
@@ -134,11 +135,12 @@ def binned(df: DataFrame, lay: Layout, categories: DataFrame, label: str, weight
     coded = coded.select(*[F.col(f"_c{i}") for i in range(len(lay.categorical))], *[F.col(f"`{c}`").cast("double").alias(f"_n{i}") for i, c in enumerate(lay.numeric)],
                          F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"))
     n_cat = len(lay.categorical)
+    kind = np.min_scalar_type(int(lay.bins.max(initial=0)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(a, BLOCK) for a in range(0, b.num_rows, BLOCK)):
-                x = np.empty((len(lay.bins), part.num_rows), np.int32)
+                x = np.empty((len(lay.bins), part.num_rows), kind)
                 for f in range(len(lay.bins)):
                     if f < n_cat:
                         x[f] = part.column(f).fill_null(int(lay.bins[f])).to_numpy()
@@ -151,41 +153,41 @@ def binned(df: DataFrame, lay: Layout, categories: DataFrame, label: str, weight
 
     def unpack(row):
         y = np.frombuffer(row["y"])
-        return np.frombuffer(row["x"], np.int32).reshape(n_features, -1), y, np.frombuffer(row["w"]), np.zeros(len(y))
+        return np.frombuffer(row["x"], kind).reshape(n_features, -1), y, np.frombuffer(row["w"]), np.zeros(len(y))
     return coded.mapInArrow(pack, "x binary, y binary, w binary").rdd.map(unpack)
 
 
 # ------------------------------------------------------------------- growing
 
-def _nodes(x: np.ndarray, tree: dict[int, Split], levels: int, bins: np.ndarray, n_cat: int) -> np.ndarray:
-    """The node (heap number, root 1) that each row has reached."""
-    node = np.ones(x.shape[1], np.int64)
-    if not tree:
-        return node
-    size = max(tree) + 1
-    feature, cut, missing = np.full(size, LEAF), np.zeros(size, np.int64), np.zeros(size, bool)
-    for k, s in tree.items():
-        feature[k], cut[k], missing[k] = s.feature, s.cut, s.missing_left
-    rows = np.arange(x.shape[1])
-    for _ in range(levels):
-        known = np.minimum(node, size - 1)
-        f = np.where(node < size, feature[known], LEAF)
-        on = f >= 0
-        if not on.any():
-            break
-        at = np.maximum(f, 0)
-        v, c = x[at, rows], cut[known]
-        left = np.where(at < n_cat, v == c, np.where(v == bins[at], missing[known], v <= c))
-        node = np.where(on, 2 * node + ~left, node)
-    return node
-
-
-def _leaf_values(node: np.ndarray, tree: dict[int, Split]) -> np.ndarray:
-    value = np.zeros(max(tree, default=1) + 1)
-    for k, s in tree.items():
-        if s.feature == LEAF:
-            value[k] = s.value
-    return value[node]
+def _reached(x: np.ndarray, tree: dict[int, Split], bins: np.ndarray, n_cat: int) -> Iterator[tuple[int, np.ndarray | None]]:
+    """The nodes (heap number, root 1) at which rows end, with the numbers of their rows (None: all)."""
+    open_: list[tuple[int, np.ndarray | None]] = [(1, None)]
+    while open_:
+        k, rows = open_.pop()
+        s = tree.get(k)
+        if s is None or s.feature == LEAF:
+            yield k, rows
+            continue
+        v = x[s.feature] if rows is None else x[s.feature][rows]
+        if s.feature < n_cat:
+            left = v == s.cut
+        else:
+            left = v <= s.cut
+            if s.missing_left:
+                left |= v == bins[s.feature]
+        for child, on in ((2 * k, left), (2 * k + 1, ~left)):
+            at = np.flatnonzero(on) if rows is None else rows[on]
+            if len(at):
+                open_.append((child, at))
+
+
+def _added(margin: np.ndarray, x: np.ndarray, trees, bins: np.ndarray, n_cat: int) -> np.ndarray:
+    """Margins with the leaf values of ``trees``, in their order."""
+    margin = margin.copy()
+    for tree in trees:
+        for k, rows in _reached(x, tree, bins, n_cat):
+            margin[slice(None) if rows is None else rows] += tree[k].value
+    return margin
 
 
 def _gradients(y, w, margin, scale) -> tuple[np.ndarray, np.ndarray]:
@@ -197,21 +199,17 @@ def _sums(block, tree, nodes: list[int], bins, offset, n_cat, scale) -> np.ndarr
     """Sums of (rows, gradient, hessian) by (node of ``nodes``, all of one level; feature and bin)."""
     x, y, w, margin = block
     out = np.zeros((3, len(nodes), int(offset[-1])), np.int64)
-    reached = _nodes(x, tree, nodes[0].bit_length() - 1, bins, n_cat)
-    place = np.full(max(2 * max(nodes), int(reached.max(initial=0))) + 1, -1)
-    place[nodes] = np.arange(len(nodes))
-    at = place[reached]
-    rows = np.flatnonzero(at >= 0)
-    if len(rows):
-        g, h = _gradients(y[rows], w[rows], margin[rows], scale)
-        at = at[rows]
+    place = {k: i for i, k in enumerate(nodes)}
+    for k, rows in _reached(x, tree, bins, n_cat):
+        if k not in place:
+            continue
+        g, h = (v.astype(np.float64) for v in (_gradients(y, w, margin, scale) if rows is None else _gradients(y[rows], w[rows], margin[rows], scale)))
         for f in range(len(bins)):
             size = int(bins[f]) + 1
-            key = at * size + x[f][rows]
+            key = x[f] if rows is None else x[f][rows]
             for i, v in enumerate((None, g, h)):
                 # floats of whole numbers: a block's sums are below 2^53
-                s = np.bincount(key, v, len(nodes) * size).reshape(len(nodes), size)
-                out[i, :, offset[f]: offset[f] + size] = np.rint(s).astype(np.int64)
+                out[i, place[k], offset[f]: offset[f] + size] = np.rint(np.bincount(key, v, size)).astype(np.int64)
     return out
 
 
@@ -295,11 +293,9 @@ def fit(df: DataFrame, categorical: list[str], numeric: list[str], categories: D
         state = blocks.coalesce(-(-rows // BLOCK))  # small steps: no more tasks than blocks
     later: list[dict[int, Split]] = [{1: Split(LEAF, 0, False, base, 0, 0.0, 0.0)}]  # trees not yet in the margins of ``state``
 
-    def moved(b, trees, depth=params.depth):
+    def moved(b, trees):
         x, y, w, margin = b
-        for tree in trees:
-            margin = margin + _leaf_values(_nodes(x, tree, depth, bins, n_cat), tree)
-        return x, y, w, margin
+        return x, y, w, _added(margin, x, trees, bins, n_cat)
     for t in range(params.rounds):
         before = None
         if len(later) == KEEP_EVERY or t == 0:

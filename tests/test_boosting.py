@@ -136,3 +136,15 @@ def test_degenerate_inputs(spark):
     assert all(t[1].feature == G.LEAF for t in model.trees)
     with pytest.raises(ValueError):
         G.fit(one.limit(0), ["s"], ["v"], G.category_table(one, ["s"]))
+
+
+def test_bins_take_as_few_bytes_as_hold_them(spark, fitted):
+    """A step reads all bins: one byte each where a feature has up to 255 of them, more for larger dictionaries."""
+    _, p, df, categories, _ = fitted
+    lay = G.layout(df, categories, ["color"], ["a", "b"], p.bins)
+    assert {b[0].dtype.itemsize for b in G.binned(df, lay, categories, "y", "w").collect()} == {1}
+    many = df.select(F.concat(F.lit("c"), F.monotonically_increasing_id().cast("string")).alias("color"), "a", "b", "y", "w").localCheckpoint()
+    names = G.category_table(many, ["color"])
+    wide = G.layout(many, names, ["color"], ["a", "b"], p.bins)
+    blocks = G.binned(many, wide, names, "y", "w").collect()
+    assert {b[0].dtype.itemsize for b in blocks} == {2} and sorted(x for b in blocks for x in b[0][0]) == list(range(400))

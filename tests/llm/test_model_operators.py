@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD, docs_of, words_of  # noqa: F401  (docs_of is a fixture)
 from hypothesis import given, settings
@@ -87,6 +88,75 @@ def test_seating_keeps_its_customers():
         assert (tables >= 1).all() and (tables <= customers).all() and (np.diff(s.dish) >= 0).all()
 
 
+def test_lm_contexts_are_whole_words(spark, docs_of):
+    """Two words of one class (the same last three bytes) are followed by words of their own."""
+    r = random.Random(4)
+    after = {"soothe": [f"left{i}" for i in range(5)], "bathe": [f"right{i}" for i in range(5)]}
+    rows = [(i, " ".join(w for _ in range(20) for h in [r.choice(list(after))] for w in (h, r.choice(after[h])))) for i in range(60)]
+    tests = {(h, f): i for i, (h, f) in enumerate(((h, f) for h in after for f in after), 1000)}
+    rows += [(i, " ".join(w for x in after[f] for w in (h, x))) for (h, f), i in tests.items()]
+    got = {x.doc_id: x for x in LM.score(docs_of(rows), F.col("doc_id") < 1000).collect()}
+    for h in after:
+        own, other = (got[tests[h, f]] for f in sorted(after, key=lambda f: f != h))
+        assert own.n_known == own.n_tokens == other.n_known == 11
+        assert own.score > other.score + 5  # five words that follow one in five times, or never
+
+
+def test_lm_probabilities_sum_to_one_after_each_word():
+    """Over the vocabulary and one unknown word, after every word of the vocabulary, over groups and shards."""
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choices(vocabulary, weights=range(12, 0, -1), k=25)) for _ in range(40)]
+    every = [f"{a} {b}" for a in vocabulary for b in [*vocabulary, "unknown"]] + vocabulary + ["unknown"] + vocabulary
+    groups = [(texts[:20], True), (texts[20:], True), (every, False)]
+    shards, parts, got, asked, sums = 3, [], [], {}, {}
+    for g, (t, train) in enumerate(groups):
+        for s, data in LM._requests(pa.table({"text": t, "train": [train] * len(t)}), shards):
+            asked.setdefault(s, []).append((g, data))
+    table = lambda rows: pa.table({k: list(c) for k, c in zip(("grp", "shard", "data"), zip(*rows))})
+    for s, rows in asked.items():
+        for row in LM._serve(table([(g, s, d) for g, d in rows]), shards):
+            if row[0] in (LM.PARTS, LM.ASKED):
+                sums.setdefault(row[1], []).append(row)
+            else:
+                (got if row[0] >= 0 else parts).append(row)
+    for rows in sums.values():
+        got += LM._words_before(table(rows))
+    totals = LM.Totals([LM._unpack(d) for _, _, d in parts])
+    assert totals.tokens == sum(len(t.split()) + 1 for t in texts) and totals.vocabulary == 13
+    tok, ctx, size = LM.tokens(pa.array(every))
+    pairs = LM.Pairs(tok, ctx, grams=True)
+    of_word, *more = LM._answered(pairs, table([x for x in got if x[0] == 2]), shards)
+    prob = totals.gram_probability(pairs, of_word, *more)[pairs.gram_of]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    n = len(vocabulary)
+    for i in range(n):  # the words after this one, an unknown one, and the end
+        mass = sum(prob[begin[i * (n + 1) + j] + 1] for j in range(n + 1)) + prob[begin[n * (n + 1) + i] + 1]
+        assert mass == pytest.approx(1, abs=1e-9)
+    # tables of a context are those that its words got, and no more than its customers
+    _, _, _, _, gram_count, gram_tables, before = LM._answered(pairs, table([x for x in got if x[0] == 2]), shards)
+    for s in range(LM.SAMPLES):
+        mine = np.bincount(pairs.before, weights=gram_tables[s], minlength=len(of_word))
+        inner = of_word > 0
+        assert ((gram_tables[s] >= 1) == (gram_count >= 1)).all() and (gram_tables[s] <= gram_count).all()
+        assert (mine[inner] <= before[s][inner]).all() and (before[s] <= of_word).all()
+
+
+def test_many_customers_come_and_go_at_once():
+    """Hundreds of customers of one dish follow the tables above, and parent customers follow them."""
+    r = np.random.default_rng(5)
+    word, context = np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
+    s = LM.Seating(word, context, np.array([2000, 3, 1] * 4), 4, 1.0, 1)
+    expected = s.count.copy()
+    for _ in range(6):
+        left, come = r.integers(0, 4, 900) * 3, r.integers(0, 12, 700)
+        expected += np.bincount(come, minlength=12) - np.bincount(left, minlength=12)
+        s.round(left, come)
+        assert (s.count == expected).all() and (s.size > 0).all()
+        assert (np.bincount(s.dish, weights=s.size, minlength=12) == expected).all()
+        assert (s.parent()[0] == np.bincount(word, weights=s.tables(), minlength=4)).all()
+
+
 def test_lm_odd_texts(spark, docs_of):
     out = LM.score(docs_of(ODD), F.lit(True)).collect()
     assert sorted((r.n_tokens for r in out)) == sorted(len(words_of(t)) + 1 for _, t in ODD)

@@ -191,6 +191,40 @@ def test_line_dedup_of_lines_one_word_longer(spark, docs_of):
     assert {r.doc_id: r.n_removed for r in dedup_lines(docs_of(rows), threshold=60).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0}
 
 
+@pytest.mark.parametrize("k,phrase", [(5, 20), (5, 55), (1, 8)])
+def test_line_dedup_with_frequent_runs(spark, docs_of, monkeypatch, k, phrase):
+    """Runs of many lines come last in the order: lines that keep enough others, and lines that have to be ordered anew."""
+    from cohort_spark.llm import line_dedup as L
+    monkeypatch.setattr(L, "FREQUENT", 6)
+    r = random.Random(k + phrase)
+    common = [f"c{i}" for i in range(phrase)]
+    rows = []
+    for i in range(60):
+        w = [f"x{i}_{j}" for j in range(r.randint(0, 40))]
+        w[len(w) // 2: len(w) // 2] = common
+        if rows and r.random() < 0.3:
+            w = words_of(rows[-1][1])
+            w[r.randrange(len(w))] = f"y{i}"
+        sep = r.choice([" ", "  ", "\t", " \x0b", "\r "])
+        rows.append((i, sep.join(w).capitalize() + sep))
+    rows += [(100 + i, t) for i, t in enumerate(t for _, t in corpus(7, n=40, words=90))] + [(None, rows[3][1]), (3, rows[3][1])]
+    got = dedup_lines(docs_of(rows), k).collect()
+    assert sorted(((x.doc_id, x.text, x.n_lines, x.n_removed) for x in got), key=repr) == brute_lines(rows, k)
+
+
+def test_frequent_runs_pair_no_lines(spark):
+    """Of lines that share a passage and nothing else, none meet in the joins; a run of all words of a line stays."""
+    from pyspark.sql import functions as F
+
+    from cohort_spark.llm import line_dedup as L
+    passage = " ".join(f"c{i}" for i in range(20))
+    rows = [(i, 0, " ".join(f"x{i}_{j}" for j in range(60)) + " " + passage) for i in range(200)]
+    firsts = L._first_lines(spark.createDataFrame(rows, "doc_id bigint, tie bigint, text string"), 5, 80)
+    each = firsts.select("key", F.explode("prefix").alias("token"))
+    assert firsts.count() == 200 and each.count() == 200 * (76 - 61 + 1)
+    assert each.groupBy("token").count().where("count > 1").count() == 0
+
+
 def brute_tiles(item, doc, m):
     """Greedy string tiling by definition."""
     fi, fd, tiles = [True] * len(item), [True] * len(doc), []

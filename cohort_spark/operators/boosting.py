@@ -18,34 +18,52 @@ Gradients are summed as integers (multiples of 2^-24 of the greatest weight), so
 the model does not depend on how the rows are partitioned, and a task that is
 run again gives the same sums.
 
-Rows are held as blocks of numpy arrays in a persisted RDD, because a fit is
-about ``rounds * depth`` dependent steps over the same rows, each a small job:
-as DataFrame jobs they would mostly be planned. Bins take as few bytes as hold
-them, and rows go down a tree as lists of row numbers, each split reading its
-own feature of its own rows. The margins are kept every ``KEEP_EVERY`` rounds, and the lineage is cut by a checkpoint in the
-shared folder every ``CUT_EVERY`` times."""
+Rows are held as blocks of numpy arrays, bins in as few bytes as hold them, and
+go down a tree as lists of row numbers, each split reading its own feature of
+its own rows. A fit is about ``rounds * depth`` dependent steps over the same
+rows, so the steps are not jobs: all rounds are one barrier stage, whose tasks
+hold their blocks and tell each other sums and splits through files in the
+shared folder (:class:`Exchange`). Sums are added up along a tree of tasks, so a
+task reads as much however many there are. A task that is lost makes Spark run
+the stage anew, which gives the same trees.
+
+Where that cannot be (blocks too large for the memory of the tasks, executors
+that come and go, a shared folder that tasks cannot open), each step is a job
+over the persisted blocks. The margins are then kept every ``KEEP_EVERY`` rounds, and
+the lineage is cut by a checkpoint in the shared folder every ``CUT_EVERY``
+times. Both ways add the same integers and grow the same trees."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import pickle
+import time
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path, shared_dir
 from .ranks import running_totals
 
 BLOCK = 1 << 14
+COUNT_BITS = 15  # hold the rows of a block
 #: Rounds after which the margins are kept anew (in between, the last trees are applied on the way), and
 #: how many of these steps the lineage may hold.
 KEEP_EVERY = 5
 CUT_EVERY = 10
 LEAST_HESSIAN = 1e-3
 SCALE_BITS = 24
+#: Bytes of blocks, with what a round adds to them, that a task of the barrier stage may hold.
+TASK_BYTES = 256 << 20
+#: Tasks whose sums a task adds to its own.
+FAN_IN = 16
+#: Seconds until the first word of the others (after it, the folder is known to be shared), and any later one.
+FIRST_WORD, LATER_WORD = 60, 6 * 3600
 
 
 class Params(NamedTuple):
@@ -159,16 +177,16 @@ def binned(df: DataFrame, lay: Layout, categories: DataFrame, label: str, weight
 
 # ------------------------------------------------------------------- growing
 
-def _reached(x: np.ndarray, tree: dict[int, Split], bins: np.ndarray, n_cat: int) -> Iterator[tuple[int, np.ndarray | None]]:
-    """The nodes (heap number, root 1) at which rows end, with the numbers of their rows (None: all)."""
-    open_: list[tuple[int, np.ndarray | None]] = [(1, None)]
+def _reached(x: np.ndarray, tree: dict[int, Split], bins: np.ndarray, n_cat: int, begin=((1, None),)) -> Iterator[tuple[int, np.ndarray | None]]:
+    """The nodes (heap number, root 1) at which rows end, with the numbers of their rows (None: all), from the nodes where they are."""
+    open_: list[tuple[int, np.ndarray | None]] = list(begin)
     while open_:
         k, rows = open_.pop()
         s = tree.get(k)
         if s is None or s.feature == LEAF:
             yield k, rows
             continue
-        v = x[s.feature] if rows is None else x[s.feature][rows]
+        v = x[s.feature] if rows is None else x[s.feature].take(rows)
         if s.feature < n_cat:
             left = v == s.cut
         else:
@@ -176,7 +194,7 @@ def _reached(x: np.ndarray, tree: dict[int, Split], bins: np.ndarray, n_cat: int
             if s.missing_left:
                 left |= v == bins[s.feature]
         for child, on in ((2 * k, left), (2 * k + 1, ~left)):
-            at = np.flatnonzero(on) if rows is None else rows[on]
+            at = np.flatnonzero(on) if rows is None else rows.take(np.flatnonzero(on))  # faster than by a mask
             if len(at):
                 open_.append((child, at))
 
@@ -213,32 +231,67 @@ def _sums(block, tree, nodes: list[int], bins, offset, n_cat, scale) -> np.ndarr
     return out
 
 
-def best_split(n, g, h, lay: Layout, p: Params, scale: float) -> Split:
-    """The split of a node that gains most (first feature, cut and missing side among equals), or a leaf."""
-    at = slice(int(lay.offset[0]), int(lay.offset[1]))  # any feature's bins hold all rows of the node
-    rows, gs, hs = int(n[at].sum()), int(g[at].sum()), int(h[at].sum())
-    whole = (gs / scale) ** 2 / (hs / scale + p.l2)
-    best = (0.0, None)
-    for f, (nl, gl, hl, cut, missing) in enumerate(candidates(n, g, h, lay)):
-        if not len(cut):
+class Sides(NamedTuple):
+    """The left sides of all splits, as places in the sums of a node: those of the slots
+    ``begin`` to ``end``, and of ``missing`` (the slot behind all where missing values
+    are on the right); those of feature f from ``of[f]`` on, in the order of :func:`candidates`."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    missing: np.ndarray
+    cut: np.ndarray
+    missing_left: np.ndarray
+    of: np.ndarray
+
+
+def sides(lay: Layout) -> Sides:
+    none, parts, of = int(lay.offset[-1]), [], [0]
+    for f in range(len(lay.bins)):
+        a, b = int(lay.offset[f]), int(lay.offset[f] + lay.bins[f])
+        at = np.arange(a, b)
+        if f < len(lay.categorical):
+            parts.append(np.array([at, at + 1, np.full(b - a, none), at - a, np.zeros(b - a, np.int64)]))
+        else:
+            cut, ones = at[:-1] - a, np.ones(b - a - 1, np.int64)
+            parts.append(np.array([np.r_[a * ones, a * ones, a], np.r_[at[1:], at[1:], b], np.r_[none * ones, b * ones, none],
+                                   np.r_[cut, cut, b - a - 1], np.r_[0 * ones, ones, 0]]))
+        of.append(of[-1] + parts[-1].shape[1])
+    begin, end, missing, cut, left = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+    return Sides(begin, end, missing, cut, left.astype(bool), np.array(of))
+
+
+def best_splits(sums: np.ndarray, lay: Layout, every: Sides, p: Params, scale: float) -> list[Split]:
+    """The split of each node that gains most (first feature, cut and missing side among
+    equals), or a leaf; ``sums`` are those of (rows, gradient, hessian) by node, feature and bin."""
+    whole = sums[:, :, int(lay.offset[0]): int(lay.offset[1])].sum(axis=2)  # any feature's bins hold all rows of the node
+    rows, gs, hs = whole[0][:, None], whole[1][:, None] / scale, whole[2][:, None] / scale
+    upto = np.zeros((3, sums.shape[1], sums.shape[2] + 1), np.int64)
+    np.cumsum(sums, axis=2, out=upto[:, :, 1:])
+    slots = np.concatenate([sums, np.zeros((3, sums.shape[1], 1), np.int64)], axis=2)
+    nl, gl, hl = upto[:, :, every.end] - upto[:, :, every.begin] + slots[:, :, every.missing]
+    gl, hl = gl / scale, hl / scale
+    gr, hr = gs - gl, hs - hl
+    gain = gl ** 2 / (hl + p.l2) + gr ** 2 / (hr + p.l2) - gs ** 2 / (hs + p.l2)
+    gain[~((nl >= p.least_rows) & (rows - nl >= p.least_rows) & (hl >= LEAST_HESSIAN) & (hr >= LEAST_HESSIAN))] = -np.inf
+    out = []
+    for k in range(sums.shape[1]):
+        best = (0.0, None)
+        for f in range(len(lay.bins)):
+            part = gain[k, every.of[f]: every.of[f + 1]]
+            if len(part) and part[i := int(part.argmax())] > best[0] + 1e-12:
+                best = (float(part[i]), (f, int(every.of[f]) + i))
+        n, g, h = int(whole[0, k]), int(whole[1, k]) / scale, int(whole[2, k]) / scale
+        if best[1] is None:
+            out.append(Split(LEAF, 0, False, -p.rate * g / (h + p.l2), n, g, h))
             continue
-        gl, hl = gl / scale, hl / scale
-        gr, hr = gs / scale - gl, hs / scale - hl
-        gain = gl ** 2 / (hl + p.l2) + gr ** 2 / (hr + p.l2) - whole
-        ok = (nl >= p.least_rows) & (rows - nl >= p.least_rows) & (hl >= LEAST_HESSIAN) & (hr >= LEAST_HESSIAN)
-        gain = np.where(ok, gain, -np.inf)
-        i = int(np.argmax(gain))
-        if gain[i] > best[0] + 1e-12:
-            best = (float(gain[i]), (f, int(cut[i]), bool(missing[i])))
-    gs, hs = gs / scale, hs / scale
-    if best[1] is None:
-        return Split(LEAF, 0, False, -p.rate * gs / (hs + p.l2), rows, gs, hs)
-    f, cut, missing = best[1]
-    if f >= len(lay.categorical) and n[int(lay.offset[f]) + int(lay.bins[f])] == 0:
-        # none was missing here: later ones go with the larger side
-        left = int(n[lay.offset[f]: lay.offset[f] + cut + 1].sum())
-        missing = 2 * left > rows
-    return Split(f, cut, missing, 0.0, rows, gs, hs)
+        f, i = best[1]
+        cut, missing = int(every.cut[i]), bool(every.missing_left[i])
+        if f >= len(lay.categorical) and sums[0, k, int(lay.offset[f]) + int(lay.bins[f])] == 0:
+            # none was missing here: later ones go with the larger side
+            left = int(sums[0, k, lay.offset[f]: lay.offset[f] + cut + 1].sum())
+            missing = 2 * left > n
+        out.append(Split(f, cut, missing, 0.0, n, g, h))
+    return out
 
 
 def candidates(n, g, h, lay: Layout):
@@ -278,6 +331,39 @@ class Model(NamedTuple):
     trees: list[dict[int, Split]]
 
 
+def _tree(total: Callable[[dict[int, Split], list[int]], np.ndarray], lay: Layout, every: Sides, params: Params, scale: float) -> dict[int, Split]:
+    """One tree, level by level; ``total`` gives the sums of all rows at the named nodes of the tree so far."""
+    tree: dict[int, Split] = {}
+    sums: dict[int, np.ndarray] = {}
+    rows: dict[int, int] = {}
+    for level in range(params.depth):
+        # of two children the one with fewer rows is summed; the other is what is left of their parent
+        pairs = [(2 * k, 2 * k + 1) for k, s in tree.items() if s.feature != LEAF and k.bit_length() == level]
+        nodes = [1] if level == 0 else [min(p, key=lambda k: (rows[k], k)) for p in pairs]
+        if not nodes:
+            break
+        parents, sums = sums, dict(zip(nodes, np.moveaxis(total(tree, nodes), 1, 0)))
+        for k in nodes if level else []:
+            sums[k ^ 1] = parents[k >> 1] - sums[k]
+        rows = {}
+        for k, split in zip(sorted(sums), best_splits(np.stack([sums[k] for k in sorted(sums)], axis=1), lay, every, params, scale)):
+            tree[k] = split
+            if split.feature != LEAF:
+                for child in (2 * k, 2 * k + 1):
+                    rows[child] = _side(sums[k], split, child % 2 == 0, lay)[0]
+    for k, s in list(tree.items()):
+        if s.feature != LEAF and k.bit_length() == params.depth:
+            for child in (2 * k, 2 * k + 1):
+                n, g, h = _side(sums[k], s, child % 2 == 0, lay)
+                g, h = g / scale, h / scale
+                tree[child] = Split(LEAF, 0, False, -params.rate * g / (h + params.l2), n, g, h)
+    return tree
+
+
+def _nothing_left(tree: dict[int, Split]) -> bool:
+    return tree[1].feature == LEAF and abs(tree[1].value) < 1e-12
+
+
 def fit(df: DataFrame, categorical: list[str], numeric: list[str], categories: DataFrame, label: str = "y", weight: str = "w", params: Params = Params()) -> Model:
     """Boosted trees for a 0/1 ``label``. Null numerics are missing values, null
     and unlisted categories unknown ones. Rows without a label or weight must be
@@ -288,7 +374,17 @@ def fit(df: DataFrame, categorical: list[str], numeric: list[str], categories: D
     shared_dir(spark)  # sets the checkpoint folder where none is set
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     base, scale, rows = _base(blocks)
-    bins, offset, n_cat, state, trees, kept = lay.bins, lay.offset, len(categorical), blocks, [], 0
+    trees = _fit_in_one_stage(spark, blocks, lay, params, base, scale, rows)
+    if trees is None:
+        trees = _fit_by_jobs(blocks, lay, params, base, scale, rows)
+    blocks.unpersist()
+    return Model(lay, base, trees)
+
+
+def _fit_by_jobs(blocks: RDD, lay: Layout, params: Params, base: float, scale: float, rows: int) -> list[dict[int, Split]]:
+    """The trees; a job for each level of each."""
+    bins, offset, n_cat, state, trees, kept = lay.bins, lay.offset, len(lay.categorical), blocks, [], 0
+    every = sides(lay)
     if rows < BLOCK * blocks.getNumPartitions():
         state = blocks.coalesce(-(-rows // BLOCK))  # small steps: no more tasks than blocks
     later: list[dict[int, Split]] = [{1: Split(LEAF, 0, False, base, 0, 0.0, 0.0)}]  # trees not yet in the margins of ``state``
@@ -303,38 +399,171 @@ def fit(df: DataFrame, categorical: list[str], numeric: list[str], categories: D
             kept += 1
             if kept % CUT_EVERY == 0:
                 state.checkpoint()
-        tree, sums, sides = {}, {}, {}
-        for level in range(params.depth):
-            # of two children the one with fewer rows is summed; the other is what is left of their parent
-            pairs = [(2 * k, 2 * k + 1) for k, s in tree.items() if s.feature != LEAF and k.bit_length() == level]
-            nodes = [1] if level == 0 else [min(p, key=lambda k: (sides[k], k)) for p in pairs]
-            if not nodes:
-                break
-            found = _total(state, lambda b, tree=tree, nodes=nodes, trees=tuple(later): _sums(moved(b, trees), tree, nodes, bins, offset, n_cat, scale))
-            parents, sums = sums, dict(zip(nodes, np.moveaxis(found, 1, 0)))
-            for k in nodes if level else []:
-                sums[k ^ 1] = parents[k >> 1] - sums[k]
-            sides = {}
-            for k in sorted(sums):
-                tree[k] = best_split(*sums[k], lay, params, scale)
-                if tree[k].feature != LEAF:
-                    for child in (2 * k, 2 * k + 1):
-                        sides[child] = _side(sums[k], tree[k], child % 2 == 0, lay)[0]
-        for k, s in list(tree.items()):
-            if s.feature != LEAF and k.bit_length() == params.depth:
-                for child in (2 * k, 2 * k + 1):
-                    n, g, h = _side(sums[k], s, child % 2 == 0, lay)
-                    g, h = g / scale, h / scale
-                    tree[child] = Split(LEAF, 0, False, -params.rate * g / (h + params.l2), n, g, h)
+
+        def total(tree, nodes, state=state, trees=tuple(later)):
+            return _total(state, lambda b: _sums(moved(b, trees), tree, nodes, bins, offset, n_cat, scale))
+        tree = _tree(total, lay, every, params, scale)
         if before is not None:
             before.unpersist()
         trees.append(tree)
         later.append(tree)
-        if tree[1].feature == LEAF and abs(tree[1].value) < 1e-12:
-            break  # nothing is left to gain
+        if _nothing_left(tree):
+            break
     state.unpersist()
-    blocks.unpersist()
-    return Model(lay, base, trees)
+    return trees
+
+
+class Unreachable(Exception):
+    """The shared folder cannot be opened by the tasks, or is not the same for all."""
+
+
+class Exchange:
+    """Messages between the tasks of a barrier stage: files in a shared folder, each
+    written beside its name and then moved there, so that it is read whole or not at all."""
+
+    def __init__(self, folder: str, rank: int):
+        from pyarrow import fs
+        self.rank, self.wait = rank, FIRST_WORD
+        try:
+            self.fs, self.folder = fs.FileSystem.from_uri(folder)
+            self.fs.create_dir(self.folder)
+        except (OSError, pa.ArrowInvalid) as exc:
+            raise Unreachable(folder) from exc
+        self.there = fs.FileType.File
+
+    def tell(self, name: str, what) -> None:
+        with self.fs.open_output_stream(f"{self.folder}/_{name}-{self.rank}") as out:
+            out.write(pickle.dumps(what, protocol=5))
+        self.fs.move(f"{self.folder}/_{name}-{self.rank}", f"{self.folder}/{name}")
+
+    def hear(self, name: str):
+        path, pause, until = f"{self.folder}/{name}", 2e-4, time.monotonic() + self.wait
+        while self.fs.get_file_info([path])[0].type != self.there:
+            if time.monotonic() > until:
+                raise Unreachable(path) if self.wait == FIRST_WORD else TimeoutError(path)
+            time.sleep(pause)
+            pause = min(pause * 1.3, 0.02)
+        with self.fs.open_input_file(path) as f:
+            return pickle.loads(f.readall())
+
+    def forget(self, name: str) -> None:
+        self.fs.delete_file(f"{self.folder}/{name}")
+
+
+class Held:
+    """A block with its gradients, and the nodes where its rows are in the tree that grows."""
+
+    def __init__(self, block, lay: Layout, base: float, scale: float):
+        self.x, self.y, self.w, margin = block
+        self.lay, self.n_cat, self.scale, self.margin = lay, len(lay.categorical), scale, margin + base
+        self.begin()
+
+    def begin(self) -> None:
+        g, h = _gradients(self.y, self.w, self.margin, self.scale)
+        # whole numbers below 2^53 in a block's sums: rows are counted beside the hessians
+        self.g, self.h_n = g.astype(np.float64), h.astype(np.float64) * (1 << COUNT_BITS) + 1.0
+        self.at: list[tuple[int, np.ndarray | None]] = [(1, None)]
+
+    def sums(self, tree: dict[int, Split], nodes: list[int]) -> np.ndarray:
+        """As :func:`_sums`."""
+        bins, offset = self.lay.bins, self.lay.offset
+        out = np.zeros((3, len(nodes), int(offset[-1])), np.int64)
+        self.at = list(_reached(self.x, tree, bins, self.n_cat, self.at))
+        found = dict(self.at)
+        there = [(i, found[k]) for i, k in enumerate(nodes) if k in found]
+        if not there:
+            return out
+        if there[0][1] is None:
+            x, g, h_n, node = self.x, self.g, self.h_n, 0
+        else:  # the rows of all nodes at once
+            rows = np.concatenate([r for _, r in there])
+            x, g, h_n, node = self.x, self.g[rows], self.h_n[rows], np.repeat([i for i, _ in there], [len(r) for _, r in there])
+        for f in range(len(bins)):
+            size = int(bins[f]) + 1
+            key = x[f].astype(np.intp) if there[0][1] is None else x[f][rows] + node * size
+            here, shape = np.s_[:, offset[f]: offset[f] + size], (len(nodes), size)
+            both = np.bincount(key, h_n, len(nodes) * size).astype(np.int64).reshape(shape)
+            out[0][here], out[2][here] = both & ((1 << COUNT_BITS) - 1), both >> COUNT_BITS
+            out[1][here] = np.bincount(key, g, len(nodes) * size).reshape(shape)
+        return out
+
+    def add(self, tree: dict[int, Split]) -> None:
+        for k, rows in _reached(self.x, tree, self.lay.bins, self.n_cat, self.at):
+            self.margin[slice(None) if rows is None else rows] += tree[k].value
+        self.begin()
+
+
+def _rounds(blocks, folder: str, lay: Layout, params: Params, base: float, scale: float, fan_in: int) -> list[list[dict[int, Split]]]:
+    """What a task of the barrier stage does: the first one grows the trees and says what
+    it needs the sums of, the others answer. Gives the trees in the first task, if all could be reached."""
+    context = BarrierTaskContext.get()
+    rank, size = context.partitionId(), len(context.getTaskInfos())
+    below = [r for r in range(fan_in * rank + 1, fan_in * rank + fan_in + 1) if r < size]
+    held = [Held(b, lay, base, scale) for b in blocks]
+    attempt = context.allGather(str(context.taskAttemptId()))[0]  # a stage that is run again has a folder of its own
+
+    def answer(step: int, added, tree, nodes) -> np.ndarray:
+        if added:
+            for b in held:
+                b.add(added)
+        out = np.zeros((3, len(nodes), int(lay.offset[-1])), np.int64)
+        for b in held:
+            out += b.sums(tree, nodes)
+        for r in below:
+            out += exchange.hear(f"{step}-{r}")
+            exchange.forget(f"{step}-{r}")
+        exchange.wait = LATER_WORD
+        return out
+    exchange = None
+    try:
+        exchange = Exchange(f"{folder}/{attempt}", rank)
+        if rank:
+            for step in itertools.count():
+                said = exchange.hear(f"{step}")
+                if said is None:
+                    return []
+                exchange.tell(f"{step}-{rank}", answer(step, *said))
+        trees: list[dict[int, Split]] = []
+        steps, every, added = itertools.count(), sides(lay), None
+
+        def total(tree, nodes):
+            nonlocal added
+            step = next(steps)
+            exchange.tell(f"{step}", (added, tree, nodes))
+            out = answer(step, added, tree, nodes)
+            exchange.forget(f"{step}")  # all have read it
+            added = None
+            return out
+        for _ in range(params.rounds):
+            added = _tree(total, lay, every, params, scale)
+            trees.append(added)
+            if _nothing_left(added):
+                break
+        exchange.tell(f"{next(steps)}", None)
+        return [trees]
+    except Unreachable:
+        if exchange and not rank:
+            exchange.tell("1", None)  # those who heard the first word need not wait
+        return []
+
+
+def _fit_in_one_stage(spark, blocks: RDD, lay: Layout, params: Params, base: float, scale: float, rows: int) -> list[dict[int, Split]] | None:
+    """The trees, from one barrier stage; None where there cannot be one."""
+    conf = spark.sparkContext.getConf()
+    # all tasks have to run at once: as many as there are cores
+    slots = spark.sparkContext.defaultParallelism
+    if conf.get("spark.default.parallelism", None) or conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    tasks = max(1, min(slots, -(-rows // BLOCK)))
+    row = len(lay.bins) * np.min_scalar_type(int(lay.bins.max(initial=0))).itemsize + 64  # label, weight, margin, gradients, row numbers
+    if -(-rows // tasks) * row > TASK_BYTES:
+        return None  # each step has work enough to be a job
+    folder = scratch_path(spark, "rounds")
+    fan_in = FAN_IN
+    # the blocks of a partition are dealt in turn
+    dealt = blocks.mapPartitionsWithIndex(lambda i, it: ((i + k, b) for k, b in enumerate(it))).partitionBy(tasks, lambda i: i).values()
+    got = dealt.barrier().mapPartitions(lambda it: _rounds(it, folder, lay, params, base, scale, fan_in)).collect()  # the first task's trees
+    return got[0] if got else None
 
 
 def _side(sums: np.ndarray, s: Split, left: bool, lay: Layout) -> list[int]:

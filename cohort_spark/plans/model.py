@@ -355,7 +355,8 @@ def train_job(spark: SparkSession, stacked: DataFrame, test_year: int, out_dir:
     """M8: temporal split (P10), or a stratified split (M5) when the test
     year is empty; fit; evaluate; publish. Rows without a label take no part.
     Returns the metrics row and the model."""
-    stacked = stacked.where(R.c(label).isNotNull())
+    # read by the split, the fit, the evaluation and the sizes: made once
+    stacked = IO.kept(stacked.where(R.c(label).isNotNull()), "labelled")
     train_df = stacked.filter(F.col("ano") < test_year)
     test_df = stacked.filter(F.col("ano") == test_year)
     if test_df.isEmpty():

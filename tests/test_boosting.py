@@ -148,3 +148,45 @@ def test_bins_take_as_few_bytes_as_hold_them(spark, fitted):
     wide = G.layout(many, names, ["color"], ["a", "b"], p.bins)
     blocks = G.binned(many, wide, names, "y", "w").collect()
     assert {b[0].dtype.itemsize for b in blocks} == {2} and sorted(x for b in blocks for x in b[0][0]) == list(range(400))
+
+
+def test_jobs_do_not_grow_with_the_rounds(spark, fitted):
+    """All rounds are one stage; a job for each level of each tree was most of the time."""
+    _, p, df, categories, _ = fitted
+    jobs = []
+    for rounds in (2, 8):
+        spark.sparkContext.setJobGroup(f"fit-{rounds}", "fit")
+        model = G.fit(df, ["color"], ["a", "b"], categories, params=p._replace(rounds=rounds))
+        assert len(model.trees) == rounds
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_one_stage_equals_a_job_for_each_level(spark, fitted, monkeypatch):
+    """With several tasks, whose sums are added along a tree of them, and where blocks are too large for it."""
+    _, p, df, categories, model = fitted
+    monkeypatch.setattr(G, "BLOCK", 40)
+    monkeypatch.setattr(G, "FAN_IN", 2)
+    assert G.fit(df, ["color"], ["a", "b"], categories, params=p).trees == model.trees
+    monkeypatch.setattr(G, "TASK_BYTES", 0)
+    monkeypatch.setattr(G, "CUT_EVERY", 2)
+    monkeypatch.setattr(G, "KEEP_EVERY", 2)
+    by_jobs = []
+    monkeypatch.setattr(G, "_fit_by_jobs", lambda *a, f=G._fit_by_jobs: by_jobs.append(f(*a)) or by_jobs[0])
+    assert G.fit(df.repartition(40), ["color"], ["a", "b"], categories, params=p).trees == model.trees and by_jobs
+
+
+def test_without_a_folder_that_tasks_can_open(spark, fitted, monkeypatch):
+    _, p, df, categories, model = fitted
+    monkeypatch.setattr(G, "scratch_path", lambda spark, name: "/proc/nowhere")
+    assert G.fit(df, ["color"], ["a", "b"], categories, params=p).trees == model.trees
+
+
+def test_exchange_gives_up_on_a_folder_that_is_not_shared(tmp_path):
+    mine = G.Exchange(str(tmp_path / "a"), 0)
+    mine.tell("0", {"x": [1]})
+    assert G.Exchange(str(tmp_path / "a"), 1).hear("0") == {"x": [1]}
+    mine.wait = 0.05
+    with pytest.raises(TimeoutError):
+        mine.hear("1")

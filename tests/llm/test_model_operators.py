@@ -157,6 +157,46 @@ def test_many_customers_come_and_go_at_once():
         assert (s.parent()[0] == np.bincount(word, weights=s.tables(), minlength=4)).all()
 
 
+def expected_tables(customers, weight, discount):
+    """Mean number of tables of a dish, from the exact distribution given the weight of a new table."""
+    p = np.full(customers + 1, -np.inf)
+    p[1] = 0.0
+    t = np.arange(customers + 1)
+    for n in range(1, customers):  # logs of generalised Stirling numbers
+        p = np.logaddexp(p + np.log(np.maximum(n - discount * t, 1e-300)), np.r_[-np.inf, p[:-1]])
+    p = np.exp(p + t * np.log(weight) - (p + t * np.log(weight)).max())
+    return (p * t).sum() / p.sum()
+
+
+@pytest.mark.parametrize("customers", [2, 4, 8, 40, 1500])
+def test_a_sweep_seats_all_customers(customers):
+    """Numbers of tables as in the exact distribution, for dishes that are swept one by one and in pieces."""
+    class Fixed(LM.Tables):
+        discount, weight = LM.DISCOUNT, 2.0
+
+        def open(self):
+            return np.full(len(self.count), self.weight)
+    k, got = 600, []
+    s = Fixed(np.full(k, customers), np.ones(k, np.int64), np.random.default_rng(customers))
+    for i in range(24):
+        before = s.number.copy()
+        left, come = s.sweep()
+        assert (before - np.bincount(left, minlength=k) + np.bincount(come, minlength=k) == s.number).all()
+        assert (np.bincount(s.dish, weights=s.size, minlength=k) == customers).all() and (s.size > 0).all()
+        got += [s.number.mean()] * (i >= 8)
+    assert np.mean(got) == pytest.approx(expected_tables(customers, 2.0, LM.DISCOUNT), rel=0.05)
+
+
+def test_a_round_seats_all_customers():
+    """Tables of nearly equal sizes, as they begin, are gone after one round; one customer of each dish would leave them."""
+    word, context = np.repeat(np.arange(30), 3), np.tile(np.arange(3), 30)
+    s = LM.Seating(word, context, np.full(90, 4000), 30, 1.0, 7)
+    s.round()
+    for dish in range(90):
+        mine = s.size[s.dish == dish]
+        assert len(mine) < 5 or mine.max() - mine.min() > 0.2 * mine.mean()
+
+
 def test_lm_odd_texts(spark, docs_of):
     out = LM.score(docs_of(ODD), F.lit(True)).collect()
     assert sorted((r.n_tokens for r in out)) == sorted(len(words_of(t)) + 1 for _, t in ODD)
